@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, token_counts
+from . import bpe, line_dedup, media, packing, token_counts
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +29,13 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_media_columns, op5_token_counts, op7_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_media_columns, op5_token_counts, op7_bpe_round_trip, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": line_dedup.ORACLE}
