@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, line_dedup, media, packing, token_counts
+from . import bpe, embedding_dedup, line_dedup, media, packing, token_counts, toxicity
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_media_columns, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_media_columns, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
