@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, line_dedup, media, packing, token_counts, toxicity
+from . import bpe, embedding_dedup, line_dedup, lm_scoring, media, packing, token_counts, toxicity
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_media_columns, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_media_columns, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op9_line_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
