@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, line_dedup, lm_scoring, media, packing, token_counts, toxicity
+from . import bpe, embedding_dedup, jaccard_join, line_dedup, lm_scoring, media, packing, token_counts, toxicity
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), words=4, similarity=(85, 100))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_media_columns, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op9_line_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_media_columns, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op8_ngram_jaccard_join, op9_line_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
