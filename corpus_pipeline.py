@@ -4,13 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sleuthframe.llm import jaccard_join, line_dedup, packing, toxicity
 from sleuthframe.llm.tables import materialize, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labelled ones among them, does not call toxic."""
+    scored = toxicity.fit(docs, read(spark, sf_dir, "labels")).transform(docs)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its text without the lines that it shares with two others or more, unless it is the last to hold them."""
+    left = line_dedup.dedup_lines(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates: five-word shingles, Jaccard index of 0.8 or more."""
+    return jaccard_join.without_near_duplicates(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("line_dedup", drop_shared_lines), ("ngram_jaccard_join", drop_near_duplicates), ("best_fit_packing", pack)]
 
 #: Classification and packing have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
