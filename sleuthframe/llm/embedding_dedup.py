@@ -28,8 +28,9 @@ SUBSPACES = 8
 MEMBER_BLOCK, PROBER_BLOCK = 2_048, 4_096
 #: A linked vector is at most sqrt(2 - 2 * threshold) away, and its way across a border is random: about 0.056 for 64
 #: dimensions and threshold 0.9. Lists whose border is within BORDER of these deviations are probed, and LEAST_PROBES at least.
-BORDER = 4.0
-LEAST_PROBES = 8
+#: A pair is found from either side, so it is missed only if its way is longer than twice that: three deviations.
+BORDER = 1.5
+LEAST_PROBES = 4
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
