@@ -42,7 +42,9 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words, self.known = words, Words()
-        self.factors = [U(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+        # odd factors: the sum of independent word hashes times these tells their order
+        self.factors = (mix(np.arange(1, words + 1, dtype=U)) | U(1)).tolist()
+        self.factors = list(map(U, self.factors))
 
     def set(self, text: str | None) -> np.ndarray:
         """Distinct hashes, sorted; the whole sequence is one shingle if it is shorter than a shingle."""
@@ -57,8 +59,9 @@ class Shingler:
         last = len(h) - n + 1
         total = np.full(last, n, U)
         for i in range(n):
-            total = mix(total + h[i : i + last] * self.factors[i % len(self.factors)])
-        return np.unique(total)
+            total += h[i : i + last] * self.factors[i]
+        total = np.sort(mix(total))
+        return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -92,17 +95,17 @@ class Bands:
 
 def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
     """One for each band and block of the set. Empty blocks only enter when there are more than SPARE, in groups of SPARE + 1."""
-    out = []
+    out, place, code = [], mix(h ^ U(0x5851F42D4C957F2D)), mix(h)
     for band in bands.of(len(h)):
         k = bands.blocks(band)
         if not k:
             continue
-        block = (mix(h ^ U(0x5851F42D4C957F2D)) % U(k)).astype(np.int64)
+        block = (place % U(k)).astype(np.uint16 if k < 1 << 16 else np.int64)
         order = np.argsort(block, kind="stable")
         counts = np.bincount(block, minlength=k)
         full = np.flatnonzero(counts)
         # XOR of random codes of the set bits: equal exactly when the parities are
-        parity = np.bitwise_xor.reduceat(mix(h)[order], (np.cumsum(counts) - counts)[full])
+        parity = np.bitwise_xor.reduceat(code[order], (np.cumsum(counts) - counts)[full])
         salt = U((band + 1) * 0xDA942042E4DD58B5 & 0xFFFFFFFFFFFFFFFF)
         out.append(mix(parity ^ mix(full.astype(U) + salt)))
         empty = np.flatnonzero(counts == 0)
@@ -194,7 +197,7 @@ def linked(rows: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int,
 
 
 def possible(pairs: DataFrame, sizes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sizes and sketches allow a link."""
+    """Those of ``pairs`` (a, b, times) whose sizes and sketches allow a link."""
     part, whole = similarity
     both = pairs.join(sizes.toDF("a", "n_a", "sketch_a"), "a").join(sizes.toDF("b", "n_b", "sketch_b"), "b")
 
@@ -206,9 +209,16 @@ def possible(pairs: DataFrame, sizes: DataFrame, similarity: tuple[int, int]) ->
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(len(n_a), -1) for c in ("sketch_a", "sketch_b"))
             keep = may_link(n_a, n_b, np.bitwise_count(x ^ y).sum(1, dtype=np.int64), part, whole)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b", "times")], names=["a", "b", "times"])
+
+    return both.select("a", "b", "times", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, times long")
+
 
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+def separate(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are in different components; a node without one is its own."""
+    for c in ("a", "b"):
+        pairs = pairs.join(components.toDF(c, f"of_{c}"), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    return pairs.where("of_a <> of_b").select("a", "b")
 
 
 def may_link(n_a: np.ndarray, n_b: np.ndarray, distance: np.ndarray, part: int, whole: int) -> np.ndarray:
@@ -269,9 +279,16 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
         return frame
 
     sizes = full.select("d", "n", "sketch").dropDuplicates(["d"])
-    pairs = of_class(hits.select(F.col("d").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct(), "a", "b").where("a <> b").distinct()
-    links = materialize(linked(usable, materialize(possible(pairs, sizes, similarity), "pairs"), words, similarity), "links")
-    components = connected_components(links.toDF("src", "dst"))
+    shared = of_class(hits.where("d <> pivot").groupBy(F.col("d").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("times")), "a", "b").where("a <> b")
+    shared = shared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "times").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    pairs = materialize(possible(shared, sizes, similarity), "pairs")
+    # most documents are linked to the one with which they share most; other pairs only matter where that leaves them apart
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
+    links = materialize(linked(usable, best, words, similarity), "links")
+    components = materialize(connected_components(links.toDF("src", "dst")), "components")
+    apart = separate(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), components)
+    links = materialize(links.unionByName(linked(usable, materialize(apart, "pairs"), words, similarity)), "links")
+    components = materialize(connected_components(links.toDF("src", "dst")), "components")
     # buckets whose members are of more than one component
     member = of_class(hits.where("sig is not null").select("sig", "d"), "d").join(components.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("component")).distinct()
     member = materialize(member, "members")
