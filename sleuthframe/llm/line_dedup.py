@@ -115,7 +115,7 @@ def dedup_lines(documents: DataFrame, least_length: int = 20, least_documents: i
     documents = documents.drop("n_lines", "n_dropped")
     lines = materialize(long_lines(documents, least_length), "lines")
     shared = materialize(index_lines(lines, least_documents, batches).settled(), "shared-lines")
-    drops = lines.join(shared.drop("n"), HASH).where(F.col("d") != F.col("last")).groupBy("d", "t").agg(F.collect_list("pos").alias("drops"))
+    drops = lines.join(shared.drop("n"), HASH).where(F.col("d") != F.col("last")).groupBy("d", "t").agg(F.collect_set("pos").alias("drops"))
     rows = documents.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), *identity(documents))
     found = rows.join(drops, ["d", "t"], "left").withColumn("lines", F.when(F.col("drops").isNotNull(), split_lines()))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")

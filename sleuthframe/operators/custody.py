@@ -24,7 +24,7 @@ def json_text(value: Column) -> Column:
 
 def ascii_only(text: Column) -> Column:
     """Characters beyond ASCII as \\uXXXX, those beyond the basic plane as two of them. Plain text is left as it is."""
-    unit = F.transform(F.sequence(F.lit(0), F.length(F.hex(F.encode(text, "UTF-16BE"))) / 4 - 1).cast("array<int>"), lambda i: F.substring(F.hex(F.encode(text, "UTF-16BE")), i * 4 + 1, F.lit(4)))
+    unit = F.transform(F.sequence(F.lit(0), (F.length(F.hex(F.encode(text, "UTF-16BE"))) / 4 - 1).cast("int")), lambda i: F.substring(F.hex(F.encode(text, "UTF-16BE")), i * 4 + 1, F.lit(4)))
     escaped = F.transform(unit, lambda u: F.when(u < "0080", F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.array_join(escaped, ""))
 
