@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seconds from 1601-01-01 and from 2001-01-01 to 1970-01-01, as WebKit and Cocoa count.
 WEBKIT_EPOCH, COCOA_EPOCH = -11_644_473_600, 978_307_200
@@ -141,10 +142,12 @@ def flags(value: Column, names: Sequence[tuple[int, str]]) -> Column:
     return F.concat_ws(", ", *(F.when(value.bitwiseAND(bit) != 0, F.lit(name)) for bit, name in names))
 
 
-# Decoders without an SQL form.
+# Decoders without an SQL form. Types are objects, since their text is only parsed once a session runs.
 
+POINTS = T.ArrayType(T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType())]))
 
-@F.udf("string")
+
+@F.udf(T.StringType())
 def repaired_text(text: str | None) -> str | None:
     """UTF-8 that was read as Latin-1, read again; other text as it is."""
     if text is None:
@@ -155,7 +158,7 @@ def repaired_text(text: str | None) -> str | None:
         return text
 
 
-@F.pandas_udf("array<struct<latitude:double,longitude:double>>")
+@F.pandas_udf(POINTS)
 def polyline(encoded: pd.Series) -> pd.Series:
     """Points of an encoded polyline (differences of 1e-5 degrees in groups of five bits)."""
 

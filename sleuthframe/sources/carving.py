@@ -6,6 +6,7 @@ import struct
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: First bytes (at an offset) of kinds of files, the longer before the shorter.
 MAGIC = (
@@ -40,7 +41,7 @@ def printable_strings(files: DataFrame, least: int = 4) -> DataFrame:
 ABX = b"ABX\0"
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def binary_xml(content: bytes | None) -> str | None:
     """Android binary XML as XML text; null for other content."""
     if content is None or content[:4] != ABX:
