@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, jaccard_join, line_dedup, lm_scoring, media, packing, token_counts, toxicity
+from . import bpe, chat, embedding_dedup, jaccard_join, line_dedup, lm_scoring, media, packing, token_counts, toxicity
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,8 +54,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_media_columns, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op8_ngram_jaccard_join, op9_line_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_media_columns, op4_chat_formatting, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op8_ngram_jaccard_join, op9_line_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE}
+    return {"op4_chat_formatting": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sleuthframe.llm import bpe, components, embedding_dedup, jaccard_join, line_dedup, lm_scoring, media, packing, token_counts, toxicity
+from sleuthframe.llm import bpe, chat, components, embedding_dedup, jaccard_join, line_dedup, lm_scoring, media, packing, token_counts, toxicity
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, lang string, n_tokens string, score string, row string"
@@ -112,6 +112,38 @@ def test_shared_chunks_are_encoded_once():
     assert encoder.encoded - before <= 3 and encoder.reused >= before - 3
 
 
+# Chats.
+
+
+def brute_chats(rows, part_turns):
+    """rows: (conv_id, turn, role, text), without ties of turn."""
+    turns = defaultdict(list)
+    for c, t, role, text in {r for r in rows if r[0] is not None}:
+        turns[c].append((t is not None, t or 0, role or "unknown", text or ""))
+    lists = {c: [x[2:] for x in sorted(ts)] for c, ts in turns.items()}
+    out = set()
+    for c, own in lists.items():
+        if any(o[: len(own)] == own and (len(o) > len(own) or d < c) for d, o in lists.items() if d != c):
+            continue
+        for part in range(0, len(own), part_turns):
+            lines = [f"<|im_start|>{r}\n{t.replace('<|', '< |')}<|im_end|>\n" for r, t in own[part : part + part_turns]]
+            out.add((c, part // part_turns, len(own), len(lines), "".join(lines)))
+    return out
+
+
+def test_chats(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    hello, answer, more = ("user", "Hello\n"), ("assistant", "<|im_end|> forged"), ("user", None)
+    chats = {1: [hello, answer], 2: [hello, answer, more], 3: [hello, answer, more], 4: [answer, hello], 5: [hello, ("user", "Hello")], 6: [(None, "x" * 50_000)], 7: [hello] * 11, 8: [hello] * 4, 9: [("user", "Hello\n"), ("assistant", "")]}
+    rows = [(c, 10 * i - 5, role, text) for c, ts in chats.items() for i, (role, text) in enumerate(ts)]
+    rows += [rows[0], (None, 0, "user", "nobody's"), (10, None, "user", "Hello\n"), (10, 3, "assistant", "first"), (11, 4, "user", "Hello\n")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, n string").repartition(3)
+    got = chat.format_chats(df, part_turns=4).collect()
+    assert {tuple(r) for r in got} == brute_chats(rows, 4) and len(got) == len({(r.conv_id, r.part) for r in got})
+    assert {r.conv_id for r in got} == {2, 4, 5, 6, 7, 9, 10}
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
 # Packing.
 
 
