@@ -30,6 +30,7 @@ U = np.uint64
 SPARE = 1
 #: Growth of size bands; more than 1 / threshold, so that linked sets are in one band or in neighbouring ones.
 BAND = 1.6
+#: Bits of every set's sketch; a larger set has a wide one besides, of as many bits as it has shingles at least.
 SKETCH_BITS = 1024
 #: Signatures that a task gathers before it sends them, and those of one bucket.
 FLUSH, BUCKET = 1_500_000, 3_000_000
@@ -64,8 +65,24 @@ class Shingler:
         return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
-def sketch(h: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((h % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def sketch(h: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parities of ``bits`` (a power of two) buckets of the set. XOR of the halves of a sketch is the sketch of half as many bits."""
+    return np.packbits((np.bincount((h % U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_sketch(h: np.ndarray) -> bytes | None:
+    return sketch(h, 1 << (len(h) - 1).bit_length()) if len(h) > SKETCH_BITS else None
+
+
+def wide_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches at the size of the smaller."""
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 class Bands:
@@ -116,15 +133,15 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def measured(rows: DataFrame, words: int) -> DataFrame:
-    """(d, n, set, sketch): size, digest and sketch of each document's set."""
+    """(d, n, set, sketch, wide): size, digest and sketches of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             sets = [shingler.set(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(list(map(len, sets)), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(map(sketch, sets)), pa.binary())], names=["d", "n", "set", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(list(map(len, sets)), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(map(sketch, sets)), pa.binary()), pa.array(list(map(wide_sketch, sets)), pa.binary())], names=["d", "n", "set", "sketch", "wide"])
 
-    return rows.mapInArrow(run, "d long, n long, set binary, sketch binary")
+    return rows.mapInArrow(run, "d long, n long, set binary, sketch binary, wide binary")
 
 
 def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int) -> DataFrame:
@@ -199,7 +216,7 @@ def linked(rows: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int,
 def possible(pairs: DataFrame, sizes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Those of ``pairs`` (a, b, times) whose sizes and sketches allow a link."""
     part, whole = similarity
-    both = pairs.join(sizes.toDF("a", "n_a", "sketch_a"), "a").join(sizes.toDF("b", "n_b", "sketch_b"), "b")
+    both = pairs.join(sizes.toDF("a", "n_a", "sketch_a", "wide_a"), "a").join(sizes.toDF("b", "n_b", "sketch_b", "wide_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +225,14 @@ def possible(pairs: DataFrame, sizes: DataFrame, similarity: tuple[int, int]) ->
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(len(n_a), -1) for c in ("sketch_a", "sketch_b"))
             keep = may_link(n_a, n_b, np.bitwise_count(x ^ y).sum(1, dtype=np.int64), part, whole)
+            wide = [(i, wide_distance(a, b)) for i in np.flatnonzero(keep).tolist() if (a := batch.column("wide_a")[i].as_py()) is not None and (b := batch.column("wide_b")[i].as_py()) is not None]
+            if wide:
+                i, distance = np.array(wide).T
+                keep[i] = may_link(n_a[i], n_b[i], distance, part, whole)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b", "times")], names=["a", "b", "times"])
 
-    return both.select("a", "b", "times", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, times long")
+    return both.select("a", "b", "times", "n_a", "n_b", "sketch_a", "sketch_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long, times long")
 
 
 def separate(pairs: DataFrame, components: DataFrame) -> DataFrame:
@@ -278,7 +299,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
             frame = frame.join(copies.toDF(c, "moved"), c, "left").withColumn(c, F.coalesce("moved", c)).drop("moved")
         return frame
 
-    sizes = full.select("d", "n", "sketch").dropDuplicates(["d"])
+    sizes = full.select("d", "n", "sketch", "wide").dropDuplicates(["d"])
     shared = of_class(hits.where("d <> pivot").groupBy(F.col("d").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("times")), "a", "b").where("a <> b")
     shared = shared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "times").groupBy("a", "b").agg(F.sum("times").alias("times"))
     pairs = materialize(possible(shared, sizes, similarity), "pairs")
@@ -293,8 +314,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
     member = of_class(hits.where("sig is not null").select("sig", "d"), "d").join(components.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("component")).distinct()
     member = materialize(member, "members")
     open_sigs = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_members = member.join(open_sigs, "sig").join(sizes, "d")
-    more = materialize(across(open_members, similarity), "pairs")
+    open_members = member.join(open_sigs, "sig").join(sizes.drop("wide"), "d")
+    more = materialize(possible(across(open_members, similarity).withColumn("times", F.lit(1).cast("long")), sizes, similarity).select("a", "b"), "pairs")
     if not more.isEmpty():
         links = materialize(links.unionByName(linked(usable, more, words, similarity)), "links")
         components = connected_components(links.toDF("src", "dst"))

@@ -321,6 +321,13 @@ def test_sketches_bound_differences(a, more):
         assert set(jaccard_join.signatures(x, bands).tolist()) & set(jaccard_join.signatures(y, bands).tolist())
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=40), st.sets(st.integers(0, 2**64 - 1), max_size=20))
+def test_sketches_of_different_sizes_bound_differences(a, b):
+    x, y = (np.sort(np.array(list(s), np.uint64)) for s in (a, b))
+    assert jaccard_join.wide_distance(jaccard_join.sketch(x, 4096), jaccard_join.sketch(y, 1024)) <= len(a ^ b)
+    assert jaccard_join.wide_distance(jaccard_join.sketch(x, 2048), jaccard_join.sketch(x, 1024)) == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)]
