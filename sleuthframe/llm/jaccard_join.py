@@ -247,24 +247,27 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, distance: np.ndarray, part: int,
 
 
 def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of ``members`` (sig, d, component, n, sketch) that share a sig, are of different components and may link."""
+    """Pairs (a, b) of ``members`` (sig, d, component, n, sketch, wide) that share a sig, are of different components and may link."""
     part, whole = similarity
     spark = members.sparkSession
     counts = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
     dealt = members.join(counts, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "component", "n", "sketch")
+    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "component", "n", "sketch", "wide")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // GROUP)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, i, j), rows in pdf.groupby(["sig", "i", "j"]):
-            own, d, component, n = (rows[c].to_numpy() for c in ("own", "d", "component", "n"))
+            own, d, component, n, wide = (rows[c].to_numpy() for c in ("own", "d", "component", "n", "wide"))
             bits = np.frombuffer(b"".join(rows["sketch"]), U).reshape(len(rows), -1)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             for k in left:
                 others = right[(component[right] != component[k]) & (d[right] < d[k])] if i == j else right[component[right] != component[k]]
                 good = others[may_link(n[k], n[others], np.bitwise_count(bits[others] ^ bits[k]).sum(1, dtype=np.int64), part, whole)]
+                if wide[k] is not None and len(good):
+                    distance = np.array([0 if wide[j] is None else wide_distance(wide[k], wide[j]) for j in good])
+                    good = good[may_link(n[k], n[good], distance, part, whole)]
                 out.append(np.stack([np.maximum(d[good], d[k]), np.minimum(d[good], d[k])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -314,8 +317,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
     member = of_class(hits.where("sig is not null").select("sig", "d"), "d").join(components.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("component")).distinct()
     member = materialize(member, "members")
     open_sigs = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_members = member.join(open_sigs, "sig").join(sizes.drop("wide"), "d")
-    more = materialize(possible(across(open_members, similarity).withColumn("times", F.lit(1).cast("long")), sizes, similarity).select("a", "b"), "pairs")
+    open_members = member.join(open_sigs, "sig").join(sizes, "d")
+    more = materialize(across(open_members, similarity), "pairs")
     if not more.isEmpty():
         links = materialize(links.unionByName(linked(usable, more, words, similarity)), "links")
         components = connected_components(links.toDF("src", "dst"))
