@@ -4,9 +4,10 @@ A sketch has k blocks; each shingle flips one bit in one block, so sketches diff
 sets differ in shingles. Sets of a size band whose index reaches the threshold differ in at most D shingles: of k = D + 1 + SPARE
 blocks at least 1 + SPARE agree. Equal blocks meet by a pigeonhole join per size band, and pairs are verified on whole texts.
 
-Equal sets are one class from the start. In a bucket of equal blocks every member is held against the least one only; where
-that leaves members of different components, those are held against each other by whole sketches, in blocks. Only pairs whose
-sketches allow a link are verified, so no link between different components is lost, and no bucket is expanded into its pairs.
+Equal sets are one class from the start. In a bucket of equal blocks every member is held against the least one, the pivot, only.
+All that met one pivot are then a group; where that leaves members of different components, those are held against each other by
+whole sketches, in blocks. Only pairs whose sketches allow a link are verified, so no link between different components is lost,
+and no bucket is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ U = np.uint64
 SPARE = 1
 #: Growth of size bands; more than 1 / threshold, so that linked sets are in one band or in neighbouring ones.
 BAND = 1.6
-#: Bits of every set's sketch; a larger set has a wide one besides, of as many bits as it has shingles at least.
+#: Bits of every set's sketch; a large set has a wide one besides, of half as many bits as it has shingles at least.
 SKETCH_BITS = 1024
 #: Signatures that a task gathers before it sends them, and those of one bucket.
 FLUSH, BUCKET = 1_500_000, 3_000_000
@@ -71,7 +72,7 @@ def sketch(h: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
 
 
 def wide_sketch(h: np.ndarray) -> bytes | None:
-    return sketch(h, 1 << (len(h) - 1).bit_length()) if len(h) > SKETCH_BITS else None
+    return sketch(h, 1 << (len(h) // 2).bit_length()) if len(h) >= 2 * SKETCH_BITS else None
 
 
 def wide_distance(a: bytes, b: bytes) -> int:
@@ -145,7 +146,7 @@ def measured(rows: DataFrame, words: int) -> DataFrame:
 
 
 def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int) -> DataFrame:
-    """(sig, d, pivot): for every signature that documents share, each of them and the least; a null sig where they are two."""
+    """(d, pivot, times, more): documents that share signatures with the least one that has them, how many, and whether any is shared by three."""
     bands = Bands(similarity)
 
     def send(sigs: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +186,14 @@ def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int)
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         sizes = np.diff(np.append(first, len(sig)))
         pivot, size = np.repeat(d[first], sizes), np.repeat(sizes, sizes)
-        two = np.unique(np.stack([d[(size == 2) & (d != pivot)], pivot[(size == 2) & (d != pivot)]], axis=1), axis=0)
-        more = size > 2
-        return pd.concat([pd.DataFrame({"sig": pd.array([None] * len(two), "Int64"), "d": two[:, 0], "pivot": two[:, 1]}), pd.DataFrame({"sig": pd.array(sig[more].view(np.int64), "Int64"), "d": d[more], "pivot": pivot[more]})])
+        met = (size > 2) | (size == 2) & (d != pivot)
+        d, pivot, more = d[met], pivot[met], size[met] > 2
+        order = np.lexsort((pivot, d))
+        d, pivot, more = d[order], pivot[order], more[order]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (pivot[1:] != pivot[:-1])])) if len(d) else np.zeros(0, np.int64)
+        return pd.DataFrame({"d": d[first], "pivot": pivot[first], "times": np.diff(np.append(first, len(d))), "more": np.logical_or.reduceat(more, first) if len(d) else more})
 
-    return rows.mapInArrow(run, "g int, sig binary, d binary").groupBy("g").applyInPandas(meet, "sig long, d long, pivot long")
+    return rows.mapInArrow(run, "g int, sig binary, d binary").groupBy("g").applyInPandas(meet, "d long, pivot long, times long, more boolean").groupBy("d", "pivot").agg(F.sum("times").alias("times"), F.max("more").alias("more"))
 
 
 def linked(rows: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
@@ -247,18 +251,18 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, distance: np.ndarray, part: int,
 
 
 def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of ``members`` (sig, d, component, n, sketch, wide) that share a sig, are of different components and may link."""
+    """Pairs (a, b) of ``members`` (pivot, d, component, n, sketch, wide) that share a pivot, are of different components and may link."""
     part, whole = similarity
     spark = members.sparkSession
-    counts = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    counts = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
-    dealt = members.join(counts, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "component", "n", "sketch", "wide")
+    dealt = members.join(counts, "pivot").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "component", "n", "sketch", "wide")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // GROUP)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, i, j), rows in pdf.groupby(["sig", "i", "j"]):
+        for (_, i, j), rows in pdf.groupby(["pivot", "i", "j"]):
             own, d, component, n, wide = (rows[c].to_numpy() for c in ("own", "d", "component", "n", "wide"))
             bits = np.frombuffer(b"".join(rows["sketch"]), U).reshape(len(rows), -1)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -272,7 +276,7 @@ def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt.groupBy(F.pmod(F.xxhash64("sig", "i", "j"), F.lit(groups)).alias("g")).applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy(F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)).alias("g")).applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -303,7 +307,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
         return frame
 
     sizes = full.select("d", "n", "sketch", "wide").dropDuplicates(["d"])
-    shared = of_class(hits.where("d <> pivot").groupBy(F.col("d").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("times")), "a", "b").where("a <> b")
+    shared = of_class(hits.where("d <> pivot").select(F.col("d").alias("a"), F.col("pivot").alias("b"), "times"), "a", "b").where("a <> b")
     shared = shared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "times").groupBy("a", "b").agg(F.sum("times").alias("times"))
     pairs = materialize(possible(shared, sizes, similarity), "pairs")
     # most documents are linked to the one with which they share most; other pairs only matter where that leaves them apart
@@ -313,11 +317,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
     apart = separate(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), components)
     links = materialize(links.unionByName(linked(usable, materialize(apart, "pairs"), words, similarity)), "links")
     components = materialize(connected_components(links.toDF("src", "dst")), "components")
-    # buckets whose members are of more than one component
-    member = of_class(hits.where("sig is not null").select("sig", "d"), "d").join(components.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("component")).distinct()
+    # groups whose members are of more than one component
+    member = of_class(hits.where("more").select("pivot", "d"), "d").join(components.withColumnRenamed("node", "d"), "d", "left").select("pivot", "d", F.coalesce("component", "d").alias("component")).distinct()
     member = materialize(member, "members")
-    open_sigs = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_members = member.join(open_sigs, "sig").join(sizes, "d")
+    open_groups = member.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("pivot")
+    open_members = member.join(open_groups, "pivot").join(sizes, "d")
     more = materialize(across(open_members, similarity), "pairs")
     if not more.isEmpty():
         links = materialize(links.unionByName(linked(usable, more, words, similarity)), "links")
