@@ -35,8 +35,8 @@ BAND = 1.6
 SKETCH_BITS = 1024
 #: Signatures that a task gathers before it sends them, and those of one bucket.
 FLUSH, BUCKET = 1_500_000, 3_000_000
-#: Members of a bucket in one block of the comparison by sketches, and rows of such blocks in one group.
-BLOCK, GROUP = 1_000, 100_000
+#: Members of a group in one block of the comparison by sketches, and rows of such blocks in one task's share.
+BLOCK, GROUP = 4_000, 100_000
 
 
 class Shingler:
@@ -266,8 +266,11 @@ def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             own, d, component, n, wide = (rows[c].to_numpy() for c in ("own", "d", "component", "n", "wide"))
             bits = np.frombuffer(b"".join(rows["sketch"]), U).reshape(len(rows), -1)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for k in left:
-                others = right[(component[right] != component[k]) & (d[right] < d[k])] if i == j else right[component[right] != component[k]]
+            right = right[np.argsort(n[right], kind="stable")]
+            least, most = np.searchsorted(n[right], n[left] * part / whole - 1), np.searchsorted(n[right], n[left] * whole / part + 1)
+            for k, low, high in zip(left, least, most):
+                others = right[low:high]  # of sizes that allow a link
+                others = others[(component[others] != component[k]) & (d[others] < d[k])] if i == j else others[component[others] != component[k]]
                 good = others[may_link(n[k], n[others], np.bitwise_count(bits[others] ^ bits[k]).sum(1, dtype=np.int64), part, whole)]
                 if wide[k] is not None and len(good):
                     distance = np.array([0 if wide[j] is None else wide_distance(wide[k], wide[j]) for j in good])
