@@ -15,7 +15,8 @@ def first_of_each(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "id"])
 
 
-def daily_volumes(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """(run_id, day, kind, n) of days that no event can join any more."""
-    days = events.where("ts is not null").withWatermark("ts", late).groupBy("run_id", F.window("ts", "1 day"), "kind").agg(F.count("*").alias("n"))
+def daily_volumes(events: DataFrame, late: str | None = "1 day") -> DataFrame:
+    """(run_id, day, kind, n) of days that no event can join any more; ``late`` is None where the events have their watermark already."""
+    dated = events.where("ts is not null")
+    days = (dated.withWatermark("ts", late) if late else dated).groupBy("run_id", F.window("ts", "1 day"), "kind").agg(F.count("*").alias("n"))
     return days.select("run_id", F.col("window.start").alias("day"), "kind", "n")

@@ -227,7 +227,7 @@ def test_stream_of_events(spark, tmp_path):
     schema = "run_id string, kind string, id string, ts timestamp, a string, b string"
     for i, rows in enumerate([[("r", "call", "1", datetime(2024, 1, 1, 1)), ("r", "call", "1", datetime(2024, 1, 1, 1)), ("r", "message", "2", datetime(2024, 1, 1, 2))], [("r", "call", "9", datetime(2024, 1, 9))]]):
         spark.createDataFrame([(*r, None, None) for r in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        volumes = streaming.daily_volumes(streaming.first_of_each(streaming.landing(spark, str(tmp_path / "in"), schema, 1)))
+        volumes = streaming.daily_volumes(streaming.first_of_each(streaming.landing(spark, str(tmp_path / "in"), schema, 1)), None)
         query = volumes.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
         query.awaitTermination(120)
     assert sorted((r.kind, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("call", 1), ("message", 1)]
