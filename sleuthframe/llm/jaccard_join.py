@@ -1,8 +1,10 @@
 """Similarity join of documents by the Jaccard index of their word shingles, through parity sketches.
 
 A sketch has k blocks; each shingle flips one bit in one block, so sketches differ in at most as many blocks and bits as the
-sets differ in shingles. Sets of a size band whose index reaches the threshold differ in at most D shingles: of k = D + 1 + SPARE
-blocks at least 1 + SPARE agree. Equal blocks meet by a pigeonhole join per size band, and pairs are verified on whole texts.
+sets differ in shingles. Sets of a size band whose index reaches the threshold differ in at most D shingles, so at most D of the
+band's blocks differ: two sets of which either fills more than D blocks agree in a block that is not empty. There are enough
+blocks that sets fill more than D of them but for chance; those that don't meet each other under a signature of their own. Equal
+blocks meet by a pigeonhole join per size band, and pairs are verified on whole texts.
 
 Equal sets are one class from the start. In a bucket of equal blocks every member is held against the least one, the pivot, only.
 All that met one pivot are then a group; where that leaves members of different components, those are held against each other by
@@ -27,8 +29,8 @@ from .lm_scoring import REMEMBERED_WORDS, Words, mix
 from .tables import discard, materialize
 
 U = np.uint64
-#: Blocks beyond those that pigeonhole needs: a set may have so many empty blocks before it meets others through empty ones.
-SPARE = 1
+#: Deviations by which a set fills more blocks than its band's sets may differ in, where it can.
+SURE = 6
 #: Growth of size bands; more than 1 / threshold, so that linked sets are in one band or in neighbouring ones.
 BAND = 1.6
 #: Bits of every set's sketch; a large set has a wide one besides, of half as many bits as it has shingles at least.
@@ -95,15 +97,29 @@ class Bands:
         while self.starts[-1] < 1 << 40:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * max(BAND, 1.01 * self.whole / self.part))))
         self.array = np.array(self.starts)
+        self.known: dict[int, int] = {}
 
     def difference(self, total: int) -> int:
         """The greatest symmetric difference of linked sets of ``total`` elements together."""
         return (self.whole - self.part) * total // (self.whole + self.part)
 
+    def most(self, band: int) -> int:
+        """The greatest difference of linked sets that meet in the band."""
+        return self.difference(2 * (self.starts[band + 1] - 1))
+
     def blocks(self, band: int) -> int:
         """Of the band's sketch; 0 if its linked sets are equal."""
-        most = self.difference(2 * (self.starts[band + 1] - 1))
-        return most + 1 + SPARE if most else 0
+        if band not in self.known:
+            most, n = self.most(band), max(1, self.starts[band] * self.part // self.whole)
+            k = most + 1
+            while k < 4 * n:  # the number of blocks that n shingles fill, by mean and deviation
+                a = n / k
+                filled, deviation = k * (1 - math.exp(-a)), math.sqrt(k * max(0.0, math.exp(-a) - (1 + a) * math.exp(-2 * a)))
+                if filled - SURE * deviation > most:
+                    break
+                k += 1 + k // 50
+            self.known[band] = k if most else 0
+        return self.known[band]
 
     def of(self, n: int) -> list[int]:
         """The bands in which a set of ``n`` elements looks for others: its own, and the next if a linked set may be there."""
@@ -112,7 +128,7 @@ class Bands:
 
 
 def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """One for each band and block of the set. Empty blocks only enter when there are more than SPARE, in groups of SPARE + 1."""
+    """One for each band and block that the set fills, and one for each band in which it fills no more than linked sets may differ in."""
     out, place, code = [], mix(h ^ U(0x5851F42D4C957F2D)), mix(h)
     for band in bands.of(len(h)):
         k = bands.blocks(band)
@@ -126,10 +142,8 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
         parity = np.bitwise_xor.reduceat(code[order], (np.cumsum(counts) - counts)[full])
         salt = U((band + 1) * 0xDA942042E4DD58B5 & 0xFFFFFFFFFFFFFFFF)
         out.append(mix(parity ^ mix(full.astype(U) + salt)))
-        empty = np.flatnonzero(counts == 0)
-        if len(empty) > SPARE:
-            first, second = np.triu_indices(len(empty), 1)
-            out.append(mix(mix(empty[first].astype(U) + salt) * U(3) + empty[second].astype(U)))
+        if len(full) <= bands.most(band):
+            out.append(mix(np.array([salt], U)))
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
