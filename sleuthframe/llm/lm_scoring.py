@@ -1,9 +1,10 @@
 """Language-model scores of texts from a log-frequency Bloom filter.
 
 Counts of words and word pairs over all training texts are quantised; for a count of level q the filter holds the n-gram with
-each number up to q, so a count is read by probing 1, 2, 3 ... until a number is missing. The filter has at most ``MOST_BITS``
-bits and is broadcast. Where all n-grams don't fit, the rarest counts stay out; how much of the text after contexts of each
-frequency is in the filter is known over all data, and the rest of the probability goes to single words.
+each number up to q, so a count is read by probing 1, 2, 3 ... until a number is missing. The filter holds every n-gram, those
+seen once too: it grows with the distinct ones, in shards by range of hash. A shard has at most ``MOST_BITS`` bits and is one
+broadcast; a worker holds one at a time and asks each for all n-grams of some texts. A fixed share of the probability after every
+context goes to single words.
 
 The base score uses exact counts: those of the most frequent words are broadcast (at most ``HEAD`` words), those of the others
 are joined.
@@ -20,19 +21,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import discard, materialize
+from .tables import discard, materialize, new_path
 
 HEAD = 300_000
 MOST_BITS = 1 << 28
-SEGMENTS = 256
+#: Segments of a filter, and those that the driver collects at once.
+SEGMENTS, GATHERED = 256, 64
 BITS_PER_ENTRY = 10
 PROBES = 6
-#: Tokens gathered before a task sends its pair counts, and those counted in one group.
-FLUSH, GROUP = 2_000_000, 6_000_000
+#: Tokens gathered before a task sends its pair counts, and those counted in one group, all of whose pairs are kept.
+FLUSH, GROUP = 2_000_000, 3_000_000
+#: Characters of texts scored at once, and how many times that at most where shards have to be loaded for them.
+PIECE, PIECES = 2_000_000, 4
 #: Share of a pair's relative frequency that is believed.
 TRUST = 0.4
 #: Neither can be a word, both being white space.
@@ -74,15 +78,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Filter:
-    """A Bloom filter in segments; an n-gram's bits all lie in the segment of its hash."""
+    """A Bloom filter in segments, or one of ``shards`` that it is split into; an n-gram's bits all lie in the segment of its hash."""
 
-    def __init__(self, bits: np.ndarray, least: dict[int, int]):
-        self.bits, self.least = bits, least  # least: the first level held, by order
+    def __init__(self, bits: np.ndarray, least: dict[int, int], shards: int = 1):
+        self.bits, self.least, self.shards = bits, least, shards  # least: the first level held, by order
         self.size = len(bits) * 8 // SEGMENTS
 
     @staticmethod
-    def segment(h: np.ndarray) -> np.ndarray:
-        return (h >> U(56)).astype(np.int64)
+    def segment(h: np.ndarray, shards: int = 1) -> np.ndarray:
+        """Numbers of segments, counted through all shards."""
+        return ((h >> U(32)) * U(SEGMENTS * shards) >> U(32)).astype(np.int64)
 
     @staticmethod
     def places(h: np.ndarray, number: int, size: int) -> Iterator[np.ndarray]:
@@ -96,7 +101,7 @@ class Filter:
     def level(self, h: np.ndarray, order: int) -> np.ndarray:
         """Levels read by probing; h is of n-grams of one order. A number is given up at its first missing bit."""
         found, alive, number = np.zeros(len(h), np.int64), np.arange(len(h)), self.least[order]
-        base, mask = self.segment(h) * self.size, U(self.size - 1)
+        base, mask = self.segment(h, self.shards) % SEGMENTS * self.size, U(self.size - 1)
         while len(alive):
             a = mix(h[alive] + U(number * STEP & MASK))
             b = (a >> U(32)) | U(1)
@@ -110,6 +115,29 @@ class Filter:
         return found
 
 
+class Shards:
+    """The broadcast shards of a filter, loaded one after another where there is more than one."""
+
+    def __init__(self, parts: list[Broadcast]):
+        self.parts = parts
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        """Levels of n-grams of any order."""
+        n = len(self.parts)
+        if n == 1:
+            return Filter(self.parts[0].value, {1: 1}).level(h, 1)
+        found, shard = np.zeros(len(h), np.int64), Filter.segment(h, n) // SEGMENTS
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(n + 1))
+        for part, low, high in zip(self.parts, ends, ends[1:]):
+            if low < high:
+                some = order[low:high]
+                found[some] = Filter(part.value, {1: 1}, n).level(h[some], 1)
+                if getattr(part, "_path", None):  # can be read again from the worker's disk
+                    del part._value
+        return found
+
+
 def is_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 != 0, F.lit(True))
 
@@ -167,8 +195,8 @@ class Words:
         return found
 
 
-def count_pairs(texts: DataFrame, head, groups: int, least: int) -> DataFrame:
-    """(h, c, bucket) of word pairs whose count over all texts is at least ``least``, and, with a null h, the tokens of each bucket.
+def count_pairs(texts: DataFrame, head, groups: int) -> DataFrame:
+    """(h, c, bucket) of all word pairs of the texts with their counts, and, with a null h, the tokens of each bucket.
 
     The bucket of a pair is the level of its first word's count, 0 where that word is not in ``head``.
     """
@@ -212,9 +240,8 @@ def count_pairs(texts: DataFrame, head, groups: int, least: int) -> DataFrame:
         c, h = np.add.reduceat(c, first), h[first]
         b = (h & U(255)).astype(np.int64)
         tokens = np.bincount(b, weights=c)
-        kept = c >= least
         used = np.flatnonzero(tokens)
-        out = pd.DataFrame({"h": pd.array(h[kept].view(np.int64), "Int64"), "c": c[kept], "bucket": b[kept].astype(np.int32)})
+        out = pd.DataFrame({"h": pd.array(h.view(np.int64), "Int64"), "c": c, "bucket": b.astype(np.int32)})
         return pd.concat([out, pd.DataFrame({"h": pd.array([None] * len(used), "Int64"), "c": tokens[used].astype(np.int64), "bucket": used.astype(np.int32)})])
 
     sent = texts.select("text").mapInArrow(run, "g int, h binary, c binary")
@@ -226,40 +253,44 @@ def by_size(counts: DataFrame) -> list:
     return sorted(tuple(r) for r in counts.groupBy(F.floor(8 * F.log2("c"))).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).select("low", "high", "n").collect())
 
 
-def least_count(counts: DataFrame, entries: int) -> int:
-    """The least count from which on all n-grams fit into ``entries`` entries."""
+def entries_of(counts: DataFrame) -> int:
+    """Entries of the filter that hold all ``counts``, one for each level of each n-gram; a few more where counts of two levels are counted together."""
     sizes = by_size(counts)
-    tops = level(np.array([high for _, high, _ in sizes], np.int64)) if sizes else np.zeros(0, np.int64)
-    for i, (low, _, _) in enumerate(sizes):
-        first = int(level(np.array([low]))[0])
-        if sum((int(top) - first + 1) * n for top, (_, _, n) in zip(tops[i:], sizes[i:])) <= entries:
-            return low
-    return LEVELS[-1]
+    return sum(int(top) * n for top, (_, _, n) in zip(level(np.array([high for _, high, _ in sizes], np.int64)), sizes))
+
+
+def shape(entries: int) -> tuple[int, int]:
+    """Shards, and bits of each, that give every entry ``BITS_PER_ENTRY`` at least; one shard has a power of two."""
+    shards = max(1, math.ceil(entries * BITS_PER_ENTRY / MOST_BITS))
+    return shards, MOST_BITS if shards > 1 else max(1 << 16, 1 << math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY))))
 
 
-def build_filter(words: DataFrame, pairs: DataFrame, least: dict[int, int], bits: int) -> np.ndarray:
-    """The filter's bytes: (h, c) of words from least[1] on and of pairs from least[2] on, set segment by segment."""
-    first = {order: int(level(np.array([c]))[0]) for order, c in least.items()}
+def build_filter(grams: DataFrame, shards: int, bits: int) -> Iterator[np.ndarray]:
+    """The bytes of each shard, of ``bits`` bits, with all ``grams`` (h, c), set segment by segment."""
     size = bits // SEGMENTS
 
     def set_bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         marks = np.zeros(size, bool)
-        for order, group in rows.groupby("n"):
-            h, top = group["h"].to_numpy().view(U), level(group["c"].to_numpy())
-            number = first[int(order)]
-            while len(h):
-                for place in Filter.places(h, number, size):
-                    marks[place] = True
-                number += 1
-                h, top = h[top >= number], top[top >= number]
+        h, top, number = rows["h"].to_numpy().view(U), level(rows["c"].to_numpy()), 1
+        while len(h):
+            for place in Filter.places(h, number, size):
+                marks[place] = True
+            number += 1
+            h, top = h[top >= number], top[top >= number]
         return pd.DataFrame({"s": [int(key[0])], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
 
-    rows = words.where(F.col("c") >= least[1]).select("h", "c", F.lit(1).alias("n")).unionByName(pairs.where(F.col("c") >= least[2]).select("h", "c", F.lit(2).alias("n")))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows.groupBy(F.shiftrightunsigned("h", 56).alias("s")).applyInPandas(set_bits, "s long, bits binary").collect():
-        part = np.frombuffer(r["bits"], np.uint8)
-        out[r["s"] * len(part) : (r["s"] + 1) * len(part)] = part
-    return out
+    segment = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * SEGMENTS * shards, 32)
+    made = grams.groupBy(segment.alias("s")).applyInPandas(set_bits, "s long, bits binary").withColumn("k", (F.col("s") / GATHERED).cast("int"))
+    path = new_path(grams.sparkSession, "filter")
+    made.repartition("k").write.partitionBy("k").parquet(path)
+    table = grams.sparkSession.read.schema("s long, bits binary, k int").parquet(path)
+    for shard in range(shards):
+        out, first = np.zeros((SEGMENTS, size // 8), np.uint8), shard * SEGMENTS
+        for k in range(first // GATHERED, (first + SEGMENTS) // GATHERED):  # each is a folder
+            for r in table.where(F.col("k") == k).select("s", "bits").collect():
+                out[r["s"] - first] = np.frombuffer(r["bits"], np.uint8)
+        yield out.reshape(-1)
+    discard(table)
 
 
 def hashed(vocabulary: DataFrame) -> DataFrame:
@@ -285,7 +316,7 @@ class Totals:
 class Scorer:
     """Model and base scores of texts in a worker."""
 
-    def __init__(self, bloom: Filter, head: dict[bytes, int], unseen: np.ndarray, totals: Totals):
+    def __init__(self, bloom: Shards, head: dict[bytes, int], unseen: np.ndarray, totals: Totals):
         self.bloom, self.head, self.totals = bloom, head, totals
         self.unseen = unseen  # probability left to single words, by level of the context
         self.reset()
@@ -295,29 +326,33 @@ class Scorer:
         self.start = self.known.numbers([START])
 
     def look_up(self) -> None:
-        """Counts of words not met before: quantised ones from the filter, exact ones of the head, -1 for others."""
-        new = self.known.words[len(self.counts) :]
-        q = self.bloom.level(mix(self.known.hashes[len(self.counts) : len(self.known.words)]), 1)
-        self.counts = np.concatenate([self.counts, VALUES[q]])
-        exact = np.array([self.head.get(w, -1) for w in new], np.int64)
+        """Exact counts of words not met before that are of the head, -1 for others."""
+        exact = np.array([self.head.get(w, -1) for w in self.known.words[len(self.exact) :]], np.int64)
         self.levels = np.concatenate([self.levels, np.where(exact > 0, level(exact), 0)])
         self.exact = np.concatenate([self.exact, exact])
+
+    def read(self, h: np.ndarray) -> np.ndarray:
+        """Quantised counts of pairs from the filter; those of words not met before are read with them."""
+        new = mix(self.known.hashes[len(self.counts) : len(self.known.words)])
+        values = VALUES[self.bloom.level(np.concatenate([new, h]))]
+        self.counts = np.concatenate([self.counts, values[: len(new)]])
         if len(self.counts) and self.counts[self.start[0]] == 0:
             self.counts[self.start[0]] = self.totals.documents
+        return values[len(new) :]
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """n_tokens, known tokens of the head, their base score, model score, and (text, word, count) of the other words."""
         if len(self.known.words) > REMEMBERED_WORDS:
             self.reset()
         numbers = [np.concatenate([self.start, self.known.numbers(words_of(t))]) for t in texts]
-        if len(self.known.words) > len(self.counts):
+        if len(self.known.words) > len(self.exact):
             self.look_up()
         sizes = np.array([len(n) - 1 for n in numbers])
         ends = np.cumsum(sizes)
         before, word = np.concatenate([n[:-1] for n in numbers]), np.concatenate([n[1:] for n in numbers])
         h = pair_hash(self.known.hashes[before], self.known.hashes[word], self.levels[before])
         unique, back = np.unique(h, return_inverse=True)
-        pairs = VALUES[self.bloom.level(unique, 2)][back]
+        pairs = self.read(unique)[back]
         single = (self.counts[word] + 0.1) / self.totals.scale
         share = np.minimum(pairs / np.maximum(self.counts[before], np.maximum(pairs, 1)), 1)
         model = np.log10(TRUST * share + self.unseen[self.levels[before]] * single)
@@ -345,28 +380,24 @@ def score_documents(documents: DataFrame, training: Callable[[Column], Column] =
     totals = Totals(n, v, docs)
     enough = least_count_for_head(vocabulary)
     head = spark.sparkContext.broadcast({bytes(r["token"]): r["c"] for r in vocabulary.where(F.col("c") >= enough).toLocalIterator()})
-    bits = min(MOST_BITS, max(1 << 16, 1 << math.ceil(math.log2(max(1, 4 * BITS_PER_ENTRY * n)))))
-    entries = bits // BITS_PER_ENTRY
-    pairs = materialize(count_pairs(texts, head, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // GROUP), 1 if 2 * n <= entries else 2), "pairs")
-    held = pairs.where("h is not null")
-    words = hashed(vocabulary)
-    least = {1: least_count(vocabulary, entries // 4), 2: least_count(held, entries - entries // 4)}
-    tokens = dict(pairs.where("h is null").groupBy("bucket").agg(F.sum("c")).collect())
-    inside = dict(held.where(F.col("c") >= least[2]).groupBy("bucket").agg(F.sum("c")).collect())
+    pairs = materialize(count_pairs(texts, head, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // GROUP)), "pairs")
     unseen = np.ones(len(LEVELS) + 1)
-    for bucket, total in tokens.items():
-        unseen[bucket] = 1 - TRUST * inside.get(bucket, 0) / total
-    bloom = spark.sparkContext.broadcast(Filter(build_filter(words, held, least, bits), {order: int(level(np.array([c]))[0]) for order, c in least.items()}))
+    for r in pairs.where("h is null").select("bucket").distinct().collect():
+        unseen[r["bucket"]] = 1 - TRUST
+    held = pairs.where("h is not null")
+    shards, bits = shape(entries_of(vocabulary) + entries_of(held))
+    bloom = Shards([spark.sparkContext.broadcast(part) for part in build_filter(hashed(vocabulary).unionByName(held.select("h", "c")), shards, bits)])
+    piece = PIECE * min(PIECES, shards)
     discard(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, row = Scorer(bloom.value, head.value, unseen, totals), TaskContext.get().partitionId() << 36
+        scorer, row = Scorer(bloom, head.value, unseen, totals), TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, all_texts = batch.column("doc_id"), batch.column("text").to_pylist()
             begin = 0
             while begin < len(all_texts):
                 end, size = begin, 0
-                while end < len(all_texts) and size < 2_000_000:
+                while end < len(all_texts) and size < piece:
                     size += len(all_texts[end] or "")
                     end += 1
                 sizes, known, base, model, text, word, count = scorer.score(all_texts[begin:end])

@@ -388,6 +388,41 @@ def test_words_beyond_the_head(documents, monkeypatch):
     assert {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6)) for r in lm_scoring.score_documents(documents).collect()} == whole
 
 
+def brute_model(rows):
+    """(doc_id, score) from all counts, read to their level."""
+    tokens = [(i, [w.encode().lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [b"\n"]) for i, t in rows]
+    kept = [w for i, w in tokens if i is None or zlib.crc32(str(i).encode()) % 10]
+    c, two = Counter(x for w in kept for x in w), Counter(x for w in kept for x in zip([b"\t", *w], w))
+    value = lambda n: float(lm_scoring.VALUES[lm_scoring.level(np.array([n]))[0]])
+    level = lambda w: int(lm_scoring.level(np.array([c[w]]))[0])
+    seen, scale = {level(a) for a, _ in two}, sum(c.values()) + 0.1 * (len(c) + 1)
+
+    def term(a, b):
+        pair, before = value(two[a, b]), len(kept) if a == b"\t" else value(c[a])
+        left = 1 - lm_scoring.TRUST if level(a) in seen else 1
+        return math.log10(lm_scoring.TRUST * min(pair / max(before, pair, 1), 1) + left * (value(c[b]) + 0.1) / scale)
+
+    return sorted((i is None, i or 0, round(sum(map(term, [b"\t", *w], w)), 5)) for i, w in tokens)
+
+
+@pytest.mark.parametrize("most", [28, 20])
+def test_model_scores_hold_every_count(documents, monkeypatch, most):
+    """In one shard, and in several; so many bits that none is read that isn't set."""
+    shape, made = lm_scoring.shape, []
+    monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << most)
+    monkeypatch.setattr(lm_scoring, "BITS_PER_ENTRY", 800)
+    monkeypatch.setattr(lm_scoring, "shape", lambda entries: made.append(shape(entries)) or made[-1])
+    got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 5)) for r in lm_scoring.score_documents(documents).collect())
+    assert got == [(a, b, pytest.approx(x, abs=1e-4)) for a, b, x in brute_model(docs())]
+    assert (made[0][0] > 1) == (most == 20)
+
+
+def test_filter_grows_with_its_entries():
+    for entries in (0, 10, 26_843_545, 26_843_546, 10**9):
+        shards, bits = lm_scoring.shape(entries)
+        assert bits <= lm_scoring.MOST_BITS and shards * bits >= lm_scoring.BITS_PER_ENTRY * entries
+
+
 def test_filter_reads_levels():
     h = lm_scoring.mix(np.arange(1, 5001, dtype=np.uint64))
     counts = np.random.default_rng(1).integers(1, 200, 5000)
