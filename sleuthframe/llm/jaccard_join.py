@@ -264,15 +264,20 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, distance: np.ndarray, part: int,
     return (np.minimum(n_a, n_b) * whole >= np.maximum(n_a, n_b) * part) & (distance * (whole + part) <= (whole - part) * (n_a + n_b))
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """``members`` once for each pair (i, j) of blocks of their pivot's group that their own block is in; g: the share of the pair, of about GROUP rows."""
+    counts = members.groupBy("pivot").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = counts.agg(F.coalesce(F.sum(F.col("size") * F.col("blocks")), F.lit(0))).first()[0]
+    groups = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / GROUP))
+    own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
+    out = members.join(counts, "pivot").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = out.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "component", "n", "sketch", "wide")
+    return out.withColumn("g", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
+
+
 def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of ``members`` (pivot, d, component, n, sketch, wide) that share a pivot, are of different components and may link."""
     part, whole = similarity
-    spark = members.sparkSession
-    counts = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
-    dealt = members.join(counts, "pivot").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "component", "n", "sketch", "wide")
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // GROUP)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -293,7 +298,7 @@ def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt.groupBy(F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)).alias("g")).applyInPandas(compare, "a long, b long").distinct()
+    return dealt(members).groupBy("g").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
