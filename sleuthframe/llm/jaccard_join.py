@@ -6,16 +6,20 @@ band's blocks differ: two sets of which either fills more than D blocks agree in
 blocks that sets fill more than D of them but for chance; those that don't meet each other under a signature of their own. Equal
 blocks meet by a pigeonhole join per size band, and pairs are verified on whole texts.
 
-Equal sets are one class from the start. In a bucket of equal blocks every member is held against the least one, the pivot, only.
-All that met one pivot are then a group; where that leaves members of different components, those are held against each other by
-whole sketches, in blocks. Only pairs whose sketches allow a link are verified, so no link between different components is lost,
-and no bucket is expanded into its pairs.
+Equal sets are one class from the start. Of the holders of a signature only pivots meet: each task holds its own against the least
+one among them, and only those least ones go on, to be held against the least of all. However many documents hold a signature, it
+thus sends one row for each million signatures or so of a task. All that met one pivot are then a group; where that leaves members
+of different components, those are held against each other by whole sketches: a group of up to ``BLOCK`` members directly, a larger
+one split by the rarest shingles of its members, of which two linked sets share one (prefix filter; its order only has to be the
+same for all, so frequencies in a table of bounded size will do). Only pairs whose sketches allow a link are verified, so no link
+between different components is lost, and no bucket is expanded into its pairs.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .lm_scoring import REMEMBERED_WORDS, Words, mix
+from .hashing import WordHasher, mix
 from .tables import discard, materialize
 
 U = np.uint64
@@ -39,33 +43,38 @@ SKETCH_BITS = 1024
 FLUSH, BUCKET = 1_500_000, 3_000_000
 #: Members of a group in one block of the comparison by sketches, and rows of such blocks in one task's share.
 BLOCK, GROUP = 4_000, 100_000
+#: Slots of the table of shingle frequencies, and those of one part of it.
+SLOTS, SLOT_PART = 1 << 22, 1 << 16
+#: Texts of a batch whose words are hashed at once.
+TEXTS = 500
 
 
 class Shingler:
     """Sets of hashed word shingles; the words are what is between blanks, A-Z in lower case."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, Words()
+        self.words, self.hasher = words, WordHasher()
         # odd factors: the sum of independent word hashes times these tells their order
         self.factors = (mix(np.arange(1, words + 1, dtype=U)) | U(1)).tolist()
         self.factors = list(map(U, self.factors))
 
-    def set(self, text: str | None) -> np.ndarray:
-        """Distinct hashes, sorted; the whole sequence is one shingle if it is shorter than a shingle."""
-        words = text.encode().lower().split() if text else []
-        if not words:
-            return np.zeros(0, U)
-        if len(self.known.words) > REMEMBERED_WORDS:
-            self.known = Words()
-        numbers = self.known.numbers(words)  # may make the table of hashes anew
-        h = self.known.hashes[numbers]
-        n = min(len(words), self.words)
-        last = len(h) - n + 1
-        total = np.full(last, n, U)
-        for i in range(n):
-            total += h[i : i + last] * self.factors[i]
-        total = np.sort(mix(total))
-        return total[np.concatenate([[True], total[1:] != total[:-1]])]
+    def sets(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+        """Distinct hashes of each text, sorted; the whole sequence is one shingle if it is shorter than a shingle."""
+        for h in self.hasher.words(texts):
+            if not len(h):
+                yield np.zeros(0, U)
+                continue
+            n = min(len(h), self.words)
+            last = len(h) - n + 1
+            total = np.full(last, n, U)
+            for i in range(n):
+                total += h[i : i + last] * self.factors[i]
+            total = np.sort(mix(total))
+            yield total[np.concatenate([[True], total[1:] != total[:-1]])]
+
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for k in range(0, len(texts), TEXTS):
+            yield from self.sets(texts.slice(k, TEXTS).to_pylist())
 
 
 def sketch(h: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
@@ -147,36 +156,100 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def digest(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
 def measured(rows: DataFrame, words: int) -> DataFrame:
     """(d, n, set, sketch, wide): size, digest and sketches of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = [shingler.set(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(list(map(len, sets)), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(map(sketch, sets)), pa.binary()), pa.array(list(map(wide_sketch, sets)), pa.binary())], names=["d", "n", "set", "sketch", "wide"])
+            found = [(len(h), digest(h), sketch(h), wide_sketch(h)) for h in shingler.batch(batch.column("text"))]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), *columns], names=["d", "n", "set", "sketch", "wide"])
 
     return rows.mapInArrow(run, "d long, n long, set binary, sketch binary, wide binary")
 
 
+def told_apart(rows: DataFrame, sets: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``rows`` (d, text) and ``sets`` with one d for each document's set, and the (d, of) that were made where one d had several sets.
+
+    Such a d stays with its least set; each other set has a number that no document has.
+    """
+    sets = sets.withColumn("doc", F.col("d"))
+    several = materialize(sets.where("d is not null").groupBy("d").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("d", "low"), "several")
+    if several.isEmpty():
+        return rows, sets, None
+    low, high = sets.agg(F.min("d"), F.max("d")).first()
+    free = high + 1 if high < 1 << 62 else low - (1 << 61)
+    twins = sets.join(several, "d").where("set <> low").select(F.col("d").alias("of"), "set").distinct()
+    twins = materialize(twins.withColumn("d", F.monotonically_increasing_id() + free), "twins")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(digest, shingler.batch(batch.column("text"))), pa.binary())], names=["of", "text", "set"])
+
+    own = rows.join(several.select("d"), "d", "left_semi").select(F.col("d").alias("of"), "text").mapInArrow(digests, "of long, text string, set binary")
+    own = materialize(own.join(twins, ["of", "set"], "left").select(F.coalesce("d", "of").alias("d"), "text"), "twin-texts")
+    rows = rows.join(several.select("d"), "d", "left_anti").unionByName(own)
+    sets = sets.withColumnRenamed("d", "of").join(twins, ["of", "set"], "left").withColumn("d", F.coalesce("d", "of")).drop("of")
+    return rows, materialize(sets, "sets"), twins.select("d", "of")
+
+
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def summed(d: np.ndarray, pivot: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """d, pivot, times and more of each pair of d and pivot."""
+    order = np.lexsort((pivot, d))
+    d, pivot, more = d[order], pivot[order], more[order]
+    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (pivot[1:] != pivot[:-1])])) if len(d) else np.zeros(0, np.int64)
+    return d[first], pivot[first], np.diff(np.append(first, len(d))), np.logical_or.reduceat(more, first) if len(d) else more
+
+
+def held(sig: np.ndarray, d: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct signatures with their least d and number of holders, and (d, least, more) of all that share a signature.
+
+    ``more``: whether more than two hold it; the least one is then paired with itself.
+    """
+    order = np.argsort(sig)
+    sig, d, holders = sig[order], d[order], holders[order]
+    first = starts_of(sig)
+    sizes = np.diff(np.append(first, len(sig)))
+    least, total = (np.minimum.reduceat(d, first), np.add.reduceat(holders, first)) if len(first) else (d, holders)
+    shared = np.repeat(sizes > 1, sizes)
+    x, pivot, more = d[shared], np.repeat(least, sizes)[shared], np.repeat(total > 2, sizes)[shared]
+    told = more | (x != pivot)
+    return sig[first], least, total, x[told], pivot[told], more[told]
+
+
 def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int) -> DataFrame:
-    """(d, pivot, times, more): documents that share signatures with the least one that has them, how many, and whether any is shared by three."""
+    """(d, pivot, times, more, near): documents that share signatures with a pivot, how many, whether any is shared by three, and whether they met it in a task of their own."""
     bands = Bands(similarity)
+    bounds = np.array([g * (1 << 64) // buckets for g in range(buckets)], U)
+    names = ["g", "sig", "d", "holders", "near"]
 
     def send(sigs: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
-        sig, d = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), list(map(len, sigs)))
-        group = (sig % U(buckets)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(buckets + 1))
-        found = [(g, sig[o].tobytes(), d[o].tobytes()) for g in range(buckets) if len(o := order[ends[g] : ends[g + 1]])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary()))], names=["g", "sig", "d"])
+        d = np.repeat(np.array(ids, np.int64), list(map(len, sigs)))
+        sig, least, holders, *near = held(np.concatenate(sigs), d, np.ones(len(d), np.int64))
+        near = np.stack(summed(*near)).astype(np.int64)
+        ends = [*np.searchsorted(sig, bounds).tolist(), len(sig)]
+        # what met here goes with the signatures, a share in each bucket
+        cuts = np.linspace(0, near.shape[1], buckets + 1).astype(int).tolist()
+        found = [(g, sig[i:j].tobytes(), least[i:j].tobytes(), holders[i:j].astype(np.uint32).tobytes(), near[:, k:m].tobytes()) for g, (i, j, k, m) in enumerate(zip(ends, ends[1:], cuts, cuts[1:])) if i < j or k < m]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), *[pa.binary()] * 4))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, sigs, ids, n = Shingler(words), set(), [], [], 0
         for batch in batches:
-            for d, text in zip(batch.column("d").to_pylist(), batch.column("text").to_pylist()):
-                h = shingler.set(text)
-                key = xxhash.xxh3_128_digest(h.tobytes())
+            for d, h in zip(batch.column("d").to_pylist(), shingler.batch(batch.column("text"))):
+                key = digest(h)
                 if key in seen:  # its class is here already
                     continue
                 if len(seen) < 1_000_000:
@@ -191,23 +264,24 @@ def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int)
             yield from send(sigs, ids)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.concatenate([np.frombuffer(x, U) for x in pdf["sig"]])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["d"]])
-        order = np.lexsort((d, sig))
-        sig, d = sig[order], d[order]
-        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (d[1:] != d[:-1])])
-        sig, d = sig[fresh], d[fresh]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        sizes = np.diff(np.append(first, len(sig)))
-        pivot, size = np.repeat(d[first], sizes), np.repeat(sizes, sizes)
-        met = (size > 2) | (size == 2) & (d != pivot)
-        d, pivot, more = d[met], pivot[met], size[met] > 2
-        order = np.lexsort((pivot, d))
-        d, pivot, more = d[order], pivot[order], more[order]
-        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (pivot[1:] != pivot[:-1])])) if len(d) else np.zeros(0, np.int64)
-        return pd.DataFrame({"d": d[first], "pivot": pivot[first], "times": np.diff(np.append(first, len(d))), "more": np.logical_or.reduceat(more, first) if len(d) else more})
-
-    return rows.mapInArrow(run, "g int, sig binary, d binary").groupBy("g").applyInPandas(meet, "d long, pivot long, times long, more boolean").groupBy("d", "pivot").agg(F.sum("times").alias("times"), F.max("more").alias("more"))
+        sig, d, holders = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("sig", U), ("d", np.int64), ("holders", np.uint32)))
+        far = np.stack(summed(*held(sig, d, holders.astype(np.int64))[3:])).astype(np.int64)
+        near = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in pdf["near"]], axis=1)
+        out = pd.DataFrame(np.concatenate([far, near], axis=1).T, columns=["d", "pivot", "times", "more"])
+        return out.assign(more=out["more"] > 0, near=np.arange(len(out)) >= far.shape[1])
+
+    found = rows.mapInArrow(run, "g int, sig binary, d binary, holders binary, near binary").groupBy("g").applyInPandas(meet, "d long, pivot long, times long, more boolean, near boolean")
+    return found.groupBy("d", "pivot").agg(F.sum("times").alias("times"), F.max("more").alias("more"), F.max("near").alias("near"))
+
+
+def grouped(hits: DataFrame) -> DataFrame:
+    """(pivot, d): the groups of all that hold a signature which three hold.
+
+    Those that met a pivot in a task of their own are also of the groups that this pivot is of.
+    """
+    groups = hits.where("more").select("pivot", "d")
+    through = hits.where("near").select("d", F.col("pivot").alias("via")).join(groups.withColumnRenamed("d", "via"), "via").select("pivot", "d")
+    return groups.unionByName(through)
 
 
 def linked(rows: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
@@ -218,11 +292,11 @@ def linked(rows: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, b_set = Shingler(words), None, None
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if b != last:  # rows come sorted by b
-                    last, b_set = b, shingler.set(b)
-                a_set = shingler.set(a)
+            keep, texts = [], batch.column("text_b")
+            for i, a_set in enumerate(shingler.batch(batch.column("text_a"))):
+                b = texts[i].as_py()
+                if b_set is None or b != last:  # rows come sorted by b
+                    last, (b_set,) = b, shingler.sets([b])
                 common = len(np.intersect1d(a_set, b_set, assume_unique=True))
                 keep.append(common > 0 and whole * common >= part * (len(a_set) + len(b_set) - common))
             mask = pa.array(keep, pa.bool_())
@@ -301,25 +375,74 @@ def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return dealt(members).groupBy("g").applyInPandas(compare, "a long, b long").distinct()
 
 
+def frequencies(texts: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of the sets of ``texts`` (text) each slot has; at most ``SLOTS`` numbers, counted in parts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, counts = Shingler(words), np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            for h in shingler.batch(batch.column("text")):
+                np.add.at(counts, (h % U(SLOTS)).astype(np.int64), 1)
+        parts = counts.reshape(-1, min(SLOT_PART, SLOTS))
+        full = np.flatnonzero(parts.any(1)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[k].tobytes() for k in full], pa.binary())], names=["part", "counts"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = functools.reduce(np.add, (np.frombuffer(x, np.uint32) for x in pdf["counts"]))
+        return pd.DataFrame({"part": [int(key[0])], "counts": [total.tobytes()]})
+
+    out = np.zeros((max(1, SLOTS // SLOT_PART), min(SLOT_PART, SLOTS)), np.uint32)
+    for r in texts.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+        out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.reshape(-1)
+
+
+def rarest(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(pivot, d): the rarest shingles of each of ``texts`` (d, text) that others may have too, so many that linked sets share one."""
+    part, whole = similarity
+    known = texts.sparkSession.sparkContext.broadcast(frequencies(texts, words))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            out_h, out_d = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for d, h in zip(batch.column("d").to_pylist(), shingler.batch(batch.column("text"))):
+                often = known.value[(h % U(SLOTS)).astype(np.int64)]
+                first = np.lexsort((h, often))[: len(h) + 1 - -(-part * len(h) // whole)]
+                out_h.append(h[first[often[first] > 1]])
+                out_d.append(np.full(len(out_h[-1]), d, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_h).view(np.int64)), pa.array(np.concatenate(out_d))], names=["pivot", "d"])
+
+    return texts.mapInArrow(choose, "pivot long, d long")
+
+
+def open_groups(member: DataFrame) -> DataFrame:
+    """Those of ``member`` (pivot, d, component) whose groups have members of more than one component; size: of the group."""
+    found = member.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    return member.join(found.where("low <> high").select("pivot", "size"), "pivot")
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``documents``.
 
     A document's set holds its distinct shingles of ``words`` words; with fewer words it is the whole sequence, and without
     words or text it is empty and links with nothing. Documents link when the Jaccard index of their sets is at least
     ``similarity`` (part, whole), exactly. component_id is the least doc_id reachable by links, the row's own included. Repeated
-    rows get equal results; rows of one doc_id with different texts share a component_id. A null doc_id links with nothing and
-    has a null component_id. An empty table stays empty; other columns are not read.
+    rows get equal results; rows of one doc_id with different texts share a component_id and whatever either links with. doc_id
+    is an integer, or a text that Spark casts to a long (one that isn't is an error). A null doc_id links with nothing and has a
+    null component_id. An empty table stays empty; other columns are not read.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("d"), "text")
-    sets = materialize(measured(rows, words), "sets")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    first = materialize(measured(rows, words), "sets")
+    rows, sets, twins = told_apart(rows, first, words)
     usable = rows.where("d is not null")
     full = sets.where("d is not null and n > 0")
     classes = full.groupBy("set").agg(F.min("d").alias("rep"), F.max("d").alias("most")).where("rep <> most").select("set", "rep")
-    copies = materialize(full.join(classes, "set").where("d <> rep").select("d", "rep").groupBy("d").agg(F.min("rep").alias("rep")), "copies")
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    copies = materialize(full.join(classes, "set").where("d <> rep").select("d", "rep").distinct(), "copies")
     share = 2 * (similarity[1] - similarity[0]) / (similarity[1] + similarity[0])
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * share * total / BUCKET))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * share * size / 5 / BUCKET))
     hits = materialize(met(usable, words, similarity, buckets), "hits")
 
     def of_class(frame: DataFrame, *columns: str) -> DataFrame:
@@ -334,23 +457,35 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
     pairs = materialize(possible(shared, sizes, similarity), "pairs")
     # most documents are linked to the one with which they share most; other pairs only matter where that leaves them apart
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
-    links = materialize(linked(usable, best, words, similarity), "links")
+    links = linked(usable, best, words, similarity)
+    if twins is not None:
+        links = links.unionByName(of_class(twins.toDF("a", "b"), "a", "b"))
+    links = materialize(links, "links")
     components = materialize(connected_components(links.toDF("src", "dst")), "components")
     apart = separate(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), components)
     links = materialize(links.unionByName(linked(usable, materialize(apart, "pairs"), words, similarity)), "links")
     components = materialize(connected_components(links.toDF("src", "dst")), "components")
-    # groups whose members are of more than one component
-    member = of_class(hits.where("more").select("pivot", "d"), "d").join(components.withColumnRenamed("node", "d"), "d", "left").select("pivot", "d", F.coalesce("component", "d").alias("component")).distinct()
-    member = materialize(member, "members")
-    open_groups = member.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("pivot")
-    open_members = member.join(open_groups, "pivot").join(sizes, "d")
-    more = materialize(across(open_members, similarity), "pairs")
+
+    def of_component(member: DataFrame) -> DataFrame:
+        return member.join(components.withColumnRenamed("node", "d"), "d", "left").select("pivot", "d", F.coalesce("component", "d").alias("component")).distinct()
+
+    open_members = materialize(open_groups(of_component(of_class(grouped(hits), "d"))), "members")
+    direct, large = open_members.where(F.col("size") <= BLOCK).drop("size"), open_members.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        texts = materialize(usable.join(large.select("d").distinct(), "d").dropDuplicates(["d"]), "open-texts")
+        direct = direct.unionByName(open_groups(of_component(rarest(texts, words, similarity))).drop("size"))
+        direct = materialize(direct, "members")
+    more = materialize(across(direct.join(sizes, "d"), similarity), "pairs")
     if not more.isEmpty():
         links = materialize(links.unionByName(linked(usable, more, words, similarity)), "links")
         components = connected_components(links.toDF("src", "dst"))
-    found = sets.select("d", "n").join(copies, "d", "left").withColumn("rep", F.coalesce("rep", "d")).join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    found = sets.select("doc", "d", "n").join(copies, "d", "left").withColumn("rep", F.coalesce("rep", "d")).join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    found = found.select("doc", "n", F.coalesce("component", "rep").alias("component"))
+    if twins is not None:  # the least number may be one that was made
+        least = found.groupBy("component").agg(F.min("doc").alias("least"))
+        found = found.join(least, "component", "left").select("doc", "n", F.col("least").alias("component"))
     discard(hits)
-    return found.select(F.col("d").cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return found.select(F.col("doc").cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def without_near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:

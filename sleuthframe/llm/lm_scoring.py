@@ -25,6 +25,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import mix
 from .tables import discard, materialize, new_path
 
 HEAD = 300_000
@@ -58,13 +59,6 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(STARTS, counts, side="right")
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit numbers (the finalizer of splitmix64)."""
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
 def pair_hash(first: np.ndarray, second: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """56 bits of hash, and the bucket of the first word."""
     return (mix(first * U(0x9E3779B97F4A7C15) + second) & U(MASK - 255)) | bucket.astype(U)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sleuthframe.llm import bpe, chat, components, embedding_dedup, jaccard_join, line_dedup, lm_scoring, media, packing, token_counts, toxicity
+from sleuthframe.llm import bpe, chat, components, embedding_dedup, hashing, jaccard_join, line_dedup, lm_scoring, media, packing, token_counts, toxicity
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, lang string, n_tokens string, score string, row string"
@@ -311,6 +311,60 @@ def test_jaccard_join_on_drifting_copies(spark, seed):
     assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, 4, 85, 100)
 
 
+def test_jaccard_join_of_two_texts_of_one_document(spark):
+    """Each text of a doc_id has partners, copies and near copies; they all meet in one component."""
+    x, y, z = (common(WORDS, 60, s) for s in (31, 32, 33))
+    rows = [(1, x), (2, y), (5, x), (5, y), (7, z), (7, x + " end"), (3, z + " end"), (8, z), (9, common(WORDS, 60, 34)), (4, y + " end"), (5, y), (11, None), (11, "")]
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 4, (85, 100))
+        want = {i: 1 for i in (1, 2, 3, 4, 5, 7, 8)} | {9: 9, 11: 11}
+        found = [tuple(r) for r in got.collect()]
+        assert {(i, c) for i, _, c in found} == set(want.items())
+        assert Counter((i, n) for i, n, _ in found) == Counter((i, len(shingle_set(t, 4))) for i, t in rows)
+
+
+@pytest.mark.parametrize("block, slots", [(2, 1 << 16), (3, 8)])
+def test_jaccard_join_of_large_groups(spark, monkeypatch, block, slots):
+    """Many documents around one passage, with copies among them: groups split by rare shingles, in small blocks and many sendings."""
+    for name, value in (("BLOCK", block), ("GROUP", 40), ("FLUSH", 300), ("SLOTS", slots), ("SLOT_PART", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = np.random.default_rng(8)
+    passage, rows = common(WORDS, 60, 40), []
+    for _ in range(25):
+        own = [str(rng.choice(WORDS)) + str(rng.integers(1000)) for _ in range(rng.integers(4, 40))]
+        for _ in range(int(rng.choice([1, 1, 2, 4]))):
+            own = list(own)
+            own[rng.integers(len(own))] = str(rng.integers(100))
+            rows.append(passage + " " + " ".join(own))
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(rows)), rows)]
+    used = []
+    monkeypatch.setattr(jaccard_join, "rarest", lambda *a, f=jaccard_join.rarest: used.append(1) or f(*a))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, (85, 100))
+    assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, 4, 85, 100)
+    assert used
+
+
+def test_holders_of_a_signature_send_one(monkeypatch):
+    sig, d = np.array([5, 5, 5, 9, 7, 7], np.uint64), np.array([3, 1, 2, 4, 8, 6])
+    distinct, least, holders, x, pivot, more = jaccard_join.held(sig, d, np.ones(6, np.int64))
+    assert (distinct.tolist(), least.tolist(), holders.tolist()) == ([5, 7, 9], [1, 6, 4], [3, 2, 1])
+    assert sorted(zip(x.tolist(), pivot.tolist(), more.tolist())) == [(1, 1, True), (2, 1, True), (3, 1, True), (8, 6, False)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\tÉé中\x1c\x0b", max_size=30)), max_size=12), st.sampled_from([3, 8, 1 << 18]))
+def test_word_hashes_tell_words_apart(texts, piece):
+    before, hashing.PIECE = hashing.PIECE, piece
+    try:
+        found = list(hashing.WordHasher().words(texts))
+    finally:
+        hashing.PIECE = before
+    words = [(t or "").encode().lower().split() for t in texts]
+    assert [len(h) for h in found] == [len(w) for w in words]
+    pairs = {(w, h) for ws, hs in zip(words, found) for w, h in zip(ws, hs.tolist())}
+    assert len({w for w, _ in pairs}) == len({h for _, h in pairs}) == len(pairs)
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=6))
 def test_sketches_bound_differences(a, more):
     x, y = (np.sort(np.array(list(s), np.uint64)) for s in (a, a | more))
