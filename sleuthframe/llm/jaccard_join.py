@@ -6,9 +6,9 @@ band's blocks differ: two sets of which either fills more than D blocks agree in
 blocks that sets fill more than D of them but for chance; those that don't meet each other under a signature of their own. Equal
 blocks meet by a pigeonhole join per size band, and pairs are verified on whole texts.
 
-Equal sets are one class from the start. Of the holders of a signature only pivots meet: each task holds its own against the least
-one among them, and only those least ones go on, to be held against the least of all. However many documents hold a signature, it
-thus sends one row for each million signatures or so of a task. All that met one pivot are then a group; where that leaves members
+Equal sets are one class from the start. The holders of a signature are held against the least of them, the pivot. Where a task has
+more than a few of them, it holds these against the least of its own, which alone goes on: however many documents hold a signature, a
+few rows are sent for each million signatures of a task. All that met one pivot are then a group; where that leaves members
 of different components, those are held against each other by whole sketches: a group of up to ``BLOCK`` members directly, a larger
 one split by the rarest shingles of its members, of which two linked sets share one (prefix filter; its order only has to be the
 same for all, so frequencies in a table of bounded size will do). Only pairs whose sketches allow a link are verified, so no link
@@ -41,6 +41,8 @@ BAND = 1.6
 SKETCH_BITS = 1024
 #: Signatures that a task gathers before it sends them, and those of one bucket.
 FLUSH, BUCKET = 1_500_000, 3_000_000
+#: A signature with more holders among those that a task sends at once goes as one.
+FEW = 8
 #: Members of a group in one block of the comparison by sketches, and rows of such blocks in one task's share.
 BLOCK, GROUP = 4_000, 100_000
 #: Slots of the table of shingle frequencies, and those of one part of it.
@@ -213,36 +215,41 @@ def summed(d: np.ndarray, pivot: np.ndarray, more: np.ndarray) -> tuple[np.ndarr
     return d[first], pivot[first], np.diff(np.append(first, len(d))), np.logical_or.reduceat(more, first) if len(d) else more
 
 
-def held(sig: np.ndarray, d: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct signatures with their least d and number of holders, and (d, least, more) of all that share a signature.
+def held(sig: np.ndarray, d: np.ndarray, holders: np.ndarray, few: int) -> tuple[np.ndarray, ...]:
+    """(signature, d, holders) to be sent on, and (d, pivot, more) of those that met the least d with their signature.
 
-    ``more``: whether more than two hold it; the least one is then paired with itself.
+    A signature of up to ``few`` rows is sent on as it is, one of more as its least d with the sum of its holders. ``more``:
+    whether more than two hold it; the least one is then paired with itself.
     """
     order = np.argsort(sig)
     sig, d, holders = sig[order], d[order], holders[order]
     first = starts_of(sig)
     sizes = np.diff(np.append(first, len(sig)))
     least, total = (np.minimum.reduceat(d, first), np.add.reduceat(holders, first)) if len(first) else (d, holders)
-    shared = np.repeat(sizes > 1, sizes)
+    many = sizes > few
+    shared = np.repeat(many, sizes)
     x, pivot, more = d[shared], np.repeat(least, sizes)[shared], np.repeat(total > 2, sizes)[shared]
     told = more | (x != pivot)
-    return sig[first], least, total, x[told], pivot[told], more[told]
+    rows = np.sort(np.concatenate([np.flatnonzero(~shared), first[many]]))  # by signature, still
+    size = np.repeat(total, sizes)
+    return sig[rows], np.where(shared, np.repeat(least, sizes), d)[rows], np.where(shared, size, holders)[rows], x[told], pivot[told], more[told]
 
 
 def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int) -> DataFrame:
-    """(d, pivot, times, more, near): documents that share signatures with a pivot, how many, whether any is shared by three, and whether they met it in a task of their own."""
-    bands = Bands(similarity)
+    """(d, pivot, times, more, near): documents that share signatures with a pivot, and how many; more: whether three hold one; near: whether they met in a task of their own."""
+    bands, shares = Bands(similarity), -(-buckets // 4)
     bounds = np.array([g * (1 << 64) // buckets for g in range(buckets)], U)
     names = ["g", "sig", "d", "holders", "near"]
 
     def send(sigs: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
         d = np.repeat(np.array(ids, np.int64), list(map(len, sigs)))
-        sig, least, holders, *near = held(np.concatenate(sigs), d, np.ones(len(d), np.int64))
+        sig, least, holders, *near = held(np.concatenate(sigs), d, np.ones(len(d), np.int64), FEW)
         near = np.stack(summed(*near)).astype(np.int64)
-        ends = [*np.searchsorted(sig, bounds).tolist(), len(sig)]
-        # what met here goes with the signatures, a share in each bucket
-        cuts = np.linspace(0, near.shape[1], buckets + 1).astype(int).tolist()
-        found = [(g, sig[i:j].tobytes(), least[i:j].tobytes(), holders[i:j].astype(np.uint32).tobytes(), near[:, k:m].tobytes()) for g, (i, j, k, m) in enumerate(zip(ends, ends[1:], cuts, cuts[1:])) if i < j or k < m]
+        ends = np.append(np.searchsorted(sig, bounds), len(sig))
+        # what met here goes with the signatures, a share with each bucket
+        full = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+        cuts = np.linspace(0, near.shape[1], len(full) + 1).astype(int).tolist()
+        found = [(g, sig[i:j].tobytes(), least[i:j].tobytes(), holders[i:j].astype(np.uint32).tobytes(), near[:, k:m].tobytes()) for g, k, m in zip(full, cuts, cuts[1:]) for i, j in [ends[g : g + 2]]]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), *[pa.binary()] * 4))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,24 +271,36 @@ def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int)
             yield from send(sigs, ids)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows of d, pivot, times, more and near, together for all d of a share."""
         sig, d, holders = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("sig", U), ("d", np.int64), ("holders", np.uint32)))
-        far = np.stack(summed(*held(sig, d, holders.astype(np.int64))[3:])).astype(np.int64)
+        far = np.stack(summed(*held(sig, d, holders.astype(np.int64), 1)[3:])).astype(np.int64)
         near = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in pdf["near"]], axis=1)
-        out = pd.DataFrame(np.concatenate([far, near], axis=1).T, columns=["d", "pivot", "times", "more"])
-        return out.assign(more=out["more"] > 0, near=np.arange(len(out)) >= far.shape[1])
+        rows = np.concatenate([np.vstack([far, np.zeros_like(far[:1])]), np.vstack([near[:3], np.zeros_like(near[:1]), np.ones_like(near[:1])])], axis=1)
+        share = (mix(rows[0].astype(U)) % U(shares)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        first = starts_of(share[order])
+        parts = np.split(rows[:, order], first[1:], axis=1)
+        return pd.DataFrame({"share": share[order][first], "rows": [x.tobytes() for x in parts if x.size]})
 
-    found = rows.mapInArrow(run, "g int, sig binary, d binary, holders binary, near binary").groupBy("g").applyInPandas(meet, "d long, pivot long, times long, more boolean, near boolean")
-    return found.groupBy("d", "pivot").agg(F.sum("times").alias("times"), F.max("more").alias("more"), F.max("near").alias("near"))
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, pivot, times, more, near = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in pdf["rows"]], axis=1)
+        order = np.lexsort((pivot, d))
+        d, pivot = d[order], pivot[order]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (pivot[1:] != pivot[:-1])]))
+        return pd.DataFrame({"d": d[first], "pivot": pivot[first], "times": np.add.reduceat(times[order], first), "more": np.maximum.reduceat(more[order], first) > 0, "near": np.maximum.reduceat(near[order], first) > 0})
+
+    found = rows.mapInArrow(run, "g int, sig binary, d binary, holders binary, near binary").groupBy("g").applyInPandas(meet, "share long, rows binary")
+    return found.groupBy("share").applyInPandas(add, "d long, pivot long, times long, more boolean, near boolean")
 
 
 def grouped(hits: DataFrame) -> DataFrame:
     """(pivot, d): the groups of all that hold a signature which three hold.
 
-    Those that met a pivot in a task of their own are also of the groups that this pivot is of.
+    Those that met a pivot in a task of their own are of the groups that this pivot is of, or of its own if it is of none.
     """
     groups = hits.where("more").select("pivot", "d")
-    through = hits.where("near").select("d", F.col("pivot").alias("via")).join(groups.withColumnRenamed("d", "via"), "via").select("pivot", "d")
-    return groups.unionByName(through)
+    near = hits.where("near").select("d", F.col("pivot").alias("via")).join(groups.withColumnRenamed("d", "via"), "via", "left")
+    return groups.unionByName(near.select(F.coalesce("pivot", "via").alias("pivot"), "d"))
 
 
 def linked(rows: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
@@ -439,7 +458,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
     rows, sets, twins = told_apart(rows, first, words)
     usable = rows.where("d is not null")
     full = sets.where("d is not null and n > 0")
-    classes = full.groupBy("set").agg(F.min("d").alias("rep"), F.max("d").alias("most")).where("rep <> most").select("set", "rep")
+    classes = materialize(full.groupBy("set").agg(F.min("d").alias("rep"), F.max("d").alias("most")).where("rep <> most").select("set", "rep"), "classes")
     copies = materialize(full.join(classes, "set").where("d <> rep").select("d", "rep").distinct(), "copies")
     share = 2 * (similarity[1] - similarity[0]) / (similarity[1] + similarity[0])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * share * size / 5 / BUCKET))

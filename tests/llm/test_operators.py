@@ -326,7 +326,7 @@ def test_jaccard_join_of_two_texts_of_one_document(spark):
 @pytest.mark.parametrize("block, slots", [(2, 1 << 16), (3, 8)])
 def test_jaccard_join_of_large_groups(spark, monkeypatch, block, slots):
     """Many documents around one passage, with copies among them: groups split by rare shingles, in small blocks and many sendings."""
-    for name, value in (("BLOCK", block), ("GROUP", 40), ("FLUSH", 300), ("SLOTS", slots), ("SLOT_PART", 16)):
+    for name, value in (("BLOCK", block), ("GROUP", 40), ("FLUSH", 300), ("SLOTS", slots), ("SLOT_PART", 16), ("FEW", block - 1)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(8)
     passage, rows = common(WORDS, 60, 40), []
@@ -344,11 +344,15 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch, block, slots):
     assert used
 
 
-def test_holders_of_a_signature_send_one(monkeypatch):
+def test_holders_of_a_signature_send_one():
     sig, d = np.array([5, 5, 5, 9, 7, 7], np.uint64), np.array([3, 1, 2, 4, 8, 6])
-    distinct, least, holders, x, pivot, more = jaccard_join.held(sig, d, np.ones(6, np.int64))
-    assert (distinct.tolist(), least.tolist(), holders.tolist()) == ([5, 7, 9], [1, 6, 4], [3, 2, 1])
-    assert sorted(zip(x.tolist(), pivot.tolist(), more.tolist())) == [(1, 1, True), (2, 1, True), (3, 1, True), (8, 6, False)]
+    sent = lambda few: tuple(x.tolist() for x in jaccard_join.held(sig, d, np.ones(6, np.int64), few))
+    distinct, least, holders, x, pivot, more = sent(1)
+    assert (distinct, least, holders) == ([5, 7, 9], [1, 6, 4], [3, 2, 1])
+    assert sorted(zip(x, pivot, more)) == [(1, 1, True), (2, 1, True), (3, 1, True), (8, 6, False)]
+    distinct, least, holders, x, pivot, more = sent(2)
+    assert (sorted(zip(distinct, least)), sorted(holders)) == ([(5, 1), (7, 6), (7, 8), (9, 4)], [1, 1, 1, 3])
+    assert sorted(zip(x, pivot)) == [(1, 1), (2, 1), (3, 1)]
 
 
 @settings(max_examples=200, deadline=None)
