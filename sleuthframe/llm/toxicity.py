@@ -2,7 +2,8 @@
 
 Features: densities of a seed lexicon and of a lexicon learned from labelled rows (words and word beginnings that toxic
 documents hold far more often), how near second-person words stand to its words, capitals, punctuation and obfuscation rates.
-The lexicon, the trees and the calibration are fitted on at most ``SAMPLE`` labelled rows; scoring is one pass without shuffle.
+The lexicon, the trees and the calibration are fitted on bounded samples of the labelled rows of either class, weighted so that
+classes count as often as they occur; the rows that calibrate teach neither lexicon nor trees. Scoring is one pass without shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 from typing import Any
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .tables import discard, materialize
 
-#: Labelled rows used at most, taken by hash of doc_id.
-SAMPLE = 12_000
+#: Labelled rows of each class used at most (clean, toxic), taken by hash of doc_id from those whose documents are there.
+SAMPLE = (8_000, 4_000)
 #: Entries of the learned lexicon at most.
 LEXICON = 5_000
 THRESHOLD = 0.3
@@ -39,11 +41,18 @@ LEET = str.maketrans("013457@$!", "oieastasi", "*._-#'’")
 VOWELS = re.compile("[aeiouáéíóúàèìòùâêîôûäëïöüy]")
 
 WORD = re.compile(r"[^\W\d_]+")
-OBFUSCATED = re.compile(r"[^\W\d_]+(?:[*@$!#0-9_]+[^\W\d_]+)+|(?<!\w)[^\W\d_](?:[.\- *_][^\W\d_]){3,}(?!\w)")
+#: Signs inside a word, and letters apart from each other; letters apart always hold what LETTERS_APART_PART finds fast.
+SIGNS = re.compile(r"(?<=[^\W\d_])[*@$!#0-9_]+(?=[^\W\d_])")
+LETTERS_APART = re.compile(r"(?<!\w)[^\W\d_](?:[.\- ][^\W\d_]){3,}(?!\w)")
+LETTERS_APART_PART = re.compile(r"[.\- ][^\W\d_][.\- ][^\W\d_][.\- ]")
+LETTERS = re.compile(r"[^\W\d_]*")
 TRIPLED = re.compile(r"([^\W\d_])\1\1")
 RUN = re.compile(r"(.)\1+")
 SHOUTS = re.compile(r"[!?]{2,}")
+#: Lengths of the word beginnings that are learned.
 STEM_LENGTHS = (4, 5, 6, 8)
+#: Capitals and letters of the first plane.
+CAPITAL, LETTER = (np.array([f(chr(i)) for i in range(1 << 16)]) for f in (str.isupper, str.isalpha))
 REMEMBERED_WORDS = 500_000
 
 NAMES = (
@@ -53,9 +62,9 @@ NAMES = (
 )
 
 
-def stems(word: str) -> list[str]:
+def stems(word: str, lengths: tuple[int, ...] = STEM_LENGTHS) -> list[str]:
     """The word, and its beginnings marked by a star."""
-    return [word, *(word[:n] + "*" for n in STEM_LENGTHS if len(word) >= n)]
+    return [word, *(word[:n] + "*" for n in lengths if len(word) >= n)]
 
 
 class Lexicon:
@@ -63,6 +72,7 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
+        self.lengths = tuple(sorted({len(w) - 1 for w in weights if w[-1] == "*"}))
         self.skeletons = {VOWELS.sub("", s) for s in (*SEEDS, *(w for w in weights if w[-1] != "*")) if len(s) >= 5}
         self.squeezed = {RUN.sub(r"\1", w): v for w, v in weights.items() if w[-1] != "*"}
         self.seen: dict[str, float] = {}
@@ -71,7 +81,7 @@ class Lexicon:
         return Lexicon, (self.weights,)
 
     def weight(self, word: str) -> float:
-        found = max((self.weights.get(s, 0.0) for s in stems(word)), default=0.0)
+        found = max((self.weights.get(s, 0.0) for s in stems(word, self.lengths)), default=0.0)
         if TRIPLED.search(word):
             found = max(found, self.squeezed.get(RUN.sub(r"\1", word), 0.0))
         if len(self.seen) >= REMEMBERED_WORDS:
@@ -81,8 +91,8 @@ class Lexicon:
         return found
 
     def weights_of(self, words: list[str]) -> list[float]:
-        get = self.seen.get
-        return [self.weight(w) if v is None else v for w, v in zip(words, map(get, words))]
+        found = list(map(self.seen.get, words))
+        return [self.weight(w) if v is None else v for w, v in zip(words, found)] if None in found else found
 
     def hidden(self, token: str) -> bool:
         """Whether an obfuscated token stands for a word of the lexicon."""
@@ -96,24 +106,46 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     per = 1 / max(n, 1)
     words = list(map(str.lower, tokens))
     weights = lexicon.weights_of(words)
-    hits = [i for i, w in enumerate(weights) if w > 0]
+    hits = [i for i, w in enumerate(weights) if w]
     seeds = sum(map(SEEDS.__contains__, words))
     second = [i for i, w in enumerate(words) if w in SECOND_PERSON] if hits else []
     near = gaps(hits, second)
-    data = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
-    letters = max(1, int(data[65:91].sum() + data[97:123].sum()))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    data = np.bincount(np.minimum(codes, 255), minlength=256)
+    plane = np.minimum(codes, 0xFFFF)
+    letters = max(1, int(LETTER[plane].sum()))
     size = max(1, len(text))
-    hidden = OBFUSCATED.findall(text)
+    hidden = obfuscated(text)
+    same = codes[1:] == codes[:-1]
+    stretched = len(TRIPLED.findall(text)) if (same[1:] & same[:-1]).any() else 0
+    shouting = (codes == 33) | (codes == 63)
+    shouts = len(SHOUTS.findall(text)) if (shouting[1:] & shouting[:-1]).any() else 0
     window = max((j + 1 - k for j, k in windows(hits, 50)), default=0)
     values = [weights[i] for i in hits]
     return [
         math.log1p(n), seeds * per, seeds, len(hits), len(hits) * per, len({words[i] for i in hits}), max(values, default=0.0), sum(values) / len(values) if values else 0.0, window,
-        (len(second) if hits else sum(map(SECOND_PERSON.__contains__, words))) * per, 1 / (1 + min(near)) if near else 0.0, sum(g <= 10 for g in near), int(data[65:91].sum()) / letters, sum(len(t) > 2 and t.isupper() for t in tokens) * per,
-        int(data[33]) * per, int(data[63]) * per, int(data[33:48].sum() + data[58:65].sum() + data[91:97].sum()) / size, int(data[48:58].sum()) / size, len(SHOUTS.findall(text)) * per,
-        len(hidden) * per, sum(map(lexicon.hidden, hidden)), len(TRIPLED.findall(text)) * per,
+        (len(second) if hits else sum(map(SECOND_PERSON.__contains__, words))) * per, 1 / (1 + min(near)) if near else 0.0, sum(g <= 10 for g in near), int(CAPITAL[plane].sum()) / letters, sum(len(t) > 2 for t in compress(tokens, map(str.isupper, tokens))) * per,
+        int(data[33]) * per, int(data[63]) * per, int(data[33:48].sum() + data[58:65].sum() + data[91:97].sum()) / size, int(data[48:58].sum()) / size, shouts * per,
+        len(hidden) * per, sum(map(lexicon.hidden, hidden)), stretched * per,
     ]
 
 
+def obfuscated(text: str) -> list[str]:
+    """Words with signs or digits among their letters, and letters set apart by dots, hyphens or blanks."""
+    found, end = [], -1
+    for m in SIGNS.finditer(text):
+        after = LETTERS.match(text, m.end()).end()
+        if m.start() == end:  # the word goes on
+            found[-1] += text[m.start() : after]
+        else:
+            begin = m.start()
+            while begin > 0 and text[begin - 1].isalpha():
+                begin -= 1
+            found.append(text[begin:after])
+        end = after
+    return found + LETTERS_APART.findall(text) if LETTERS_APART_PART.search(text) else found
+
+
 def gaps(hits: list[int], others: list[int]) -> list[int]:
     """For each hit the distance to the nearest of ``others``; both rise."""
     if not hits or not others:
@@ -152,8 +184,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(part(doc_id, 4) == 2, F.lit(False))
 
 
-def learn_lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Log-odds of words and beginnings that toxic rows (text, toxic) hold far more often; counts are of documents."""
+def learn_lexicon(rows: DataFrame, toxic: int, clean: int, weight: float) -> dict[str, float]:
+    """Log-odds of words and beginnings that toxic rows (text, toxic) hold far more often.
+
+    Counts are of documents, ``toxic`` and ``clean`` those of all rows; a clean one stands for ``weight`` times as many as a toxic one.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
@@ -172,7 +207,7 @@ def learn_lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     counts = rows.select("text", "toxic").mapInArrow(count, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     rare = max(3, toxic // 400)  # a word by chance only in toxic documents has fewer
-    found = counts.withColumn("weight", odds).where((F.col("toxic") >= rare) & (F.col("weight") > 2.5) & (F.col("toxic") > F.col("clean")))
+    found = counts.withColumn("weight", odds).where((F.col("toxic") >= rare) & (F.col("weight") > 2.5) & (F.col("toxic") > weight * F.col("clean")))
     return {r["stem"]: r["weight"] for r in found.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "stem").limit(LEXICON).collect()}
 
 
@@ -201,30 +236,60 @@ class Model:
         return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def sampled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic, calibrates) of at most ``SAMPLE`` labelled documents of each class that are not held out, and the numbers of all.
+
+    A doc_id labelled more than once is toxic if any label says so.
+    """
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).join(documents.select("doc_id"), "doc_id", "left_semi")
+    usable = materialize(usable, "usable-labels")
+    counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
+    clean, toxic = (usable.where(F.col("toxic") == c).orderBy(*by_hash).limit(SAMPLE[c]) for c in (0, 1))
+    third = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(3)) == 0
+    chosen = materialize(clean.unionByName(toxic).withColumn("calibrates", third), "labels")
+    discard(usable)
+    return chosen, counts
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """A model of ``labels.toxic`` from labelled documents that are not held out. A doc_id labelled more than once is toxic if any label says so."""
+    """A model of ``labels.toxic`` from labelled documents that are not held out; without any of one class, every text gets the rate of the other."""
     spark = documents.sparkSession
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    chosen = materialize(chosen, "labels")
-    # at most SAMPLE rows of two numbers
+    chosen, counts = sampled(documents, labels)
+    # at most the sum of SAMPLE rows of three short fields
     rows = materialize(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    found = {(r["toxic"], r["calibrates"]): r["count"] for r in rows.groupBy("toxic", "calibrates").count().collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    lexicon = spark.sparkContext.broadcast(Lexicon(learn_lexicon(rows, toxic, clean) if toxic and clean else {}))
-    if min(toxic, clean) < 10:
-        return Model(lexicon, None, None, toxic / max(1, toxic + clean))
-    measured = materialize(with_features(rows, lexicon, "values", False).select("doc_id", F.col("toxic").cast("double").alias("label"), array_to_vector("values").alias("features"), (F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(3)) == 0).alias("calibrates")), "features").coalesce(4).cache()
-    trees = GBTClassifier(maxIter=25, maxDepth=3, stepSize=0.2, subsamplingRate=0.8, maxBins=32, seed=11, featuresCol="features", labelCol="label", minInstancesPerNode=5).fit(measured.where("not calibrates"))
-    raw = trees.transform(measured.where("calibrates")).select("label", vector_to_array("probability")[1].alias("raw"))
-    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="fitted").fit(raw)
+    rate = toxic / max(1, toxic + clean)
+    if not toxic or not clean:
+        return Model(spark.sparkContext.broadcast(Lexicon({})), None, None, rate)
+    # where one class is too rare to be in both parts, every row teaches and calibrates
+    both = any(found.get((c, part), 0) == 0 for c in (0, 1) for part in (False, True))
+    teaching = rows if both else rows.where("not calibrates")
+    of = {c: sum(n for (k, calibrates), n in found.items() if k == c and (both or not calibrates)) for c in (0, 1)}
+    # a row of the sample stands for so many of its class, by the least of the two
+    stands = {c: counts[c] / min(counts[c], SAMPLE[c]) for c in (0, 1)}
+    lexicon = spark.sparkContext.broadcast(Lexicon(learn_lexicon(teaching, of[1], of[0], stands[0] / stands[1])))
+    weight = F.when(F.col("toxic") == 1, stands[1] / min(stands.values())).otherwise(stands[0] / min(stands.values()))
+    measured = with_features(rows, lexicon, "values", False).select(F.col("toxic").cast("double").alias("label"), weight.alias("weight"), array_to_vector("values").alias("features"), "calibrates")
+    measured = materialize(measured, "features").coalesce(4).cache()
+    part, other = (measured, measured) if both else (measured.where("not calibrates"), measured.where("calibrates"))
+    least = max(1, min(5, of[1] // 4))
+    trees = GBTClassifier(maxIter=25, maxDepth=3, stepSize=0.2, subsamplingRate=0.8, maxBins=32, seed=11, featuresCol="features", labelCol="label", weightCol="weight", minInstancesPerNode=least).fit(part)
+    raw = trees.transform(other).select("label", "weight", vector_to_array("probability")[1].alias("raw"))
+    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="fitted").fit(raw)
     measured.unpersist()
-    discard(rows)
-    return Model(lexicon, trees, isotonic, toxic / (toxic + clean))
+    for made in (rows, chosen):
+        discard(made)
+    return Model(lexicon, trees, isotonic, rate)
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; null and empty texts are scored by their features, all 0.
+    """doc_id, held_out, score and predicted (1 from a score of 0.3) of every document.
+
+    Null and empty texts are scored by their features, all 0. Labels that are null, neither 0 nor 1, or of no document are not used;
+    without labels of both classes every score is the share of toxic ones, 0 without any.
 
     Repeated rows get equal scores, a null doc_id is not held out, and an empty table stays empty.
     """
