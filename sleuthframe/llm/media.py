@@ -1,10 +1,11 @@
 """Media columns: payloads kept as images in archives, and a Spark data source that streams them back.
 
 An archive directory holds ZIP files whose members are stored as they are, so that a member can be read at its offset. The
-writer makes archives of bounded size in every task and lists those of committed tasks in an index file, so that what a lost
-task left is never read. The reader plans byte ranges over the archives (the driver sees one index line per archive), each
-task reads the archive's own directory, takes the members that begin in its range, and streams them in Arrow batches of
-bounded size. A member that can't be read is tried again at its offset, alone; in the end it becomes a row with an error.
+writer makes archives of bounded size in every task and lists those of committed tasks in an index file of the commit's own, so
+that what a lost task left is never read, an append adds to what is there, and an overwrite removes it. The reader plans byte
+ranges over the archives (the driver sees one index line per archive), each task reads the archive's own directory, takes the
+members that begin in its range, and streams them in Arrow batches of bounded size. A member that can't be read is tried again at
+its offset, alone; in the end it becomes a row with an error. A member's file name is its escaped name, so any text can be one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .tables import new_path
 
-INDEX = "_archives.json"
+INDEX = "_archives-"
+#: Byte ranges that are planned over a directory at most, or so; they are made longer beyond.
+MOST_RANGES = 100_000
 WIDTH = 64
 #: Fixed values of the PNG format.
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -76,6 +80,8 @@ def from_png(media: bytes) -> tuple[int, np.ndarray]:
         elif kind == b"IDAT":
             data.append(body)
         at += 12 + n
+    if shape[1] != WIDTH or not shape[0]:
+        raise ValueError("no rows, or of another width")
     rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(shape[0], shape[1] + 1)
     if rows[:, 0].any():
         raise ValueError("filtered rows")
@@ -106,6 +112,26 @@ def open_dir(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def file_name(member: str | None) -> str:
+    """The name of a member in its archive: safe for any text, and apart from that of null."""
+    return "null" if member is None else "=" + quote(member, safe="")
+
+
+def member_name(name: str) -> str | None:
+    """Turns :func:`file_name` back; other names, of archives made elsewhere, stand for themselves."""
+    return None if name == "null" else unquote(name[1:]) if name.startswith("=") else name
+
+
+def index_files(filesystem: pafs.FileSystem, base: str) -> list[str]:
+    found = filesystem.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith(INDEX) and f.base_name.endswith(".json"))
+
+
+def listed(filesystem: pafs.FileSystem, index: str) -> list[dict]:
+    with filesystem.open_input_stream(index) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class Written(WriterCommitMessage):
     archives: list
@@ -121,8 +147,8 @@ class Range(InputPartition):
 class ArchiveWriter(DataSourceArrowWriter):
     """Writes (member, media) rows. Options: path, archiveBytes (where an archive is closed)."""
 
-    def __init__(self, path: str, archive_bytes: int):
-        self.path, self.archive_bytes = path, archive_bytes
+    def __init__(self, path: str, archive_bytes: int, overwrite: bool):
+        self.path, self.archive_bytes, self.overwrite = path, archive_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         filesystem, base = open_dir(self.path)
@@ -134,7 +160,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                     name = f"part-{uuid.uuid4().hex}.zip"
                     out = filesystem.open_output_stream(posixpath.join(base, name))
                     archive, size, count = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED), 0, 0
-                archive.writestr(zipfile.ZipInfo("null" if member is None else member), media or b"")
+                archive.writestr(zipfile.ZipInfo(file_name(member)), media or b"")
                 size, count = size + len(media or b""), count + 1
                 if size >= self.archive_bytes:
                     archives.append(self.close(archive, out, name, count))
@@ -152,8 +178,14 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         filesystem, base = open_dir(self.path)
         filesystem.create_dir(base, recursive=True)
-        with filesystem.open_output_stream(posixpath.join(base, INDEX)) as f:
+        before = index_files(filesystem, base) if self.overwrite else []
+        with filesystem.open_output_stream(posixpath.join(base, f"{INDEX}{uuid.uuid4().hex}.json")) as f:
             f.write(json.dumps([a for m in messages if m is not None for a in m.archives]).encode())
+        for index in before:
+            archives = listed(filesystem, index)
+            filesystem.delete_file(index)
+            for a in archives:
+                filesystem.delete_file(posixpath.join(base, a["name"]))
 
     def abort(self, messages: list) -> None:
         filesystem, base = open_dir(self.path)
@@ -169,9 +201,9 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         filesystem, base = open_dir(self.path)
-        with filesystem.open_input_stream(posixpath.join(base, INDEX)) as f:
-            index = json.loads(f.read())
-        return [Range(a["name"], start, min(start + self.range_bytes, a["directory"])) for a in index for start in range(0, a["directory"], self.range_bytes)] or [Range("", 0, 0)]
+        archives = [a for index in index_files(filesystem, base) for a in listed(filesystem, index)]
+        step = max(self.range_bytes, sum(a["directory"] for a in archives) // MOST_RANGES)
+        return [Range(a["name"], start, min(start + step, a["directory"])) for a in archives for start in range(0, a["directory"], step)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
@@ -191,7 +223,7 @@ class ArchiveReader(DataSourceReader):
                 except (OSError, ValueError, struct.error) as e:
                     error, source = f"{type(e).__name__}: {e}", None
                     time.sleep(0.01 * 2**attempt)
-            rows.append((name, partition.archive, offset, media, error))
+            rows.append((member_name(name), partition.archive, offset, media, error))
             size += len(media or b"")
             if size >= self.batch_bytes:
                 yield to_batch(rows)
@@ -232,7 +264,7 @@ class MediaArchive(DataSource):
         return ArchiveReader(o["path"], int(o.get("rangeBytes", 16 << 20)), int(o.get("batchBytes", 4 << 20)), int(o.get("retries", 3)))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"], int(self.options.get("archiveBytes", 64 << 20)))
+        return ArchiveWriter(self.options["path"], int(self.options.get("archiveBytes", 64 << 20)), overwrite)
 
 
 # The columns.
@@ -252,7 +284,7 @@ def encoded(documents: DataFrame) -> DataFrame:
 
 
 def measured(media: DataFrame) -> DataFrame:
-    """What is found in the stored bytes; a member that could not be read has nulls and its error."""
+    """What is found in the stored bytes; a member that could not be read, or is no image of :func:`to_png`, has nulls and its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +293,11 @@ def measured(media: DataFrame) -> DataFrame:
                 if data is None:
                     rows.append((None,) * 7 + (error,))
                     continue
-                n, samples = from_png(data)
+                try:
+                    n, samples = from_png(data)
+                except (ValueError, struct.error, zlib.error) as e:
+                    rows.append((None,) * 7 + (f"{type(e).__name__}: {e}",))
+                    continue
                 payload = samples.tobytes()
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), features(samples), None))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
@@ -274,10 +310,13 @@ def measured(media: DataFrame) -> DataFrame:
 NAMES = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-def store(documents: DataFrame, directory: str, **options: int) -> None:
-    """Write the texts of ``documents`` into a new archive directory. Repeated rows are members of their own."""
+def store(documents: DataFrame, directory: str, mode: str = "append", **options: int) -> None:
+    """Write the texts of ``documents`` into an archive directory. Repeated rows are members of their own.
+
+    ``mode``: "append" adds to what the directory holds, "overwrite" takes its place once all is written.
+    """
     documents.sparkSession.dataSource.register(MediaArchive)
-    encoded(documents).write.format("media_archive").options(path=directory, **options).mode("append").save()
+    encoded(documents).write.format("media_archive").options(path=directory, **options).mode(mode).save()
 
 
 def load(spark, directory: str, **options: int) -> DataFrame:
@@ -289,12 +328,11 @@ def media_columns(documents: DataFrame, directory: str | None = None) -> DataFra
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error.
 
     The texts are stored in ``directory`` (a new one in the shared folder by default) and everything is computed from the bytes
-    read back. Null and empty texts are 64 bytes 0; equal texts have equal values; a null doc_id stays null; other columns are
-    not read; an empty table gives no rows.
+    read back. Null and empty texts are 64 bytes 0; equal texts have equal values; a null doc_id stays null, any other comes back
+    as it is; repeated rows are kept; other columns are not read; an empty table gives no rows. A given ``directory`` is overwritten.
     """
     spark = documents.sparkSession
     directory = directory or new_path(spark, "media")
-    store(documents, directory)
+    store(documents, directory, "overwrite")
     kind = documents.schema["doc_id"].dataType
-    doc_id = F.when(F.col("member") != "null", F.col("member")).cast(kind)
-    return measured(load(spark, directory)).select(doc_id.alias("doc_id"), *NAMES, "error")
+    return measured(load(spark, directory)).select(F.col("member").cast(kind).alias("doc_id"), *NAMES, "error")
