@@ -1,7 +1,8 @@
 """Byte-level BPE: encoding by reuse of content-defined chunks, and decoding.
 
 A rolling hash over bytes cuts texts into chunks at places that depend on the content only, so passages that documents share
-fall into equal chunks. A worker encodes a chunk once. Where two chunks meet, the text between the last place in the one
+fall into equal chunks. Documents that share a line are brought next to each other, and a worker encodes a chunk once for as long
+as its table of chunks, of bounded size, holds it; a chunk that other workers meet too is encoded there again. Where two chunks meet, the text between the last place in the one
 and the first place in the other at which every pre-tokenization has a boundary is encoded again; if a chunk has no such
 place, the stretch grows over further chunks. The result agrees exactly with encoding the whole text.
 """
@@ -24,7 +25,7 @@ from .token_counts import byte_letters
 
 #: Fixed value: how byte-level vocabularies of this kind split text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Both libraries class these characters alike; a text with any other is left to ``tokenizers`` whole.
+#: Both libraries class these characters alike; a stretch with any other is left to ``tokenizers``.
 UNUSUAL = re.compile("[^\x00-ɏͰ-ͳΑ-ΡΣ-ϿЀ-ӿ‐-‧€ぁ-ゖァ-ヺ一-鿌가-힣\U0001f300-\U0001f64f]")
 #: A pre-token never crosses from a visible character to white space.
 CERTAIN = re.compile(r"\S(?=[ \n\t\r])")
@@ -56,13 +57,14 @@ class Vocabulary:
         self.decimal = {i: str(i) for i in self.bytes}
 
     def ordinary(self, text: str) -> np.ndarray:
+        """Identifiers of a stretch without special strings."""
+        if UNUSUAL.search(text) is not None:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
     def encode(self, text: str, ordinary=None) -> np.ndarray:
         """``ordinary``: encodes the stretches between special strings, by default each as a whole."""
         ordinary = ordinary or self.ordinary
-        if UNUSUAL.search(text) is not None:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         if not any(s in text for s in self.special):
             return ordinary(text)
         parts = [np.array([self.special[p]], np.uint32) if p in self.special else ordinary(p) for p in self.splitter.split(text) if p]
@@ -119,18 +121,18 @@ class ChunkEncoder:
         data = text.encode()
         if len(data) < 2 * LEAST_CHUNK:
             return self.join(text)
-        out, pending, begin = [], b"", 0
+        out, pending, begin = [], [], 0
         for end in chunk_ends(data):
             chunk = data[begin:end]
             begin = end
             found = self.chunk(chunk)
             if found is None:  # no certain boundary: the stretch goes on
-                pending += chunk
+                pending.append(chunk)
                 continue
             first, last, ids = found
-            out += [self.join((pending + chunk[:first]).decode()), ids]
-            pending = chunk[last:]
-        return np.concatenate([*out, self.join(pending.decode())])
+            out += [self.join(b"".join([*pending, chunk[:first]]).decode()), ids]
+            pending = [chunk[last:]]
+        return np.concatenate([*out, self.join(b"".join(pending).decode())])
 
     def chunk(self, chunk: bytes) -> tuple[int, int, np.ndarray] | None:
         """Where the first and the last certain boundary are, and the identifiers between them."""
@@ -210,7 +212,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the decimal identifiers joined by commas and of the text decoded from them."""
+    """doc_id, n_tokens, and the SHA-256 of the decimal identifiers joined by commas and of the text decoded from them.
+
+    Null and empty texts have no tokens; repeated rows and null doc_ids are kept; other columns are not read; an empty table gives
+    no rows. Texts of any length go chunk by chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, vocab = chunk_encoder(path), vocabulary(path)

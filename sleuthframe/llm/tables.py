@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode a new one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             found = known.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="sleuthframe-")
             spark.sparkContext.setCheckpointDir(found)

@@ -4,6 +4,7 @@ import functools
 import hashlib
 import math
 import re
+import zipfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,7 +81,7 @@ def test_word_counter_on_any_text(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", " ", "  ", "'", "re", "'s", "\n", "é", "1", "-", "中", "<|endoftext|>", "word", "\t", " "]), max_size=60))
+@given(st.lists(st.sampled_from(["a", " ", "  ", "'", "re", "'s", "\n", "é", "1", "-", "中", "<|endoftext|>", "word", "→", "ع", "🏽", "\x1c", "\x85", "™", "e\u0301", "ⅷ", "न", "\t", " "]), max_size=60))
 def test_chunks_join_exactly(parts):
     text = "".join(parts)
     encoder = bpe.ChunkEncoder(bpe.vocabulary(BYTE))
@@ -204,7 +205,7 @@ def test_archive_ranges_and_damage(spark, documents, tmp_path):
     media.store(documents.repartition(2), folder, archiveBytes=2000)
     whole = media.load(spark, folder, rangeBytes=500, batchBytes=1000)
     assert whole.rdd.getNumPartitions() > 2
-    assert Counter(r.member for r in whole.collect()) == Counter("null" if i is None else str(i) for i, _ in docs())
+    assert Counter(r.member for r in whole.collect()) == Counter(None if i is None else str(i) for i, _ in docs())
     victim = whole.where("member = '11'").first()
     path = f"{folder}/{victim.archive}"
     data = bytearray(open(path, "rb").read())
@@ -217,6 +218,28 @@ def test_archive_ranges_and_damage(spark, documents, tmp_path):
     assert len(errors) == 1 and errors[0].n_bytes is None
 
 
+def test_archives_are_added_and_replaced(spark, tmp_path):
+    folder, some = str(tmp_path / "archives"), lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id string, text string")
+    ids = lambda: sorted(r.member or "?" for r in media.load(spark, folder).collect())
+    media.store(some("1", "2"), folder)
+    media.store(some("3", None), folder)
+    assert ids() == ["1", "2", "3", "?"]
+    media.store(some("4"), folder, "overwrite")
+    assert ids() == ["4"] and all("4" in media.member_name(n) for z in (tmp_path / "archives").glob("*.zip") for n in zipfile.ZipFile(z).namelist())
+
+
+def test_any_doc_id_comes_back(spark):
+    ids = ["null", "a\0b", "", "../x/y", "é %41 =", "\n", None, "null"]
+    got = media.media_columns(spark.createDataFrame([(i, "t") for i in ids], "doc_id string, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+
+
+def test_foreign_members_are_rows_with_errors(spark):
+    pngs = [b"", b"no image", media.PNG, media.to_png(b"x")[:40], media.to_png(b"x")]
+    found = media.measured(spark.createDataFrame([(str(i), bytearray(m), None) for i, m in enumerate(pngs)], "member string, media binary, error string")).collect()
+    assert [r.error is None for r in found] == [False, False, False, False, True]
+
+
 # Line deduplication.
 
 
@@ -553,3 +576,57 @@ def test_obfuscated_words_count():
     assert len(plain) == len(toxicity.NAMES) == len(toxicity.features("", lexicon))
     assert plain[at["obfuscated_hits"]] == 0 and hidden[at["obfuscated_hits"]] >= 2 and hidden[at["lexicon_hits"]] >= 1
     assert toxicity.features("stuuuupid", lexicon)[at["lexicon_hits"]] == 1
+
+
+def brute_features(text, weights):
+    """The features by slow loops over characters and words."""
+    letter, word_like = str.isalpha, lambda c: c.isalnum() or c == "_"
+    tokens = re.findall(r"[^\W\d_]+", text)
+    words, n = [t.lower() for t in tokens], len(tokens)
+
+    def weight(w):
+        forms = {w} | {w[:k] + "*" for k in range(1, len(w) + 1)}
+        found = max([weights.get(f, 0.0) for f in forms])
+        squeeze = lambda x: "".join(c for i, c in enumerate(x) if not i or c != x[i - 1])
+        if any(w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2)):
+            found = max([found, *(v for x, v in weights.items() if x[-1] != "*" and squeeze(x) == squeeze(w))])
+        return found
+
+    values = [weight(w) for w in words]
+    hits, second = [i for i, v in enumerate(values) if v > 0], [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    near = [min(abs(i - j) for j in second) for i in hits] if second else []
+    hidden = re.findall(r"[^\W\d_]+(?:[*@$!#0-9_]+[^\W\d_]+)+", text) + re.findall(r"(?<!\w)[^\W\d_](?:[.\- ][^\W\d_]){3,}(?!\w)", text)
+    lexicon = toxicity.Lexicon(weights)
+    per, count = 1 / max(n, 1), lambda test: sum(map(test, text))
+    seeds = sum(w in toxicity.SEEDS for w in words)
+    held = [values[i] for i in hits]
+    return [
+        math.log1p(n), seeds * per, seeds, len(hits), len(hits) * per, len({words[i] for i in hits}), max(held, default=0.0), sum(held) / len(held) if held else 0.0,
+        max((sum(i <= j < i + 50 for j in hits) for i in hits), default=0), len(second) * per, 1 / (1 + min(near)) if near else 0.0, sum(g <= 10 for g in near),
+        count(str.isupper) / max(1, count(letter)), sum(len(t) > 2 and t.isupper() for t in tokens) * per, text.count("!") * per, text.count("?") * per,
+        count(lambda c: 33 <= ord(c) < 48 or 58 <= ord(c) < 65 or 91 <= ord(c) < 97) / max(1, len(text)), count(lambda c: "0" <= c <= "9") / max(1, len(text)),
+        len(re.findall(r"[!?]{2,}", text)) * per, len(hidden) * per, sum(map(lexicon.hidden, hidden)), len(re.findall(r"([^\W\d_])\1\1", text)) * per,
+    ]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["you", "Idiot", "STUPID", "stuuupid", "st*p1d", " ", " ", " ", "s.t.u.p.i.d", "a b c d", "!?", "!!", "?", "ÉTÉ", "ñoño", "du", "grubblefoo", "x_y", "9", "\n", "中", "-", "aaa", "ß"]), max_size=40))
+def test_features_by_brute_force(parts):
+    weights = {"stupid": 3.0, "grubble*": 2.0, "été": 1.5}
+    text = "".join(parts)
+    assert toxicity.features(text, toxicity.Lexicon(weights)) == pytest.approx(brute_features(text, weights))
+
+
+@pytest.mark.parametrize("n_toxic, n_clean", [(0, 4), (3, 0), (1, 1), (2, 200)])
+def test_toxicity_of_few_labels(spark, n_toxic, n_clean):
+    """With one class only the rate; else whatever was learned, toxic ones above clean ones."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic, clean = ids[:n_toxic], ids[n_toxic : n_toxic + n_clean]
+    rows = [(i, common(WORDS, 30, i) + " you idiot, you moron") for i in toxic] + [(i, common(WORDS, 30, i)) for i in clean]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in toxic + clean] + [(10**6, 1), (10**6 + 1, 0)], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.report(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert len(score) == len(rows) and all(0 <= x <= 1 for x in score.values())
+    if not n_toxic or not n_clean:
+        assert set(score.values()) == {float(bool(n_toxic))}
+    elif n_toxic > 1:
+        assert min(score[i] for i in toxic) > np.mean([score[i] for i in clean])
