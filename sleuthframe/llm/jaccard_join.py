@@ -25,12 +25,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import WordHasher, mix
-from .tables import discard, materialize
+from .tables import column_name, discard, materialize
 
 U = np.uint64
 #: Deviations by which a set fills more blocks than its band's sets may differ in, where it can.
@@ -508,6 +508,17 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
 
 
 def without_near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``documents`` without the rows whose doc_id is not the least of its component; rows without a doc_id stay."""
-    dropped = near_duplicates(documents, words, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+    """``documents`` with one row of each component, that of its least doc_id; all columns as they are.
+
+    Of rows that share this doc_id the one with the least text stays, a null text coming first. Rows without a doc_id stay all; so
+    do documents without words, which are copies of nothing. An empty table stays empty.
+    """
+    found = near_duplicates(documents, words, similarity)
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+    several = materialize(documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if several.isEmpty():
+        return kept
+    place = column_name(documents, "place")
+    first = kept.join(several, "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())))
+    return kept.join(several, "doc_id", "left_anti").unionByName(first.where(F.col(place) == 1).drop(place)).select(*documents.columns)

@@ -127,6 +127,17 @@ def dedup_lines(documents: DataFrame, least_length: int = 20, least_documents: i
     return found.select(*columns, n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
+def without_shared_lines(documents: DataFrame) -> DataFrame:
+    """``documents`` with the text that :func:`dedup_lines` leaves, and n_chars, if there is one, counted anew; other columns as they are.
+
+    No row goes: one that has lost all its lines, or has a null text, has an empty one. Repeated rows are treated alike.
+    """
+    rows = documents.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    fresh = {"text": F.col("text"), "n_chars": F.length("text")}
+    kept = ((fresh.get(f.name.lower(), F.col("row").getField(f.name)).cast(f.dataType).alias(f.name)) for f in documents.schema)
+    return dedup_lines(rows).select(*kept)
+
+
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of the text that is left."""
     return dedup_lines(documents.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

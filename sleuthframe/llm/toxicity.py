@@ -285,6 +285,16 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     return Model(lexicon, trees, isotonic, rate)
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that a model, fitted on the labelled ones among them, does not call toxic, all columns as they are.
+
+    Null and empty texts have no toxic word and are scored as such; repeated rows stay or go together; a null doc_id is scored like
+    any other; columns may have any names, those of the model too. An empty table stays empty.
+    """
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "text")
+    return fit(documents, labels).transform(rows, keep_text=False).where("predicted = 0").select("row.*")
+
+
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from a score of 0.3) of every document.
 
