@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sleuthframe.llm import jaccard_join, line_dedup, packing, toxicity
 from sleuthframe.llm.tables import materialize, read
@@ -15,23 +14,38 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on the labelled ones among them, does not call toxic."""
-    scored = toxicity.fit(docs, read(spark, sf_dir, "labels")).transform(docs)
-    return scored.where("predicted = 0").select(*docs.columns)
+    """Documents that the model, fitted on the labelled ones among them, does not call toxic.
+
+    Rows with null or empty texts are kept; repeated rows stay or go together; an empty table stays empty; extra columns of any
+    name are kept as they are.
+    """
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its text without the lines that it shares with two others or more, unless it is the last to hold them."""
-    left = line_dedup.dedup_lines(docs)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Every document, its text without the lines that it shares with two others or more, unless it is the last to hold them.
+
+    Null texts become empty, n_chars is counted anew where there is one; repeated rows are treated alike; an empty table stays
+    empty; extra columns of any name are kept as they are.
+    """
+    return line_dedup.without_shared_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates: five-word shingles, Jaccard index of 0.8 or more."""
+    """The document with the least doc_id of each group of near duplicates: five-word shingles, Jaccard index of 0.8 or more.
+
+    Documents without words, or without a doc_id, are duplicates of none; of rows that share a doc_id one stays; an empty table
+    stays empty; extra columns of any name are kept as they are.
+    """
     return jaccard_join.without_near_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the documents' pieces in sequences of up to 2048 tokens.
+
+    A null or empty text is one end token; repeated rows are documents of their own; an empty table gives no rows; extra columns
+    are not read.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
