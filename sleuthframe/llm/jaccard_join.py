@@ -358,18 +358,18 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, distance: np.ndarray, part: int,
 
 
 def dealt(members: DataFrame) -> DataFrame:
-    """``members`` once for each pair (i, j) of blocks of their pivot's group that their own block is in; g: the share of the pair, of about GROUP rows."""
-    counts = members.groupBy("pivot").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = counts.agg(F.coalesce(F.sum(F.col("size") * F.col("blocks")), F.lit(0))).first()[0]
+    """``members`` once for each pair (i, j) of blocks of their pivot's group, of ``size`` members, that their own block is in; g: the share of the pair, of about GROUP rows."""
+    members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = members.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     groups = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / GROUP))
     own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
-    out = members.join(counts, "pivot").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = out.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "component", "n", "sketch", "wide")
     return out.withColumn("g", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
 
 
 def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of ``members`` (pivot, d, component, n, sketch, wide) that share a pivot, are of different components and may link."""
+    """Pairs (a, b) of ``members`` (pivot, d, component, size, n, sketch, wide) that share a pivot, are of different components and may link."""
     part, whole = similarity
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -489,10 +489,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
         return member.join(components.withColumnRenamed("node", "d"), "d", "left").select("pivot", "d", F.coalesce("component", "d").alias("component")).distinct()
 
     open_members = materialize(open_groups(of_component(of_class(grouped(hits), "d"))), "members")
-    direct, large = open_members.where(F.col("size") <= BLOCK).drop("size"), open_members.where(F.col("size") > BLOCK)
+    direct, large = open_members.where(F.col("size") <= BLOCK), open_members.where(F.col("size") > BLOCK)
     if not large.isEmpty():
         texts = materialize(usable.join(large.select("d").distinct(), "d").dropDuplicates(["d"]), "open-texts")
-        direct = direct.unionByName(open_groups(of_component(rarest(texts, words, similarity))).drop("size"))
+        direct = direct.unionByName(open_groups(of_component(rarest(texts, words, similarity))))
         direct = materialize(direct, "members")
     more = materialize(across(direct.join(sizes, "d"), similarity), "pairs")
     if not more.isEmpty():

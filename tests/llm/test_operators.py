@@ -413,7 +413,7 @@ def test_shares_of_group_comparison_are_bounded(spark, monkeypatch):
     """One group of many blocks: shares follow the rows that are dealt, not the members."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 10)
     monkeypatch.setattr(jaccard_join, "GROUP", 200)
-    members = spark.range(400).selectExpr("1L AS pivot", "id AS d", "id AS component", "9L AS n", "CAST('' AS BINARY) AS sketch", "CAST(NULL AS BINARY) AS wide")
+    members = spark.range(400).selectExpr("1L AS pivot", "id AS d", "id AS component", "400L AS size", "9L AS n", "CAST('' AS BINARY) AS sketch", "CAST(NULL AS BINARY) AS wide")
     rows = jaccard_join.dealt(members)
     assert rows.count() == 400 * 40
     assert max(r["count"] for r in rows.groupBy("g").count().collect()) <= 3 * jaccard_join.GROUP
