@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,19 +42,23 @@ def entry_hash() -> Column:
     return F.sha2(canonical(), 256)
 
 
-def verify_chain(log: DataFrame) -> DataFrame:
-    """One row: ok, length, broken_at_seq and detail of the first entry that does not follow or has been changed.
+def verify_chain(log: DataFrame, by: Sequence[str] = (), expected_hash: Column | None = None) -> DataFrame:
+    """ok, length, broken_at_seq and detail of the first entry that does not follow or has been changed: one row, or one for each chain.
 
-    Entries are compared with the one whose seq is one less by a join, so no task sees the whole log.
+    ``by``: the columns that tell chains apart; ``expected_hash``: what an entry's hash must be, by default that of its canonical
+    text. Entries are compared with the one whose seq is one less by a join, so no task sees the whole log.
     """
-    before = log.select((F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("before"))
-    first = log.agg(F.min("seq").alias("first"))
-    linked = log.join(before, "seq", "left").join(F.broadcast(first))
+    by = list(by)
+    before = log.select(*by, (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("before"))
+    first = log.groupBy(*by).agg(F.min("seq").alias("first"))
+    linked = log.join(before, [*by, "seq"], "left")
+    linked = linked.join(first, by) if by else linked.join(F.broadcast(first))
     expected = F.when(F.col("seq") == F.col("first"), GENESIS).otherwise(F.col("before"))
-    broken = F.when(~F.col("prev_hash").eqNullSafe(expected), "prev_hash mismatch").when(~F.col("entry_hash").eqNullSafe(entry_hash()), "entry_hash mismatch")
-    checked = linked.select("seq", broken.alias("detail"))
-    found = checked.agg(F.count("*").alias("length"), F.min(F.when(F.col("detail").isNotNull(), F.struct("seq", "detail"))).alias("broken"))
-    return found.select(F.col("broken").isNull().alias("ok"), "length", F.col("broken.seq").alias("broken_at_seq"), F.col("broken.detail").alias("detail"))
+    hashed = entry_hash() if expected_hash is None else expected_hash
+    broken = F.when(~F.col("prev_hash").eqNullSafe(expected), "prev_hash mismatch").when(~F.col("entry_hash").eqNullSafe(hashed), "entry_hash mismatch")
+    checked = linked.select(*by, "seq", broken.alias("detail"))
+    found = checked.groupBy(*by).agg(F.count("*").alias("length"), F.min(F.when(F.col("detail").isNotNull(), F.struct("seq", "detail"))).alias("broken"))
+    return found.select(*by, F.col("broken").isNull().alias("ok"), "length", F.col("broken.seq").alias("broken_at_seq"), F.col("broken.detail").alias("detail"))
 
 
 def head(log: DataFrame) -> DataFrame:

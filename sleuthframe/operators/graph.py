@@ -70,12 +70,15 @@ def neighborhood(evidence: Evidence, run_id: str, seed: str, max_hops: int = 2)
 
 def keyed_events(events: DataFrame, key: str) -> DataFrame:
     """Events with struct columns x and y (id, value, type); blank parties and loops are left out."""
-    keyed = events.withColumn("x", entity(F.col("a"), key, F.col("run_id"))).withColumn("y", entity(F.col("b"), key, F.col("run_id")))
-    return keyed.where("x is not null and y is not null and x.id <> y.id")
+    # parties are far fewer than events, so each is hashed once and joined back
+    parties = events.select("run_id", F.explode(F.array("a", "b")).alias("party")).where(F.length(F.trim("party")) > 0).distinct()
+    known = parties.withColumn("entity", entity(F.col("party"), key, F.col("run_id")))
+    keyed = events.join(known.toDF("run_id", "a", "x"), ["run_id", "a"]).join(known.toDF("run_id", "b", "y"), ["run_id", "b"])
+    return keyed.where("x.id <> y.id").select(*events.columns, "x", "y")
 
 
-def cut_stream(keyed: DataFrame, node_limit: int, edge_limit: int) -> DataFrame:
-    """Events up to the first, in stream order, that would pass a limit of nodes or edges.
+def cut_stream(keyed: DataFrame, node_limit: int | None, edge_limit: int | None) -> DataFrame:
+    """Events up to the first, in stream order, that would pass a limit of nodes or edges; one that is None is no limit.
 
     A node or edge is born with the first event that has it; births are summed in the order of events. Every row of births has
     one at least, so the limits are passed within their sum of rows, and only so many go into the running sum.
@@ -84,11 +87,11 @@ def cut_stream(keyed: DataFrame, node_limit: int, edge_limit: int) -> DataFrame:
     ordered = keyed.withColumn("at", order)
     node_births = ordered.select("at", F.explode(F.array("x.id", "y.id")).alias("node")).groupBy("node").agg(F.min("at").alias("at")).groupBy("at").agg(F.count("*").alias("nodes"))
     edge_births = ordered.groupBy(F.least("x.id", "y.id").alias("lo"), F.greatest("x.id", "y.id").alias("hi")).agg(F.min("at").alias("at")).groupBy("at").agg(F.count("*").alias("edges"))
-    births = node_births.join(edge_births, "at", "full_outer").na.fill(0, ["nodes", "edges"])
-    births = births.orderBy("at").limit(node_limit + edge_limit + 1)
+    births = edge_births.withColumn("nodes", F.lit(0)) if node_limit is None else node_births.withColumn("edges", F.lit(0)) if edge_limit is None else node_births.join(edge_births, "at", "full_outer").na.fill(0, ["nodes", "edges"])
+    births = births.orderBy("at").limit((node_limit or 0) + (edge_limit or 0) + 1)
     running = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    totals = births.withColumn("all_nodes", F.sum("nodes").over(running)).withColumn("all_edges", F.sum("edges").over(running))
-    stop = totals.where((F.col("all_nodes") > node_limit) | (F.col("all_edges") > edge_limit)).agg(F.min("at").alias("stop"))
+    passed = [F.sum(c).over(running) > limit for c, limit in (("nodes", node_limit), ("edges", edge_limit)) if limit is not None]
+    stop = births.withColumn("passed", F.greatest(*passed, F.lit(False))).where("passed").agg(F.min("at").alias("stop"))
     return ordered.join(F.broadcast(stop)).where("stop is null or at < stop").drop("stop", "at")
 
 
@@ -96,9 +99,11 @@ def link_edges(keyed: DataFrame, citations: int = EDGE_CITATIONS) -> DataFrame:
     """(source, target, weight, citations): the first ``citations`` events of an edge in stream order, cited by case, table, row and time."""
     ends = keyed.select(F.least("x.id", "y.id").alias("source"), F.greatest("x.id", "y.id").alias("target"), "run_id", "kind", "id", "ts")
     w = Window.partitionBy("source", "target").orderBy("run_id", F.when(F.col("kind") == "message", 0).otherwise(1), F.asc_nulls_last("ts"), "id")
-    ranked = ends.withColumn("rank", F.row_number().over(w))
-    cite = F.when(F.col("rank") <= citations, F.struct("run_id", F.col("kind").alias("source_table"), F.col("id").alias("row_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")))
-    return ranked.groupBy("source", "target").agg(F.count("*").alias("weight"), F.array_sort(F.collect_list(cite)).alias("citations"))
+    # counted apart, so that the ranking can drop what it does not cite before rows are dealt
+    weights = ends.groupBy("source", "target").agg(F.count("*").alias("weight"))
+    ranked = ends.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= citations)
+    cite = F.struct("run_id", F.col("kind").alias("source_table"), F.col("id").alias("row_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+    return weights.join(ranked.groupBy("source", "target").agg(F.array_sort(F.collect_list(cite)).alias("citations")), ["source", "target"], "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<struct<run_id:string,source_table:string,row_id:string,timestamp:string>>")))
 
 
 def link_nodes(keyed: DataFrame, edges: DataFrame, contact: DataFrame, key: str, seed_id: str | None = None) -> DataFrame:
@@ -115,7 +120,7 @@ def link_nodes(keyed: DataFrame, edges: DataFrame, contact: DataFrame, key: str,
 def link_graph(evidence: Evidence, run_ids: list[str], key: str, seed: str | None = None, max_hops: int = 2, start=None, end=None, node_limit: int | None = 500, edge_limit: int | None = 2000, authorized: list[str] | None = None) -> dict[str, DataFrame | bool]:
     """nodes, edges, and whether the seed was found, over some cases; parts that lie outside the window of time are left out.
 
-    Without either limit the graph is whole; with one alone the other is a million. Cases that are not ``authorized`` raise.
+    A limit that is None is no limit. Cases that are not ``authorized`` raise.
     """
     if not run_ids:
         raise ValueError("no cases given")
@@ -132,7 +137,7 @@ def link_graph(evidence: Evidence, run_ids: list[str], key: str, seed: str | Non
     seed_id, near, seed_found = None, None, True
     if seed is not None:
         seed_id = keyed.sparkSession.range(1).select(entity(F.lit(seed), key)["id"]).first()[0]
-        pairs = keyed.select(F.col("x.id").alias("lo"), F.col("y.id").alias("hi")).distinct()
+        pairs = keyed.select(F.col("x.id").alias("lo"), F.col("y.id").alias("hi")).distinct().persist()
         seeds = pairs.select(F.explode(F.array("lo", "hi")).alias("node")).where(F.col("node") == seed_id).distinct()
         seed_found = not seeds.isEmpty()
         near = hops(pairs, seeds, max_hops)
@@ -141,7 +146,7 @@ def link_graph(evidence: Evidence, run_ids: list[str], key: str, seed: str | Non
         if max_hops == 0:
             keyed = keyed.limit(0)
     if node_limit is not None or edge_limit is not None:
-        keyed = cut_stream(keyed, 1_000_000 if node_limit is None else node_limit, 1_000_000 if edge_limit is None else edge_limit)
+        keyed = cut_stream(keyed, node_limit, edge_limit)
     found = link_edges(keyed)
     nodes = link_nodes(keyed, found, evidence["contact"].where(F.col("run_id").isin(sorted(set(run_ids)))), key, seed_id)
     if near is not None:

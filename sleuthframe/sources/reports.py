@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import conform, empty
@@ -18,15 +18,17 @@ def when(column):
 
 
 def normalized(rows: DataFrame, table: str, run_id: str) -> DataFrame:
-    """Rows with a report's names as evidence; the id is a hash of the row and its place among equal rows of its partition."""
+    """Rows with a report's names as evidence; the id is a hash of the row and its place among equal rows, so it is the same however the rows are dealt."""
     have = {c.lower(): c for c in rows.columns}
     columns = {}
     for name, source in ROWS[table].items():
         value = F.col(have[source]).cast("string") if source in have else F.lit(None).cast("string")
         columns[name] = when(value) if name == "timestamp" else value.try_cast("int") if name == "duration" else value
     found = rows.select(*(v.alias(k) for k, v in columns.items()))
-    rank = F.monotonically_increasing_id().cast("string")
-    return conform(found.withColumn("run_id", F.lit(run_id)).withColumn("id", F.sha1(F.concat_ws("|", F.lit(run_id), F.lit(table), rank))), table)
+    row = F.sha1(F.to_json(F.struct(F.lit(run_id).alias("run"), F.lit(table).alias("table"), *found.columns)))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    found = found.withColumn("row", row).withColumn("id", F.sha1(F.concat_ws("|", "row", place))).drop("row")
+    return conform(found.withColumn("run_id", F.lit(run_id)), table)
 
 
 def read_xml(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
