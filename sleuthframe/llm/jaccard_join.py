@@ -364,12 +364,12 @@ def dealt(members: DataFrame) -> DataFrame:
     groups = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / GROUP))
     own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
     out = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    out = out.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "component", "n", "sketch", "wide")
+    out = out.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "component")
     return out.withColumn("g", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
 
 
-def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of ``members`` (pivot, d, component, size, n, sketch, wide) that share a pivot, are of different components and may link."""
+def across(members: DataFrame, sizes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of ``members`` (pivot, d, component, size) that share a pivot, are of different components and may link by ``sizes`` (d, n, sketch, wide)."""
     part, whole = similarity
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -391,7 +391,7 @@ def across(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt(members).groupBy("g").applyInPandas(compare, "a long, b long").distinct()
+    return dealt(members).join(sizes, "d").groupBy("g").applyInPandas(compare, "a long, b long").distinct()
 
 
 def frequencies(texts: DataFrame, words: int) -> np.ndarray:
@@ -494,7 +494,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
         texts = materialize(usable.join(large.select("d").distinct(), "d").dropDuplicates(["d"]), "open-texts")
         direct = direct.unionByName(open_groups(of_component(rarest(texts, words, similarity))))
         direct = materialize(direct, "members")
-    more = materialize(across(direct.join(sizes, "d"), similarity), "pairs")
+    more = materialize(across(direct, sizes, similarity), "pairs")
     if not more.isEmpty():
         links = materialize(links.unionByName(linked(usable, more, words, similarity)), "links")
         components = connected_components(links.toDF("src", "dst"))
