@@ -368,13 +368,35 @@ def dealt(members: DataFrame) -> DataFrame:
     return out.withColumn("g", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
 
 
-def across(members: DataFrame, sizes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of ``members`` (pivot, d, component, size) that share a pivot, are of different components and may link by ``sizes`` (d, n, sketch, wide)."""
+def forest(pairs: np.ndarray, distance: np.ndarray, ends: dict[int, int]) -> np.ndarray:
+    """Those of ``pairs``, the nearest first, that join what no nearer one has joined; ends: the component of each member."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    kept = []
+    for i in np.argsort(distance, kind="stable").tolist():
+        a, b = (root(ends[d]) for d in pairs[i].tolist())
+        if a != b:
+            parent[a] = b
+            kept.append(i)
+    return pairs[kept]
+
+
+def across(members: DataFrame, sizes: DataFrame, similarity: tuple[int, int], sparse: bool = False) -> DataFrame:
+    """Pairs (a, b) of ``members`` (pivot, d, component, size) that share a pivot, are of different components and may link by ``sizes`` (d, n, sketch, wide).
+
+    ``sparse``: of each pair of blocks only a forest of the nearest pairs, fewer than the members, that joins what all would.
+    """
     part, whole = similarity
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        every = []
         for (_, i, j), rows in pdf.groupby(["pivot", "i", "j"]):
+            out, far = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
             own, d, component, n, wide = (rows[c].to_numpy() for c in ("own", "d", "component", "n", "wide"))
             bits = np.frombuffer(b"".join(rows["sketch"]), U).reshape(len(rows), -1)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -383,12 +405,18 @@ def across(members: DataFrame, sizes: DataFrame, similarity: tuple[int, int]) ->
             for k, low, high in zip(left, least, most):
                 others = right[low:high]  # of sizes that allow a link
                 others = others[(component[others] != component[k]) & (d[others] < d[k])] if i == j else others[component[others] != component[k]]
-                good = others[may_link(n[k], n[others], np.bitwise_count(bits[others] ^ bits[k]).sum(1, dtype=np.int64), part, whole)]
+                apart = np.bitwise_count(bits[others] ^ bits[k]).sum(1, dtype=np.int64)
+                fits = may_link(n[k], n[others], apart, part, whole)
+                good, apart = others[fits], apart[fits]
                 if wide[k] is not None and len(good):
                     distance = np.array([0 if wide[j] is None else wide_distance(wide[k], wide[j]) for j in good])
-                    good = good[may_link(n[k], n[good], distance, part, whole)]
+                    fits = may_link(n[k], n[good], distance, part, whole)
+                    good, apart = good[fits], apart[fits]
+                far.append(apart)
                 out.append(np.stack([np.maximum(d[good], d[k]), np.minimum(d[good], d[k])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            found = np.concatenate(out)
+            every.append(forest(found, np.concatenate(far), dict(zip(d.tolist(), component.tolist()))) if sparse else found)
+        pairs = np.unique(np.concatenate(every), axis=0) if every else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return dealt(members).join(sizes, "d").groupBy("g").applyInPandas(compare, "a long, b long").distinct()
@@ -494,10 +522,15 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
         texts = materialize(usable.join(large.select("d").distinct(), "d").dropDuplicates(["d"]), "open-texts")
         direct = direct.unionByName(open_groups(of_component(rarest(texts, words, similarity))))
         direct = materialize(direct, "members")
-    more = materialize(across(direct, sizes, similarity), "pairs")
-    if not more.isEmpty():
+    # first the nearest pairs that join all that may be one, then whatever is still apart
+    for sparse in (True, False):
+        more = materialize(across(direct, sizes, similarity, sparse), "pairs")
+        if more.isEmpty():
+            break
         links = materialize(links.unionByName(linked(usable, more, words, similarity)), "links")
-        components = connected_components(links.toDF("src", "dst"))
+        components = materialize(connected_components(links.toDF("src", "dst")), "components")
+        if sparse:
+            direct = materialize(open_groups(of_component(direct.select("pivot", "d"))), "members")
     found = sets.select("doc", "d", "n").join(copies, "d", "left").withColumn("rep", F.coalesce("rep", "d")).join(components.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("doc", "n", F.coalesce("component", "rep").alias("component"))
     if twins is not None:  # the least number may be one that was made
