@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 import numpy as np
@@ -152,5 +153,87 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, semantic_weight: float = 0.6
     return both.select("id", (semantic_weight * s + (1 - semantic_weight) * k).alias("score"), method.alias("method"))
 
 
+TABLES, MODES = ("messages", "calls", "contacts", "media", "artifacts", "device_info"), ("keyword", "semantic", "hybrid")
+#: Contacts go by name and media by path, all else newest first.
+BY_NAME = ("contacts", "media")
+RESULT = ("type", "id", "run_id", "timestamp", "content", "searched", "relevance")
+
+
+@dataclass(frozen=True)
+class Request:
+    """What to search for: tables, mode, words, entities and filters; ``vector`` is the question as the index embeds it."""
+
+    tables: tuple[str, ...]
+    mode: str
+    keywords: tuple[str, ...] = ()
+    entities: tuple[str, ...] = ()
+    phones: tuple[str, ...] = ()
+    start: datetime | None = None
+    end: datetime | None = None
+    app: str | None = None
+    category: str | None = None
+    media_type: str | None = None
+    vector: tuple[float, ...] = ()
+    threshold: float = 0.4
+    limit: int = 100
+    offset: int = 0
+
+    def __post_init__(self):
+        check(self.limit, self.offset)
+        if not self.tables or (unknown := set(self.tables) - set(TABLES)):
+            raise ValueError(f"tables must be some of {TABLES}" + (f", not {sorted(unknown)}" if self.tables else ""))
+        if self.mode not in MODES:
+            raise ValueError(f"unknown mode {self.mode!r}")
+
+
+def searched_table(evidence: Mapping[str, DataFrame], table: str, request: Request) -> DataFrame:
+    words, phones, window = request.keywords, request.phones, (request.start, request.end)
+    if table == "messages":
+        return search_messages(evidence["message"], words, phones, *window)
+    if table == "calls":
+        return search_calls(evidence["call"], phones, *window)
+    if table == "contacts":
+        return search_contacts(evidence["contact"], words, phones)
+    if table == "media":
+        return search_media(evidence["media"], request.media_type)
+    if table == "artifacts":
+        return search_artifacts(evidence["artifact"], words, request.app, request.category)
+    told = device_info(evidence["artifact"], evidence["media"], evidence["run"])
+    return told.select(F.lit("device_info").alias("type"), "id", "run_id", F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.lit(None).cast("string").alias("content"), F.col("info").alias("searched"), F.lit(1.0).alias("relevance"))
+
+
+def execute(evidence: Mapping[str, DataFrame], run_id: str, request: Request, now: datetime, index: DataFrame | None = None) -> DataFrame:
+    """The best ``limit`` rows of a case: (type, id, run_id, timestamp, content, method, combined, score), best first, then by type and id.
+
+    Each table gives the page of its matches, newest first (contacts and media by name); ``index`` (run_id, type, id, timestamp, content, embedding) gives the
+    ``limit`` nearest rows above the threshold. Rows of one id that both found are one row, method hybrid, with the relevance of
+    the keyword match; ``combined`` weighs the similarity 0.6 and the relevance 0.4. Every side is cut to ``limit`` rows by a
+    partial top-k before they meet, so what is merged does not grow with the case. Without a vector only keywords count.
+    """
+    spark = next(iter(evidence.values())).sparkSession
+    case = {n: t.where(F.col("run_id") == run_id) for n, t in evidence.items() if "run_id" in t.columns}
+    by_keyword = spark.createDataFrame([], "type string, id string, run_id string, timestamp timestamp_ntz, content string, searched string, relevance double, source int")
+    if request.mode != "semantic":
+        for i, table in enumerate(dict.fromkeys(request.tables)):
+            order = F.asc("searched") if table in BY_NAME else F.desc_nulls_last("timestamp")
+            found = page(searched_table(case, table, request), request.limit, request.offset, order, F.asc("id"))
+            by_keyword = by_keyword.unionByName(found.select(*RESULT, F.lit(i).alias("source")))
+    k = deduplicated(by_keyword).drop("source").withColumn("similarity", F.lit(None).cast("double"))
+    if request.mode != "keyword" and request.vector:
+        if index is None:
+            raise ValueError("a semantic search needs an index")
+        rows = index.where(F.col("run_id") == run_id)
+        near = semantic_search(rows.withColumn("key", F.struct("type", "id", "timestamp", "content")), request.vector, request.limit, request.threshold, id_column="key")
+        s = near.select("id.type", "id.id", F.lit(run_id).alias("run_id"), "id.timestamp", "id.content", F.coalesce("id.content", F.lit("")).alias("searched"), F.col("similarity").alias("relevance"), "similarity")
+        both = k.join(s.select("id", F.col("similarity").alias("near")), "id", "left").withColumn("similarity", F.col("near")).drop("near")
+        k = both.withColumn("method", F.when(F.col("similarity").isNull(), "keyword").otherwise("hybrid")).unionByName(s.join(k.select("id"), "id", "left_anti").withColumn("method", F.lit("semantic")))
+    else:
+        k = k.withColumn("method", F.lit("keyword"))
+    of_keyword = F.when(F.col("method") == "semantic", 0.0).otherwise(F.col("relevance"))
+    merged = k.withColumn("combined", 0.6 * F.coalesce("similarity", F.lit(0.0)) + 0.4 * of_keyword)
+    best = ranked(merged, request.keywords, request.entities, now).orderBy(F.desc("score"), "type", "id").limit(request.limit)
+    return best.select("type", "id", "run_id", "timestamp", "content", "method", "combined", "score")
+
+
 def history(queries: DataFrame, run_id: str, limit: int, offset: int = 0) -> DataFrame:
     return page(queries.where(F.col("run_id") == run_id), limit, offset, F.desc("created_at"), F.asc("id"))

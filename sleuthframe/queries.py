@@ -14,6 +14,7 @@ from .functions import identifiers, scalars
 from .operators import crosscase, custody, graph, maintenance, patterns, search, temporal
 from .plans.compiler import MAPPINGS, matches, preview, run_plan
 from .plans.ir import Predicate, QueryPlan, Target
+from .plans.questions import plan_of
 from .sinks import outputs
 from .sources import archives
 
@@ -203,9 +204,32 @@ def new_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run_id", "key", F.date_format("emerged", "yyyy-MM-dd").alias("emerged"), "n_events")
 
 
-@query()
+@query("ue", "series", sql="""
+, w AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, sum(total) OVER (PARTITION BY run_id) AS s, sum(total * total) OVER (PARTITION BY run_id) AS q FROM series),
+o AS (SELECT run_id, d, total, (s - total) / (n - 1) AS mean, (q - total * total) / (n - 1) AS square FROM w WHERE n >= 3 AND total >= 5),
+z AS (SELECT run_id, d, total, (total - mean) / sqrt(square - mean * mean) AS z FROM o WHERE square - mean * mean > 1e-12),
+night AS (SELECT run_id FROM ue GROUP BY run_id HAVING count(*) FILTER (hour(ts) < 5) >= 6 AND count(*) FILTER (hour(ts) < 5) / count(*) >= 0.25),
+night_days AS (SELECT run_id, CAST(ts AS DATE) AS d, count(*) AS n FROM ue JOIN night USING (run_id) WHERE hour(ts) < 5 GROUP BY ALL),
+active AS (SELECT run_id, CAST(ts AS DATE) AS d, count(*) AS events FROM ue GROUP BY ALL),
+g AS (SELECT run_id, lag(d) OVER v AS before, d AS after, events + lag(events) OVER v AS events, count(*) OVER (PARTITION BY run_id) AS n FROM active WINDOW v AS (PARTITION BY run_id ORDER BY d)),
+silent AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY date_diff('day', before, after) DESC, before DESC) AS k FROM g WHERE before IS NOT NULL AND n >= 3),
+m AS (SELECT run_id, d, row_number() OVER v AS i, count(*) OVER (PARTITION BY run_id) AS n, avg(total) OVER (v ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS before, avg(total) OVER (v ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS after, sum(total) OVER (v ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS events FROM series WINDOW v AS (PARTITION BY run_id ORDER BY d)),
+fallen AS (SELECT *, (before - after) / before AS fall FROM m WHERE i > 7 AND i <= n - 6 AND before >= 2), drops AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(fall, 9) DESC, d) AS k FROM fallen WHERE fall >= 0.6),
+a AS (SELECT *, avg(total) OVER (PARTITION BY run_id) AS mean FROM series), u AS (SELECT run_id, d, total, d - CAST(row_number() OVER (PARTITION BY run_id ORDER BY d) AS INTEGER) AS island FROM a WHERE total > mean),
+party AS (SELECT run_id, CAST(ts AS DATE) AS d, regexp_replace(a, '[^0-9]', '', 'g') AS key FROM ue UNION ALL SELECT run_id, CAST(ts AS DATE), b FROM ue),
+found AS (
+  SELECT run_id, 'spike' AS type, CASE WHEN z >= 3 THEN 'high' ELSE 'medium' END AS severity, strftime(d, '%Y-%m-%d') AS dates, total AS n FROM z WHERE z >= 2
+  UNION ALL SELECT run_id, 'late_night', 'medium', array_to_string(list_sort(list(strftime(d, '%Y-%m-%d')))[1:10], ','), sum(n) FROM night_days GROUP BY run_id
+  UNION ALL SELECT run_id, 'dormancy', 'high', strftime(before, '%Y-%m-%d') || ',' || strftime(after, '%Y-%m-%d'), events FROM silent WHERE k = 1 AND date_diff('day', before, after) >= 14
+  UNION ALL SELECT run_id, 'drop', CASE WHEN fall >= 0.8 THEN 'high' ELSE 'medium' END, strftime(d, '%Y-%m-%d'), events FROM drops WHERE k = 1
+  UNION ALL SELECT run_id, 'burst', 'low', strftime(min(d), '%Y-%m-%d') || ',' || strftime(max(d), '%Y-%m-%d'), sum(total) FROM u GROUP BY run_id, island HAVING count(*) >= 3
+  UNION ALL SELECT run_id, 'new_contact', 'medium', strftime(min(party.d), '%Y-%m-%d'), count(*) FROM party JOIN (SELECT run_id, min(d) AS start FROM active GROUP BY run_id) USING (run_id) GROUP BY run_id, key, start HAVING date_diff('day', start, min(party.d)) >= 7 AND count(*) >= 8
+)
+SELECT run_id, type, severity, dates, CAST(least(n, 25) AS BIGINT) AS n_citations FROM found
+""")
 def findings_union_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.analyze(catalog.user_events(spark, sf_dir))
+    found = temporal.analyze(catalog.user_events(spark, sf_dir))
+    return found.select("run_id", "type", "severity", F.array_join("dates", ",").alias("dates"), F.size("citations").cast("long").alias("n_citations"))
 
 
 @query("ue", "series", sql="""
@@ -416,6 +440,53 @@ def app_alias_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.where(search.app_filter("chrome") | (search.holds(F.col("filename"), "a") & search.holds(F.col("filename"), "messages"))).select("id")
 
 
+@query("message", "call", sql="""
+, found AS (
+  SELECT 'message' AS source_table, id AS row_id, "timestamp" AS ts FROM message WHERE run_id = '2' AND (strpos(sender, '+15550000012') > 0 OR strpos(receiver, '+15550000012') > 0)
+  UNION ALL SELECT 'call', id, "timestamp" FROM call WHERE run_id = '2' AND (strpos(caller, '+15550000012') > 0 OR strpos(receiver, '+15550000012') > 0)
+)
+SELECT source_table, row_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS event_time FROM found
+""")
+def plan_of_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(plan_of("Who did +15550000012 write to, and who called?"), evidence(spark, sf_dir), "2").select("source_table", "row_id", "event_time")
+
+
+@query("message", "call", sql="""
+, m AS (SELECT 'message' AS type, id, 1.0 + CASE WHEN strpos(lower(content), 'blue') > 0 THEN 0.2 ELSE 0 END + CASE WHEN strpos(lower(content), 'red') > 0 THEN 0.2 ELSE 0 END AS relevance, "timestamp", sender || ' ' || receiver || ' ' || content AS searched FROM message WHERE run_id = '1' AND (strpos(lower(content), 'blue') > 0 OR strpos(lower(content), 'red') > 0) ORDER BY "timestamp" DESC, id LIMIT 60 OFFSET 5),
+c AS (SELECT 'call' AS type, id, 1.0 AS relevance, "timestamp", caller || ' ' || receiver AS searched FROM call WHERE run_id = '1' ORDER BY "timestamp" DESC, id LIMIT 60 OFFSET 5),
+s AS (SELECT type, id, relevance + CASE WHEN strpos(searched, '+15560000002') > 0 THEN 0.3 ELSE 0 END + greatest(0.0, 1 - floor(epoch(TIMESTAMP '2024-06-01' - "timestamp") / 86400) / 365) * 0.1 AS score FROM (SELECT * FROM m UNION ALL SELECT * FROM c))
+SELECT type, id, 'keyword' AS method, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, type, id LIMIT 60
+""")
+def search_executed_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = search.Request(("messages", "calls"), "keyword", ("blue", "red"), ("+15560000002",), limit=60, offset=5)
+    return search.execute(evidence(spark, sf_dir), "1", request, NOW).select("type", "id", "method", F.round("score", 6).alias("score"))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as an index of the artifacts of the same number."""
+    return table(spark, sf_dir, "embeddings").select(F.lit("0").alias("run_id"), F.lit("artifact").alias("type"), F.col("vec_id").cast("string").alias("id"), F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.lit(None).cast("string").alias("content"), "embedding")
+
+
+@query(sql=SIMILARITY + """
+, near AS (SELECT CAST(vec_id AS VARCHAR) AS id, similarity FROM s WHERE similarity >= 0.1 ORDER BY similarity DESC, CAST(vec_id AS VARCHAR) LIMIT 40)
+SELECT 'artifact' AS type, id, 'semantic' AS method, round(0.6 * similarity, 6) AS combined, round(similarity, 6) AS score FROM near
+""")
+def search_executed_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = search.Request(("artifacts",), "semantic", vector=tuple(query_vector(spark, sf_dir)), threshold=0.1, limit=40)
+    return search.execute(evidence(spark, sf_dir), "0", request, NOW, vector_index(spark, sf_dir)).select("type", "id", "method", F.round("combined", 6).alias("combined"), F.round("score", 6).alias("score"))
+
+
+@query(sql=SIMILARITY + """
+, near AS (SELECT CAST(vec_id AS VARCHAR) AS id, similarity FROM s WHERE similarity >= 0.1 ORDER BY similarity DESC, CAST(vec_id AS VARCHAR) LIMIT 500),
+k AS (SELECT CAST(doc_id AS VARCHAR) AS id, 1.5 + CASE WHEN strpos(lower(source), 'web') > 0 THEN 0.3 ELSE 0 END AS relevance FROM documents WHERE strpos(lower(text), 'the') > 0 OR strpos(lower(source), 'the') > 0 OR strpos(lower(lang), 'the') > 0 ORDER BY id LIMIT 500),
+b AS (SELECT id, CASE WHEN relevance IS NULL THEN 'semantic' WHEN similarity IS NULL THEN 'keyword' ELSE 'hybrid' END AS method, 0.6 * coalesce(similarity, 0) + CASE WHEN relevance IS NULL THEN 0 ELSE 0.4 * 1.5 END AS combined, coalesce(relevance, similarity) AS score FROM k FULL JOIN near USING (id))
+SELECT 'artifact' AS type, id, method, round(combined, 6) AS combined, round(score, 6) AS score FROM b ORDER BY b.score DESC, b.id LIMIT 500
+""")
+def search_executed_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = search.Request(("artifacts",), "hybrid", ("the",), ("web",), vector=tuple(query_vector(spark, sf_dir)), threshold=0.1, limit=500)
+    return search.execute(evidence(spark, sf_dir), "0", request, NOW, vector_index(spark, sf_dir)).select("type", "id", "method", F.round("combined", 6).alias("combined"), F.round("score", 6).alias("score"))
+
+
 @query("call", sql="""SELECT id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS called FROM call WHERE run_id = '2' AND (strpos(caller, '0000012') > 0 OR strpos(receiver, '0000012') > 0) ORDER BY "timestamp" DESC, id LIMIT 40 OFFSET 3""")
 def call_search_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search_calls(evidence(spark, sf_dir)["call"].where("run_id = '2'"), ["0000012"])

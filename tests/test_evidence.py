@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sleuthframe import catalog
 from sleuthframe.functions import identifiers
-from sleuthframe.operators import crosscase, custody, graph, maintenance, temporal
+from sleuthframe.operators import crosscase, custody, graph, maintenance, search, temporal
 from sleuthframe.plans.compiler import matches, rendered, run_cited, run_plan
 from sleuthframe.plans.ir import Predicate, QueryPlan, Target
+from sleuthframe.plans.questions import plan_of
 
 KEY = "a key for tests"
 A, B, C, D = "+15550001000", "+15550002000", "+447700900111", "+15550004000"
@@ -295,3 +296,37 @@ def test_transcripts_replace_their_own_rows(case):
     twice = maintenance.transcribed(case["media"], once, lambda path: "said again")
     assert {r.media_id for r in once.collect()} == {"x1", "x3"}
     assert [r.text for r in twice.collect()] == ["said again"] * 2
+
+
+def test_questions_become_plans(case):
+    asked = plan_of("Any WhatsApp or snap chats about bitcoin with +1 555 000 1000?")
+    assert asked.targets == (Target.artifacts, Target.calls, Target.messages) and asked.match.value == "any"
+    assert [(p.field.value, p.values) for p in asked.predicates] == [("app", ("whatsapp",)), ("text", ("bitcoin",)), ("participant", ("+1 555 000 1000",))]
+    words = plan_of("please show messages from the noon lunch with one two three four five sixth")
+    assert words.targets == (Target.messages, Target.artifacts) and words.predicates[0].values == ("noon", "lunch", "three", "four", "five", "sixth")
+    assert plan_of("who rang").predicates == (Predicate("text", "contains", ("rang",)),) and plan_of("who rang").targets == (Target.calls,)
+    assert plan_of("").predicates == () and plan_of("").targets == (Target.messages, Target.artifacts)
+    assert ids(run_plan(plan_of("talk of lunch"), case, "r")) == ["m2"] and ids(run_plan(plan_of("bitcoin?"), case, "r")) == ["m1"]
+
+
+def test_searches_in_three_modes(spark, case):
+    now = datetime(2024, 2, 1)
+    index = spark.createDataFrame(
+        [("r", "message", "m1", datetime(2024, 1, 1, 12), "the Bitcoin", [1.0, 0.0]), ("r", "message", "m2", datetime(2024, 1, 1, 13), "lunch", [0.8, 0.6]), ("r", "message", "m3", None, None, [0.0, 1.0]), ("other", "message", "m4", None, "x", [1.0, 0.0])],
+        "run_id string, type string, id string, timestamp timestamp_ntz, content string, embedding array<double>",
+    )
+
+    def found(**parts):
+        return [(r.type, r.id, r.method, round(r.combined, 3)) for r in search.execute(case, "r", search.Request(**parts), now, index).collect()]
+
+    every = ("messages", "calls", "contacts", "media", "artifacts", "device_info")
+    assert found(tables=("messages",), mode="keyword", keywords=("BITCOIN", "eth")) == [("message", "m3", "keyword", 0.4), ("message", "m1", "keyword", 0.4)]
+    assert found(tables=("messages",), mode="semantic", vector=(2.0, 0.0)) == [("message", "m1", "semantic", 0.6), ("message", "m2", "semantic", 0.48)]
+    assert found(tables=("messages",), mode="hybrid", keywords=("bitcoin",), vector=(2.0, 0.0)) == [("message", "m1", "hybrid", 1.0), ("message", "m2", "semantic", 0.48)]
+    assert found(tables=("messages",), mode="hybrid", keywords=("bitcoin",)) == [("message", "m1", "keyword", 0.4)]
+    assert {t for t, *_ in found(tables=every, mode="keyword")} == {"message", "call", "contact", "media"} and len(found(tables=every, mode="keyword")) == 4 + 1 + 1 + 3
+    assert len(found(tables=every, mode="keyword", limit=2)) == 2 and found(tables=("calls",), mode="keyword", offset=1) == []
+    assert search.execute(case, "none", search.Request(every, "hybrid", vector=(1.0, 0.0)), now, index).count() == 0
+    for wrong in ({"tables": (), "mode": "keyword"}, {"tables": ("notes",), "mode": "keyword"}, {"tables": ("calls",), "mode": "exact"}, {"tables": ("calls",), "mode": "keyword", "limit": 501}):
+        with pytest.raises(ValueError):
+            search.Request(**wrong)
