@@ -31,6 +31,8 @@ MEMBER_BLOCK, PROBER_BLOCK = 2_048, 4_096
 #: A pair is found from either side, so it is missed only if its way is longer than twice that: three deviations.
 BORDER = 1.5
 LEAST_PROBES = 4
+#: More than two ways to sum a cosine can differ by.
+ROUNDING = 1e-9
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -124,13 +126,16 @@ def links_between(q: Quantiser, number: int, probers: pd.DataFrame, members: pd.
         v, ids = vectors[k : k + 256], pid[k : k + 256]
         near = q.distances(v, number, codes) <= reach
         near &= ids[:, None] != xid
-        if near.mean() > 0.05:
-            near &= v @ x.T >= threshold
-            a, b = np.nonzero(near)
-        else:
-            a, b = np.nonzero(near)
-            fine = (v[a] * x[b]).sum(1) >= threshold
-            a, b = a[fine], b[fine]
+        # where many pairs are near, a product of matrices leaves only what rounding may turn to the sum that decides
+        dense = near.mean() > 0.05
+        dots = v @ x.T if dense else None
+        if dense:
+            near &= dots >= threshold - ROUNDING
+        a, b = np.nonzero(near)
+        sure = dots[a, b] >= threshold + ROUNDING if dense else np.zeros(len(a), bool)
+        open_ = np.flatnonzero(~sure)
+        sure[open_] = (v[a[open_]] * x[b[open_]]).sum(1) >= threshold
+        a, b = a[sure], b[sure]
         if not len(a):
             continue
         forward = np.bincount(a, weights=xsize[b], minlength=len(ids))

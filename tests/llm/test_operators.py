@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -456,6 +457,70 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def links_of(x):
+    """Pairs i < j of unit vectors with cosine 0.9 or more, all compared."""
+    return {(i + at, j) for at in range(0, len(x), 1000) for i, j in zip(*np.nonzero(x[at : at + 1000] @ x.T >= 0.9)) if i + at < j}
+
+
+def vectors_of(kind, n, rng):
+    """Unit vectors of 64 dimensions, half of them turned from another to a cosine between 0.9 and 0.93."""
+    x = rng.normal(size=(n, 64))
+    if kind == "clustered":
+        x = rng.normal(size=(n // 50, 64))[rng.integers(0, n // 50, n)] + 0.45 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    half, turn = n // 2, rng.normal(size=(n // 2, 64))
+    turn -= (turn * x[:half]).sum(1, keepdims=True) * x[:half]
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.93, size=(half, 1))
+    x[half : 2 * half] = cosine * x[:half] + np.sqrt(1 - cosine**2) * turn
+    return x
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+def test_recall_of_probing(kind):
+    """The lists of a full index, as many as it ever has: a link is found if either side probes the other's list."""
+    x = vectors_of(kind, embedding_dedup.SAMPLE, np.random.default_rng(11))
+    q = embedding_dedup.Quantiser(x, embedding_dedup.SAMPLE // 32)
+    home, probes, _, _ = q.index(x, embedding_dedup.BORDER * math.sqrt(0.2 / 64))
+    probes = [set(p) for p in probes]
+    want = links_of(x)
+    found = sum(home[j] in probes[i] or home[i] in probes[j] for i, j in want)
+    assert len(want) >= 10_000 and found >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+def test_recall_of_embedding_dedup(spark, kind, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LIST_SIZE", 32)
+    x = vectors_of(kind, 3000, np.random.default_rng(12))
+    want = Counter(i for pair in links_of(x) for i in pair)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == 3000 and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.98 * want.total()
+
+
+def test_a_cosine_at_the_threshold_is_judged_alike_in_any_block():
+    """Many near members make a block dense; the pair at the threshold must not depend on that."""
+    rng = np.random.default_rng(13)
+    base = embedding_dedup.unit(rng.normal(size=(1, 64)))[0]
+    others = embedding_dedup.unit(base + rng.normal(size=(40, 64)) * 0.03)
+    far = embedding_dedup.unit(rng.normal(size=(400, 64)))
+    pair = embedding_dedup.unit(np.stack([base, 0.9 * base + rng.normal(size=64) * 0.06]))
+    exact = float((pair[0] * pair[1]).sum())
+
+    def links(rest, threshold):
+        x = np.concatenate([pair, rest])
+        q = embedding_dedup.Quantiser(embedding_dedup.unit(np.concatenate([x, far])), 1)
+        home, probes, codes, err = q.index(x, 1.0)
+        table = pd.DataFrame({"vec_id": range(len(x)), "size": 1, "vec": [v.tobytes() for v in x], "home": home, "probes": probes, "codes": [c.tobytes() for c in codes], "err": err})
+        got = embedding_dedup.links_between(q, 0, table[:1], table[1:2] if not len(rest) else table, threshold)
+        return int(got.loc[got.node == 0, "links"].sum())
+
+    for threshold in (np.nextafter(exact, 0), exact, np.nextafter(exact, 1)):
+        sparse, dense = links(far, threshold), links(others, threshold)
+        near = int(((others * base).sum(1) >= threshold).sum())
+        assert sparse - int(((far * base).sum(1) >= threshold).sum()) == dense - near == int(exact >= threshold)
+
+
 # Language model.
 
 
