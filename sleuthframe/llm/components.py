@@ -7,6 +7,7 @@ composed, give each node the least node of its component. Nothing but a row for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .tables import discard, materialize
 
+#: Edges for which a round has a partition, up to spark.sql.shuffle.partitions: a small graph is not dealt into many tiny files.
+SHARE = 50_000
+
 
 def stars(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
     """The least node of its component for every node of ``pairs``."""
@@ -53,13 +57,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ends = (F.greatest("src", "dst"), F.least("src", "dst"))
     normal = edges.where("src <> dst").select(ends[0].alias("src"), ends[1].alias("dst")).distinct()
     moves: list[DataFrame] = []
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = materialize(contracted_within_partitions(normal), "edges")
-    while not left.isEmpty():
-        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    while n := left.count():
+        shares = min(most, math.ceil(n / SHARE))
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).repartition(shares, "src")
         move = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("to")).select(F.col("src").alias("node"), "to"), "moves")
         moves.append(move)
         source, target = move.toDF("src", "a"), move.toDF("dst", "b")
-        moved = left.join(source, "src").join(target, "dst").where("a <> b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
+        moved = left.join(source, "src").join(target, "dst").where("a <> b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).repartition(shares, "src", "dst").distinct()
         before, left = left, materialize(contracted_within_partitions(moved), "edges")
         discard(before)
     if not moves:
