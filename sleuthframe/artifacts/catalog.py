@@ -119,3 +119,8 @@ SELECT {MS.format("timestamp_millis")} AS timestamp, ssid, bssid, security_type,
 
 register(Artifact("photo_places", "media", ("*/gphotos0.db",), {"local_media": ("dedup_key", "filename", "filepath", "utc_timestamp", "latitude", "longitude", "size_bytes")}, f"""
 SELECT {MS.format("utc_timestamp")} AS timestamp, filename, regexp_replace(filepath, '[^/]*$', '') AS folder, TRY_CAST(latitude AS DOUBLE) AS latitude, TRY_CAST(longitude AS DOUBLE) AS longitude, TRY_CAST(size_bytes AS BIGINT) AS bytes FROM {{local_media}}""", outputs=("tsv", "timeline", "table", "places")))
+
+register(Artifact("media_images", "media", ("*/external.db",), {"files": ("_id", "_data", "title", "mime_type", "date_added", "_size")}, """
+SELECT date_format(from_utc_timestamp(timestamp_seconds(CAST(date_added AS BIGINT)), '{tz}'), 'yyyy-MM-dd HH:mm:ss') AS added_local, date_format(timestamp_seconds(CAST(date_added AS BIGINT)), 'yyyy-MM-dd') AS day, date_format(timestamp_seconds(CAST(date_added AS BIGINT)), 'HH:mm:ss') AS time,
+  _data AS path, title, mime_type, TRY_CAST(_size AS BIGINT) AS bytes
+FROM {files} WHERE mime_type ILIKE 'image/%' ORDER BY CAST(date_added AS BIGINT) DESC, _data"""))

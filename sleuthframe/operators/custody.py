@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import hmac
 import json
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import check_key, hmac_sha256
+from ..plans.compiler import rendered
+from ..plans.ir import QueryPlan
 
 GENESIS = "0" * 64
 FIELDS = ("event_type", "payload", "prev_hash", "run_id", "seq", "timestamp", "user_id")
@@ -103,7 +106,40 @@ def signature(content: Column, secret: str, head_hash: Column) -> Column:
     return hmac_sha256(F.concat(content, F.lit(":"), F.coalesce(head_hash, F.lit(""))), check_key(secret))
 
 
+def graph_hash(nodes: DataFrame, edges: DataFrame) -> str:
+    return hashlib.sha256((content_hash(nodes, ["id"]) + content_hash(edges, ["source", "target"])).encode()).hexdigest()
+
+
 def signed_artifact(nodes: DataFrame, edges: DataFrame, secret: str, head_hash: str | None = None) -> dict[str, str | int]:
     """The envelope of a graph export; the content hash does not depend on the log."""
-    content = hashlib.sha256((content_hash(nodes, ["id"]) + content_hash(edges, ["source", "target"])).encode()).hexdigest()
+    content = graph_hash(nodes, edges)
     return {"kind": "link-graph", "version": 1, "content_hash": content, "signature": sign(content, secret, head_hash), "audit_head_hash": head_hash or ""}
+
+
+def query_payload(question: str | None, planner: str, plan: QueryPlan, run_id: str, total: int, row_ids: Sequence[str]) -> dict:
+    """What the log says of a query: the question, who planned it, the plan, its SQL, and the rows of the page shown."""
+    return {"question": question, "planner": planner, "plan": json.loads(json.dumps(dataclasses.asdict(plan), default=str)), "sql": rendered(plan, run_id), "total": total, "row_ids": list(row_ids)}
+
+
+class ExportFailed(RuntimeError):
+    """An export that the log tells of but that could not be made; ``log`` holds the entry that says so."""
+
+    def __init__(self, reason: Exception, log: DataFrame):
+        super().__init__(f"export failed: {reason}")
+        self.log = log
+
+
+def exported_graph(log: DataFrame, nodes: DataFrame, edges: DataFrame, secret: str, timestamp: str, run_ids: Sequence[str], seed: str | None = None, user_id: str | None = None) -> tuple[DataFrame, dict[str, str | int]]:
+    """The log with an entry export, and the signed artifact bound to that entry.
+
+    The secret is checked before the log changes. Where the artifact can't be made then, the log gets an entry export_failed too.
+    """
+    check_key(secret)
+    content = graph_hash(nodes, edges)
+    told = {"artifact": "link-graph", "content_hash": content}
+    counts = {"node_count": nodes.count(), "edge_count": edges.count()}
+    log = record(log, "export", timestamp, user_id=user_id, payload=told | counts | {"run_ids": sorted(run_ids), "seed": seed})
+    try:
+        return log, signed_artifact(nodes, edges, secret, head(log).first()["entry_hash"])
+    except Exception as e:
+        raise ExportFailed(e, record(log, "export_failed", timestamp, user_id=user_id, payload=told | {"reason": str(e)})) from e

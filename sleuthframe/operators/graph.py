@@ -166,3 +166,24 @@ def property_graph(evidence: Evidence) -> tuple[DataFrame, DataFrame]:
     to = events.where("b is not null").select(F.lit("TO").alias("type"), F.col("id").alias("source"), F.col("b").alias("target"))
     contains = nodes.where("label <> 'Person'").select(F.lit("CONTAINS").alias("type"), F.col("run_id").alias("source"), F.col("key").alias("target"))
     return nodes, sent.unionByName(to).unionByName(contains)
+
+
+def type_counts(nodes: DataFrame, column: str = "label") -> DataFrame:
+    """(type, n) of the nodes of a graph."""
+    return nodes.groupBy(F.col(column).alias("type")).agg(F.count("*").alias("n"))
+
+
+def normalized_degrees(degrees: DataFrame) -> DataFrame:
+    """``degrees`` (run_id, node, degree) with share: per cent of the greatest degree of the case."""
+    most = degrees.groupBy("run_id").agg(F.max("degree").alias("most"))
+    return degrees.join(most, "run_id").select("run_id", "node", "degree", (F.col("degree") * 100 / F.col("most")).alias("share"))
+
+
+def of_types(nodes: DataFrame, edges: DataFrame, types: list[str], column: str = "label", key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """The nodes of some types, and the edges (source, target) that have such a node at either end."""
+    kept = nodes.where(F.col(column).isin(types))
+    ids = kept.select(F.col(key).alias("end_")).distinct()
+    found = edges
+    for end in ("source", "target"):
+        found = found.join(ids.withColumn(f"{end}_kept_", F.lit(True)), F.col(end) == F.col("end_"), "left").drop("end_")
+    return kept, found.where("source_kept_ or target_kept_").select(*edges.columns)

@@ -84,3 +84,21 @@ def report_rows(results: DataFrame, rules: DataFrame, runs: DataFrame, users: Da
 
 def counts_by_type(results: DataFrame) -> DataFrame:
     return results.groupBy("result_type").agg(F.count("*").alias("n"))
+
+
+def differences(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """The rows, with ``difference`` extra or missing, by which a table is not exactly the expected one; repeated rows count."""
+    columns = expected.columns
+    found = actual.select(*columns)
+    return found.exceptAll(expected).withColumn("difference", F.lit("extra")).unionByName(expected.exceptAll(found).withColumn("difference", F.lit("missing")))
+
+
+def validated_sample(evidence: Evidence, run_id: str, expected: dict[str, DataFrame]) -> None:
+    """Raise unless the case's tables hold exactly the ``expected`` rows, and all its other tables none."""
+    for name, table in evidence.items():
+        if "run_id" not in table.columns or name == "run" and name not in expected:
+            continue
+        rows = table.where(F.col("run_id") == run_id)
+        wrong = rows if name not in expected else differences(rows, expected[name])
+        if not wrong.isEmpty():
+            raise ValueError(f"table {name} of case {run_id} is not that of the sample")

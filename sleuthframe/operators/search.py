@@ -101,6 +101,12 @@ def sampled_rows(data: Column, n: int = 5) -> Column:
     return F.slice(F.from_json(data, "array<string>", {"mode": "FAILFAST"}), 1, n)
 
 
+def summarized_fields(data: Column, n: int = 5, width: int = 100) -> Column:
+    """The first fields of a JSON object of an artifact, as (key, value) with values cut to ``width`` characters."""
+    fields = F.slice(F.map_entries(F.from_json(data, "map<string,string>", {"mode": "FAILFAST"})), 1, n)
+    return F.transform(fields, lambda f: F.struct(f["key"].alias("key"), F.substring(f["value"], 1, width).alias("value")))
+
+
 def deduplicated(results: DataFrame) -> DataFrame:
     """One row for each type and id, that of the lowest ``source`` number."""
     w = Window.partitionBy("type", "id").orderBy("source")
@@ -237,3 +243,8 @@ def execute(evidence: Mapping[str, DataFrame], run_id: str, request: Request, no
 
 def history(queries: DataFrame, run_id: str, limit: int, offset: int = 0) -> DataFrame:
     return page(queries.where(F.col("run_id") == run_id), limit, offset, F.desc("created_at"), F.asc("id"))
+
+
+def history_total(queries: DataFrame) -> DataFrame:
+    """(run_id, total): how many queries each case has, for paging."""
+    return queries.groupBy("run_id").agg(F.count("*").alias("total"))

@@ -164,3 +164,9 @@ def analyze(events: DataFrame) -> DataFrame:
         every = every.unionByName(f)
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     return every.orderBy("run_id", rank, "type", F.col("dates")[0])
+
+
+def peak_days(series: DataFrame) -> DataFrame:
+    """(run_id, d, total): the day of each case with the most events, of several the first."""
+    best = series.groupBy("run_id").agg(F.max_by(F.struct("d", "total"), F.struct("total", -F.unix_date("d"))).alias("x"))
+    return best.select("run_id", "x.d", "x.total")

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import catalog
+from .artifacts.chunks import joined_chunks
 from .artifacts.registry import artifacts, run_artifact
 from .functions import identifiers, scalars
-from .operators import crosscase, custody, graph, maintenance, patterns, search, temporal
+from .operators import crosscase, custody, graph, index, maintenance, patterns, search, temporal
 from .plans.compiler import MAPPINGS, matches, preview, run_plan
 from .plans.ir import Predicate, QueryPlan, Target
 from .plans.questions import plan_of
@@ -701,3 +702,93 @@ def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), (F.col("value") - 50).alias("Latitude"), (F.col("event_id") % 90).alias("Longitude"))
     return outputs.place_rows(rows, "events").withColumn("latitude", F.round("latitude", 4))
+
+
+@query(sql="""
+SELECT strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS added_local, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M:%S') AS time, CAST(event_id AS VARCHAR) AS path FROM events WHERE event_type IN ('click', 'purchase')
+""")
+def artifact_like_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local times of a zone without summer time."""
+    kind = F.when(F.col("event_type").isin("click", "purchase"), "IMAGE/jpeg").otherwise("video/mp4")
+    files = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("_data"), kind.alias("mime_type"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("date_added"))
+    return run_artifact(spark, artifacts()["media_images"], {"files": files}, tz="Asia/Kolkata").select("added_local", "day", "time", "path")
+
+
+@query(sql="SELECT l_orderkey AS id, string_agg(l_suppkey || ';', '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS body FROM lineitem GROUP BY l_orderkey")
+def artifact_chunks_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey")).withColumn("body", F.concat("l_suppkey", F.lit(";")))
+    return joined_chunks(pieces, ["id"], F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"), "body")
+
+
+# Indexes, counts and checks of samples.
+
+
+@query("message", sql="""
+SELECT run_id, id, CAST(length(t) AS DOUBLE) AS length, CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) AS n_e FROM (SELECT run_id, id, 'From ' || sender || ' to ' || receiver || ': ' || content AS t FROM message)
+""")
+def vector_index_of_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An encoder that SQL can follow stands for a model: the length of a text and how many times it has the letter e."""
+    found = index.vector_index(index.message_texts(evidence(spark, sf_dir)["message"]), lambda texts: [(len(t), t.count("e")) for t in texts])
+    return found.select("run_id", "id", F.col("embedding")[0].cast("double").alias("length"), F.col("embedding")[1].cast("double").alias("n_e"))
+
+
+@query(sql="SELECT CAST(doc_id AS VARCHAR) AS id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL")
+def token_index_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.lit("0").alias("run_id"), F.lit("artifact").alias("type"), F.col("doc_id").cast("string").alias("id"), "text")
+    return index.token_index(texts).select("id", "token", "n")
+
+
+@query("message", "call", "contact", "comm", sql="""
+SELECT 'Person' AS type, count(*) AS n FROM (SELECT run_id, a FROM comm UNION SELECT run_id, b FROM comm) UNION ALL SELECT 'Message', count(*) FROM message UNION ALL SELECT 'Call', count(*) FROM call UNION ALL SELECT 'Contact', count(*) FROM contact
+""")
+def node_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {k: v for k, v in evidence(spark, sf_dir).items() if k in ("message", "call", "contact")}
+    return graph.type_counts(graph.property_graph(tables)[0])
+
+
+@query("call", sql="""
+SELECT 'CALLED' AS type, caller AS source, id AS target FROM call UNION ALL SELECT 'TO', id, receiver FROM call
+""")
+def graph_of_node_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without what cases contain: here the numbers of calls are also those of cases."""
+    tables = {k: v for k, v in evidence(spark, sf_dir).items() if k in ("message", "call")}
+    nodes, edges = graph.property_graph(tables)
+    return graph.of_types(nodes, edges.where("type <> 'CONTAINS'"), ["Call"])[1]
+
+
+@query("ue", "series", sql="""
+, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY total DESC, d) AS k FROM series) SELECT run_id, strftime(d, '%Y-%m-%d') AS d, CAST(total AS BIGINT) AS total FROM r WHERE k = 1
+""")
+def peak_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.peak_days(temporal.daily_series(catalog.user_events(spark, sf_dir))).select("run_id", F.date_format("d", "yyyy-MM-dd").alias("d"), "total")
+
+
+@query("message", "call", "comm", sql=EDGES + """
+, deg AS (SELECT run_id, node, CAST(sum(weight) AS BIGINT) AS degree FROM (SELECT run_id, lo AS node, weight FROM edge UNION ALL SELECT run_id, hi, weight FROM edge) GROUP BY ALL)
+SELECT run_id, node, degree, round(degree * 100 / max(degree) OVER (PARTITION BY run_id), 4) AS share FROM deg
+""")
+def normalized_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.normalized_degrees(graph.degrees(graph.edges(catalog.comm_events(evidence(spark, sf_dir)))))
+    return found.withColumn("share", F.round("share", 4))
+
+
+@query(sql="SELECT CAST(o_custkey AS VARCHAR) AS run_id, count(*) AS total FROM orders GROUP BY 1")
+def history_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.history_total(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("run_id")))
+
+
+@query(sql="""
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderstatus END AS status, 'extra' AS difference FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, o_orderstatus, 'missing' FROM orders WHERE o_orderkey % 7 = 0
+""")
+def sample_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return maintenance.differences(expected.withColumn("status", F.when(F.col("id") % 7 == 0, "changed").otherwise(F.col("status"))), expected)
+
+
+@query(sql="""
+SELECT c_custkey AS id, unnest(['a', 'b', 'c', 'd', 'e']) AS key, unnest([CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, repeat('x', 100), CAST(c_nationkey AS VARCHAR)]) AS value FROM customer
+""")
+def artifact_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.to_json(F.struct(F.col("c_custkey").alias("a"), F.col("c_name").alias("b"), F.col("c_mktsegment").alias("c"), F.repeat(F.lit("x"), 150).alias("d"), F.col("c_nationkey").alias("e"), F.lit("left out").alias("f")))
+    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(search.summarized_fields(data)).alias("x"))
+    return found.select("id", "x.key", "x.value")

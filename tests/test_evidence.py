@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sleuthframe import catalog
 from sleuthframe.functions import identifiers
-from sleuthframe.operators import crosscase, custody, graph, maintenance, search, temporal
+from sleuthframe.operators import crosscase, custody, graph, index, maintenance, search, temporal
 from sleuthframe.plans.compiler import matches, rendered, run_cited, run_plan
 from sleuthframe.plans.ir import Predicate, QueryPlan, Target
 from sleuthframe.plans.questions import plan_of
@@ -330,3 +330,54 @@ def test_searches_in_three_modes(spark, case):
     for wrong in ({"tables": (), "mode": "keyword"}, {"tables": ("notes",), "mode": "keyword"}, {"tables": ("calls",), "mode": "exact"}, {"tables": ("calls",), "mode": "keyword", "limit": 501}):
         with pytest.raises(ValueError):
             search.Request(**wrong)
+
+
+def test_exports_are_logged(spark, monkeypatch):
+    log = spark.createDataFrame([], "seq long, event_type string, run_id string, user_id string, timestamp string, payload string, prev_hash string, entry_hash string")
+    nodes = spark.createDataFrame([("a", 1), ("b", 1)], "id string, degree int")
+    edges = spark.createDataFrame([("a", "b", 1)], "source string, target string, weight int")
+    told, artifact = custody.exported_graph(log, nodes, edges, "secret", "t", ["r"])
+    entry = told.first()
+    assert entry.event_type == "export" and artifact["audit_head_hash"] == entry.entry_hash and artifact["content_hash"] in entry.payload
+    assert custody.verify_chain(told).first().ok
+
+    def broken(*_):
+        raise OSError("no paper")
+
+    monkeypatch.setattr(custody, "signed_artifact", broken)
+    with pytest.raises(custody.ExportFailed) as failed:
+        custody.exported_graph(log, nodes, edges, "secret", "t", ["r"])
+    assert [r.event_type for r in failed.value.log.orderBy("seq").collect()] == ["export", "export_failed"] and custody.verify_chain(failed.value.log).first().ok
+
+
+def test_queries_are_logged():
+    plan = QueryPlan((Target.messages,), (Predicate("text", "contains", ("x",)),))
+    payload = custody.query_payload("who wrote x?", "rules", plan, "1", 2, ["a", "b"])
+    assert payload["total"] == 2 and payload["row_ids"] == ["a", "b"] and "instr(lower(content), 'x') > 0" in payload["sql"][0] and payload["plan"]["predicates"]
+
+
+def test_indexes_by_case(spark, tmp_path):
+    rows = [("1", "m1", "a", None, "hello"), ("1", "m2", None, "b", None), ("a/b", "m3", "a", "b", " ")]
+    message = spark.createDataFrame(rows, "run_id string, id string, sender string, receiver string, content string").withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))
+    texts = index.message_texts(message)
+    assert {r.id: r.text for r in texts.collect()} == {"m1": "From a to unknown: hello", "m2": "From unknown to b: ", "m3": "From a to b:  "}
+    path = str(tmp_path / "index")
+    assert not index.index_exists(spark, path, "1") and not index.delete_index(spark, path, "1")
+    maintenance.reindexed(path, index.vector_index(texts, lambda t: [[len(x), 1.0] for x in t]))
+    assert {r.id for r in index.load_index(spark, path, "1").collect()} == {"m1", "m2"} and [r.id for r in index.load_index(spark, path, "a/b").collect()] == ["m3"]
+    assert index.delete_index(spark, path, "1") and not index.index_exists(spark, path, "1") and index.index_exists(spark, path, "a/b")
+    blank = index.vector_index(texts.withColumn("text", F.lit("\t")), lambda t: [[float(x == " ")] for x in t])
+    assert [r.embedding[0] for r in blank.collect()] == [1.0] * 3
+    with pytest.raises(Exception, match="0 vectors of"):
+        index.vector_index(texts, lambda t: []).collect()
+
+
+def test_samples_are_exact(spark):
+    message = spark.createDataFrame([("1", "a"), ("1", "a"), ("2", "z")], "run_id string, content string")
+    call = spark.createDataFrame([("2", "c")], "run_id string, caller string")
+    expected = message.where("run_id = '1'").select("content")
+    maintenance.validated_sample({"message": message, "call": call}, "1", {"message": expected})
+    with pytest.raises(ValueError, match="message"):  # repeated rows count
+        maintenance.validated_sample({"message": message}, "1", {"message": expected.distinct()})
+    with pytest.raises(ValueError, match="call"):
+        maintenance.validated_sample({"message": message, "call": call}, "2", {"message": message.where("run_id = '2'").select("content")})
