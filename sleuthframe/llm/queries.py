@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, jaccard_join, line_dedup, lm_scoring, media, packing, token_counts, toxicity
+from . import bpe, chat, embedding_dedup, hard_negatives, html_extraction, jaccard_join, line_dedup, lm_scoring, media, packing, structure_repair, token_counts, toxicity
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +53,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair(read(spark, sf_dir, "conversations"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(read(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_media_columns, op4_chat_formatting, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op8_ngram_jaccard_join, op9_line_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_media_columns, op4_chat_formatting, op5_token_counts, op6_embedding_near_dedup, op7_bpe_round_trip, op8_ngram_jaccard_join, op9_line_dedup, op10_lm_scoring, op11_structure_repair, op12_html_extraction, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op4_chat_formatting": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_html_extraction": html_extraction.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
