@@ -124,3 +124,26 @@ register(Artifact("media_images", "media", ("*/external.db",), {"files": ("_id",
 SELECT date_format(from_utc_timestamp(timestamp_seconds(CAST(date_added AS BIGINT)), '{tz}'), 'yyyy-MM-dd HH:mm:ss') AS added_local, date_format(timestamp_seconds(CAST(date_added AS BIGINT)), 'yyyy-MM-dd') AS day, date_format(timestamp_seconds(CAST(date_added AS BIGINT)), 'HH:mm:ss') AS time,
   _data AS path, title, mime_type, TRY_CAST(_size AS BIGINT) AS bytes
 FROM {files} WHERE mime_type ILIKE 'image/%' ORDER BY CAST(date_added AS BIGINT) DESC, _data"""))
+
+# A column that SQLite lets stand beside an aggregate without grouping by it has the value of the row that holds the maximum or minimum, of equal
+# rows the first; without such an aggregate that of the last row.
+
+register(Artifact("latest_of_threads", "messages", ("*/mmssms.db",), {"sms": ("_id", "thread_id", "address", "date", "body")}, f"""
+WITH last AS (SELECT thread_id, COUNT(*) AS messages, MAX_BY(STRUCT(date, address, body), STRUCT(CAST(date AS BIGINT), -rowid)) AS m FROM {{sms}} GROUP BY thread_id)
+SELECT {MS.format("m.date")} AS timestamp, thread_id, messages, m.address, m.body FROM last ORDER BY CAST(m.date AS BIGINT) DESC, thread_id"""))
+
+register(Artifact("bookmarks", "browser", ("*/bookmarks.db",), {"entities": ("entityId", "type", "title", "url", "lastModified", "deleted"), "relations": ("folderId", "entityId")}, """
+WITH listed AS (
+  SELECT e.entityId, MAX_BY(STRUCT(e.title, e.url, e.lastModified, e.deleted, r.folderId), STRUCT(e.rowid, r.rowid)) AS x FROM {entities} e LEFT JOIN {relations} r ON r.entityId = e.entityId
+  WHERE e.type ILIKE 'BOOKMARK' GROUP BY e.entityId
+)
+SELECT SUBSTRING(REPLACE(REPLACE(x.lastModified, 'T', ' '), 'Z', ''), 1, 19) AS modified, entityId, x.title, x.url, x.folderId AS folder_id, CASE x.deleted WHEN '1' THEN 'YES' ELSE 'NO' END AS deleted FROM listed"""))
+
+register(Artifact("named_calls", "calls", ("*/calllog.db",), {"calls": ("_id", "number", "date", "duration"), "names": ("number", "name")}, f"""
+SELECT {MS.format("c.date")} AS timestamp, c.number, n.name, CAST(c.duration AS BIGINT) AS seconds FROM {{calls}} c, {{names}} n WHERE n.number = c.number AND CAST(c.duration AS BIGINT) > 0"""))
+
+register(Artifact("cached_activities", "health", ("*/gcm_cache.db",), {"json_activities": ("concept_id", "data_type", "cached_val")}, """
+SELECT REPLACE(TRIM(BOTH '.0' FROM get_json_object(cached_val, '$.summaryDTO.startTimeGMT')), 'T', ' ') AS started, concept_id, get_json_object(cached_val, '$.activityName') AS name, get_json_object(cached_val, '$.activityTypeDTO.typeKey') AS kind,
+  TRY_CAST(get_json_object(cached_val, '$.summaryDTO.duration') AS DOUBLE) AS seconds, ROUND(TRY_CAST(get_json_object(cached_val, '$.summaryDTO.distance') AS DOUBLE) / 1000, 3) AS kilometres,
+  INSTR(get_json_object(cached_val, '$.activityName'), ' ') AS first_space, COALESCE(json_array_length(get_json_object(cached_val, '$.splits')), 0) AS splits
+FROM {json_activities} WHERE data_type = 'ACTIVITY_DETAILS' AND try_parse_json(cached_val) IS NOT NULL"""))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks.outputs import STANDARD, write_outputs
-from ..sources.sqlite import columns_of, paths_of, read_sqlite
+from ..sources.sqlite import read_sqlite, tables_in
 
 log = logging.getLogger(__name__)
 
@@ -53,7 +53,8 @@ def run_artifact(spark: SparkSession, artifact: Artifact, tables: Mapping[str, D
     """Rows of an artifact over its tables, given as DataFrames or as the path of SQLite files."""
     if isinstance(tables, str):
         path = tables
-        tables = {t: read_sqlite(spark, path, t) for t in artifact.tables if any(columns_of(p, t) for p in paths_of(path))}
+        found = {r.table.lower() for r in tables_in(spark, path).select("table").distinct().collect()}
+        tables = {t: read_sqlite(spark, path, t) for t in artifact.tables if t.lower() in found}
     views = {}
     for name, columns in artifact.tables.items():
         if name not in tables:
@@ -67,7 +68,11 @@ def run_artifact(spark: SparkSession, artifact: Artifact, tables: Mapping[str, D
                 df = df.withColumn("rowid", F.monotonically_increasing_id())
         views[name] = f"{name}_{uuid.uuid4().hex[:12]}"
         df.createOrReplaceTempView(views[name])
-    return spark.sql(artifact.sql.format(tz=tz, **views))
+    try:
+        return spark.sql(artifact.sql.format(tz=tz, **views))
+    finally:  # the plan holds the tables by now
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def run_artifacts(spark: SparkSession, files: Mapping[str, str], folder: str, categories: Iterable[str] | None = None) -> dict[str, str]:

@@ -147,15 +147,10 @@ def flags(value: Column, names: Sequence[tuple[int, str]]) -> Column:
 POINTS = T.ArrayType(T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType())]))
 
 
-@F.udf(T.StringType())
-def repaired_text(text: str | None) -> str | None:
+def repaired_text(text: Column) -> Column:
     """UTF-8 that was read as Latin-1, read again; other text as it is."""
-    if text is None:
-        return None
-    try:
-        return text.encode("latin-1").decode("utf-8")
-    except (UnicodeEncodeError, UnicodeDecodeError):
-        return text
+    bare = F.when(text.rlike(r"^[\x{00}-\x{FF}]*\z"), F.encode(text, "ISO-8859-1")).cast("string")
+    return F.when(F.is_valid_utf8(bare), bare).otherwise(text)
 
 
 @F.pandas_udf(POINTS)

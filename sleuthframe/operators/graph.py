@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Evidence, comm_events
 from ..functions.identifiers import entity
+from ..shared import written
 
 EDGE_CITATIONS = 50
 
@@ -77,22 +78,53 @@ def keyed_events(events: DataFrame, key: str) -> DataFrame:
     return keyed.where("x.id <> y.id").select(*events.columns, "x", "y")
 
 
-def cut_stream(keyed: DataFrame, node_limit: int | None, edge_limit: int | None) -> DataFrame:
-    """Events up to the first, in stream order, that would pass a limit of nodes or edges; one that is None is no limit.
+def in_order(events: DataFrame) -> DataFrame:
+    """Events with ``at``, their place in the stream: by case, messages before calls, by time and id."""
+    return events.withColumn("at", F.struct("run_id", F.when(F.col("kind") == "message", 0).otherwise(1).alias("t"), "ts", "id"))
+
+
+def stop_of(keyed: DataFrame, node_limit: int | None, edge_limit: int | None) -> DataFrame:
+    """One row (stop, reason): the first event, in stream order, that would pass a limit of nodes or edges, nulls if none does.
 
     A node or edge is born with the first event that has it; births are summed in the order of events. Every row of births has
-    one at least, so the limits are passed within their sum of rows, and only so many go into the running sum.
+    one at least, so the limits are passed within their sum of rows, and only so many go into the running sum. A limit that is
+    None is no limit; where an event passes both, that of nodes is the reason.
     """
-    order = F.struct("run_id", F.when(F.col("kind") == "message", 0).otherwise(1).alias("t"), "ts", "id")
-    ordered = keyed.withColumn("at", order)
+    ordered = in_order(keyed)
     node_births = ordered.select("at", F.explode(F.array("x.id", "y.id")).alias("node")).groupBy("node").agg(F.min("at").alias("at")).groupBy("at").agg(F.count("*").alias("nodes"))
     edge_births = ordered.groupBy(F.least("x.id", "y.id").alias("lo"), F.greatest("x.id", "y.id").alias("hi")).agg(F.min("at").alias("at")).groupBy("at").agg(F.count("*").alias("edges"))
     births = edge_births.withColumn("nodes", F.lit(0)) if node_limit is None else node_births.withColumn("edges", F.lit(0)) if edge_limit is None else node_births.join(edge_births, "at", "full_outer").na.fill(0, ["nodes", "edges"])
     births = births.orderBy("at").limit((node_limit or 0) + (edge_limit or 0) + 1)
     running = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    passed = [F.sum(c).over(running) > limit for c, limit in (("nodes", node_limit), ("edges", edge_limit)) if limit is not None]
-    stop = births.withColumn("passed", F.greatest(*passed, F.lit(False))).where("passed").agg(F.min("at").alias("stop"))
-    return ordered.join(F.broadcast(stop)).where("stop is null or at < stop").drop("stop", "at")
+    reason = F.lit(None).cast("string")
+    for column, limit, name in (("edges", edge_limit, "edge_limit"), ("nodes", node_limit, "node_limit")):
+        if limit is not None:
+            reason = F.when(F.sum(column).over(running) > limit, f"{name} {limit} reached").otherwise(reason)
+    return births.select("at", reason.alias("reason")).where("reason is not null").agg(F.min("at").alias("stop"), F.min_by("reason", "at").alias("reason"))
+
+
+def before(keyed: DataFrame, stop: DataFrame) -> DataFrame:
+    """Events of the stream before the one at which it stops."""
+    return in_order(keyed).join(F.broadcast(stop.select("stop"))).where("stop is null or at < stop").drop("stop", "at")
+
+
+def cut_stream(keyed: DataFrame, node_limit: int | None, edge_limit: int | None) -> DataFrame:
+    """Events up to the first that would pass a limit."""
+    return before(keyed, stop_of(keyed, node_limit, edge_limit))
+
+
+def verdict(events: DataFrame, excluded: DataFrame, stop: DataFrame | None, ceiling: int | None) -> DataFrame:
+    """One row on how a graph was built: events_scanned (with the one it stopped at), event_ceiling, truncated, reason, and excluded
+    (events of the cases without a time). ``events`` have times; parties that are blank or the same count as scanned.
+    """
+    if stop is None:
+        scanned = events.agg(F.count("*").alias("events_scanned")).withColumns({"truncated": F.lit(False), "reason": F.lit(None).cast("string")})
+    else:
+        marked = in_order(events).join(F.broadcast(stop))
+        counts = marked.agg(F.count_if(F.col("stop").isNull() | (F.col("at") <= F.col("stop"))).alias("events_scanned"))
+        scanned = counts.join(F.broadcast(stop.select(F.col("reason").isNotNull().alias("truncated"), "reason")))
+    left_out = excluded.agg(F.count("*").alias("excluded"))
+    return scanned.join(F.broadcast(left_out)).select("events_scanned", F.lit(ceiling).cast("long").alias("event_ceiling"), "truncated", "reason", "excluded")
 
 
 def link_edges(keyed: DataFrame, citations: int = EDGE_CITATIONS) -> DataFrame:
@@ -117,10 +149,11 @@ def link_nodes(keyed: DataFrame, edges: DataFrame, contact: DataFrame, key: str,
     return found.select("id", "type", redacted.alias("redacted"), "degree", "cases", "case_count", F.when(~redacted, F.col("value")).alias("value"), F.when(~redacted, F.coalesce("name", "value")).alias("label"))
 
 
-def link_graph(evidence: Evidence, run_ids: list[str], key: str, seed: str | None = None, max_hops: int = 2, start=None, end=None, node_limit: int | None = 500, edge_limit: int | None = 2000, authorized: list[str] | None = None) -> dict[str, DataFrame | bool]:
-    """nodes, edges, and whether the seed was found, over some cases; parts that lie outside the window of time are left out.
+def link_graph(evidence: Evidence, run_ids: list[str], key: str, seed: str | None = None, max_hops: int = 2, start=None, end=None, node_limit: int | None = 500, edge_limit: int | None = 2000, authorized: list[str] | None = None, event_ceiling: int | None = None) -> dict[str, DataFrame | bool]:
+    """nodes, edges, verdict (see :func:`verdict`), and whether the seed was found, over some cases; parts that lie outside the window
+    of time are left out.
 
-    A limit that is None is no limit. Cases that are not ``authorized`` raise.
+    A limit that is None is no limit. Cases that are not ``authorized`` raise, and so does a graph of more events than ``event_ceiling``.
     """
     if not run_ids:
         raise ValueError("no cases given")
@@ -128,16 +161,18 @@ def link_graph(evidence: Evidence, run_ids: list[str], key: str, seed: str | Non
         raise ValueError("the window of time is reversed")
     if authorized is not None and (extra := set(run_ids) - set(authorized)):
         raise PermissionError(f"not authorized for {sorted(extra)}")
-    events = comm_events(evidence).where(F.col("run_id").isin(sorted(set(run_ids))) & F.col("ts").isNotNull())
+    every = comm_events(evidence).where(F.col("run_id").isin(sorted(set(run_ids))))
+    events = every.where(F.col("ts").isNotNull())
     if start is not None:
         events = events.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         events = events.where(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
-    keyed = keyed_events(events, key)
+    # hashed once; nodes, edges, hops and limits all read what is written here
+    keyed = written(keyed_events(events, key), "keyed")
     seed_id, near, seed_found = None, None, True
     if seed is not None:
         seed_id = keyed.sparkSession.range(1).select(entity(F.lit(seed), key)["id"]).first()[0]
-        pairs = keyed.select(F.col("x.id").alias("lo"), F.col("y.id").alias("hi")).distinct().persist()
+        pairs = keyed.select(F.col("x.id").alias("lo"), F.col("y.id").alias("hi")).distinct()
         seeds = pairs.select(F.explode(F.array("lo", "hi")).alias("node")).where(F.col("node") == seed_id).distinct()
         seed_found = not seeds.isEmpty()
         near = hops(pairs, seeds, max_hops)
@@ -145,13 +180,19 @@ def link_graph(evidence: Evidence, run_ids: list[str], key: str, seed: str | Non
             keyed = keyed.join(near.select(F.col("node").alias(f"{side}_near")), F.col(f"{side}.id") == F.col(f"{side}_near"), "left_semi")
         if max_hops == 0:
             keyed = keyed.limit(0)
+        keyed = events = written(keyed, "near")
+    stop = None
     if node_limit is not None or edge_limit is not None:
-        keyed = cut_stream(keyed, node_limit, edge_limit)
+        stop = written(stop_of(keyed, node_limit, edge_limit), "stop")
+        keyed = before(keyed, stop)
+    judged = verdict(events, every.where(F.col("ts").isNull()), stop, event_ceiling)
+    if event_ceiling is not None and (scanned := judged.first().events_scanned) > event_ceiling:
+        raise ValueError(f"the graph has {scanned} events, more than {event_ceiling}: narrow the window of time or give a seed")
     found = link_edges(keyed)
     nodes = link_nodes(keyed, found, evidence["contact"].where(F.col("run_id").isin(sorted(set(run_ids)))), key, seed_id)
     if near is not None:
         nodes = near.withColumnRenamed("node", "id").join(nodes, "id", "left")
-    return {"nodes": nodes.orderBy(F.desc("degree"), "id"), "edges": found.orderBy("source", "target"), "seed_found": seed_found}
+    return {"nodes": nodes.orderBy(F.desc("degree"), "id"), "edges": found.orderBy("source", "target"), "verdict": judged, "seed_found": seed_found}
 
 
 def property_graph(evidence: Evidence) -> tuple[DataFrame, DataFrame]:

@@ -59,11 +59,11 @@ def index_exists(spark: SparkSession, path: str, run_id: str) -> bool:
 
 
 def load_index(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """The rows of one case; only its folder is read."""
-    if not index_exists(spark, path, run_id):
+    """The rows of one case; only its folder is read. Its id is taken as text, never as the number that it may look like."""
+    folders = [p.toString() for _, p in case_folders(spark, path, run_id)]
+    if not folders:
         raise FileNotFoundError(f"no index of case {run_id}")
-    stored = spark.read.parquet(path)
-    return stored.where(F.col("run_id").cast("string") == run_id).withColumn("run_id", F.col("run_id").cast("string"))
+    return spark.read.parquet(*folders).withColumn("run_id", F.lit(run_id))
 
 
 def delete_index(spark: SparkSession, path: str, run_id: str) -> bool:

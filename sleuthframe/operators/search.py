@@ -131,10 +131,17 @@ def term_score(text: Column, keywords: Sequence[str]) -> Column:
 
 
 def similarities(vectors: DataFrame, query: Sequence[float], id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, similarity): cosine with the query in double precision, computed a batch at a time."""
+    """(id, similarity): cosine with the query in double precision, computed a batch at a time.
+
+    Vectors of another length than the query, or with a null, NaN or infinite component, have no similarity and are left out;
+    that of a vector of zeros is 0.
+    """
     q = np.asarray(query, dtype=np.float64)
+    if not np.isfinite(q).all():
+        raise ValueError("the query has a component that is not finite")
     q = q / max(np.sqrt((q * q).sum()), 1e-300)
     kind = vectors.schema[id_column].dataType.simpleString()
+    sound = (F.size(vector) == len(q)) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +150,7 @@ def similarities(vectors: DataFrame, query: Sequence[float], id_column: str = "v
             norms = np.sqrt((x * x).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((x @ q) / np.maximum(norms, 1e-300))], names=["id", "similarity"])
 
-    return vectors.select(id_column, vector).where(F.size(vector) == len(q)).mapInArrow(run, f"id {kind}, similarity double")
+    return vectors.select(id_column, vector).where(sound).mapInArrow(run, f"id {kind}, similarity double")
 
 
 def semantic_search(vectors: DataFrame, query: Sequence[float], top_k: int = 10, threshold: float = 0.5, **columns: str) -> DataFrame:
@@ -212,7 +219,7 @@ def execute(evidence: Mapping[str, DataFrame], run_id: str, request: Request, no
     """The best ``limit`` rows of a case: (type, id, run_id, timestamp, content, method, combined, score), best first, then by type and id.
 
     Each table gives the page of its matches, newest first (contacts and media by name); ``index`` (run_id, type, id, timestamp, content, embedding) gives the
-    ``limit`` nearest rows above the threshold. Rows of one id that both found are one row, method hybrid, with the relevance of
+    ``limit`` nearest rows above the threshold. Rows of one type and id that both found are one row, method hybrid, with the relevance of
     the keyword match; ``combined`` weighs the similarity 0.6 and the relevance 0.4. Every side is cut to ``limit`` rows by a
     partial top-k before they meet, so what is merged does not grow with the case. Without a vector only keywords count.
     """
@@ -231,8 +238,9 @@ def execute(evidence: Mapping[str, DataFrame], run_id: str, request: Request, no
         rows = index.where(F.col("run_id") == run_id)
         near = semantic_search(rows.withColumn("key", F.struct("type", "id", "timestamp", "content")), request.vector, request.limit, request.threshold, id_column="key")
         s = near.select("id.type", "id.id", F.lit(run_id).alias("run_id"), "id.timestamp", "id.content", F.coalesce("id.content", F.lit("")).alias("searched"), F.col("similarity").alias("relevance"), "similarity")
-        both = k.join(s.select("id", F.col("similarity").alias("near")), "id", "left").withColumn("similarity", F.col("near")).drop("near")
-        k = both.withColumn("method", F.when(F.col("similarity").isNull(), "keyword").otherwise("hybrid")).unionByName(s.join(k.select("id"), "id", "left_anti").withColumn("method", F.lit("semantic")))
+        row = ["type", "id"]  # tables number their rows each on its own
+        both = k.join(s.select(*row, F.col("similarity").alias("near")), row, "left").withColumn("similarity", F.col("near")).drop("near")
+        k = both.withColumn("method", F.when(F.col("similarity").isNull(), "keyword").otherwise("hybrid")).unionByName(s.join(k.select(*row), row, "left_anti").withColumn("method", F.lit("semantic")))
     else:
         k = k.withColumn("method", F.lit("keyword"))
     of_keyword = F.when(F.col("method") == "semantic", 0.0).otherwise(F.col("relevance"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import normalize
+from ..functions.numbers import python_round
+from ..shared import written
 
 CITATIONS = 25
 SEVERITY = {"high": 0, "medium": 1, "low": 2}
@@ -61,11 +63,11 @@ def spike_scores(series: DataFrame) -> DataFrame:
     return scored.withColumn("z", (F.col("total") - F.col("mean")) / F.col("sd")).where("z >= 2").select("run_id", "d", "total", "z", "mean")
 
 
-def spikes(events: DataFrame) -> DataFrame:
-    found = spike_scores(daily_series(events))
+def spikes(events: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    found = spike_scores(daily_series(events) if series is None else series)
     cites = cited(dated(events).join(found.select("run_id", "d"), ["run_id", "d"], "left_semi"), ["run_id", "d"])
     rows = found.join(cites, ["run_id", "d"], "left")
-    return finding(rows, "spike", F.when(F.col("z") >= 3, "high").otherwise("medium"), F.array(iso(F.col("d"))), volume=F.col("total"), z_score=F.round("z", 2), daily_mean=F.round("mean", 2))
+    return finding(rows, "spike", F.when(F.col("z") >= 3, "high").otherwise("medium"), F.array(iso(F.col("d"))), volume=F.col("total"), z_score=python_round(F.col("z"), 2), daily_mean=python_round(F.col("mean"), 2))
 
 
 def late_night_shares(events: DataFrame, least: int = 6, share: float = 0.25) -> DataFrame:
@@ -79,7 +81,7 @@ def late_night(events: DataFrame) -> DataFrame:
     late = dated(events).where(F.hour("ts") < 5).join(found.select("run_id"), "run_id", "left_semi")
     days = late.groupBy("run_id").agg(F.slice(F.array_sort(F.collect_set(iso(F.col("d")))), 1, 10).alias("days"))
     rows = found.join(days, "run_id").join(cited(late, ["run_id"]), "run_id", "left")
-    return finding(rows, "late_night", F.lit("medium"), F.col("days"), late_night_events=F.col("late"), ratio=F.round("ratio", 3))
+    return finding(rows, "late_night", F.lit("medium"), F.col("days"), late_night_events=F.col("late"), ratio=python_round(F.col("ratio"), 3))
 
 
 def longest_gaps(events: DataFrame, least_days: int = 14) -> DataFrame:
@@ -112,11 +114,11 @@ def change_points(series: DataFrame, days: int = 7, ratio: float = 0.6, baseline
     return best.select("run_id", "best.d", "best.before", "best.after", "best.fall")
 
 
-def drops(events: DataFrame, days: int = 7) -> DataFrame:
-    found = change_points(daily_series(events), days)
+def drops(events: DataFrame, series: DataFrame | None = None, days: int = 7) -> DataFrame:
+    found = change_points(daily_series(events) if series is None else series, days)
     after = dated(events).join(found.select("run_id", F.col("d").alias("change")), "run_id").where((F.col("d") >= F.col("change")) & (F.col("d") < F.date_add("change", days)))
     rows = found.join(cited(after, ["run_id"]), "run_id", "left")
-    return finding(rows, "drop", F.when(F.col("fall") >= 0.8, "high").otherwise("medium"), F.array(iso(F.col("d"))), before_mean=F.round("before", 2), after_mean=F.round("after", 2), drop_ratio=F.round("fall", 3))
+    return finding(rows, "drop", F.when(F.col("fall") >= 0.8, "high").otherwise("medium"), F.array(iso(F.col("d"))), before_mean=python_round(F.col("before"), 2), after_mean=python_round(F.col("after"), 2), drop_ratio=python_round(F.col("fall"), 3))
 
 
 def burst_runs(series: DataFrame, least_days: int = 3) -> DataFrame:
@@ -126,8 +128,8 @@ def burst_runs(series: DataFrame, least_days: int = 3) -> DataFrame:
     return islands.groupBy("run_id", "island").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("n_days"), F.sum("total").alias("n_events")).where(F.col("n_days") >= least_days).drop("island")
 
 
-def bursts(events: DataFrame) -> DataFrame:
-    found = burst_runs(daily_series(events))
+def bursts(events: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    found = burst_runs(daily_series(events) if series is None else series)
     within = dated(events).join(found, "run_id").where(F.col("d").between(F.col("first"), F.col("last")))
     rows = found.join(cited(within, ["run_id", "first"]), ["run_id", "first"], "left")
     return finding(rows, "burst", F.lit("low"), F.array(iso(F.col("first")), iso(F.col("last"))), days=F.col("n_days"), events=F.col("n_events"))
@@ -153,12 +155,14 @@ def new_contacts(events: DataFrame) -> DataFrame:
     return finding(rows, "new_contact", F.lit("medium"), F.array(iso(F.col("emerged"))), first_seen=iso(F.col("emerged")), events=F.col("n_events"), party=F.col("party"))
 
 
-DETECTORS = (spikes, late_night, dormancy, drops, bursts, new_contacts)
+OF_SERIES, OF_EVENTS = (spikes, drops, bursts), (late_night, dormancy, new_contacts)
 
 
 def analyze(events: DataFrame) -> DataFrame:
-    """All findings, by severity, type and first date."""
-    found = [detect(events) for detect in DETECTORS]
+    """All findings, by severity, type and first date; the events and the series of days are made once for all detectors."""
+    events = written(events.select("run_id", "kind", "id", "ts", "a", "b").where("ts is not null"), "events")
+    series = written(daily_series(events), "series")
+    found = [detect(events, series) for detect in OF_SERIES] + [detect(events) for detect in OF_EVENTS]
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)

@@ -1,4 +1,4 @@
-"""Evidence from report files: XML, JSON and CSV, chosen by suffix, as the tables message, contact, call and media."""
+"""Evidence from report files: UFDR, XML, JSON and CSV, chosen by suffix, as the tables message, contact, call and media."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import conform, empty
 from ..functions.scalars import media_type
+from .archives import extracted_files, report_lines
 
 ROWS = {"message": {"sender": "from", "receiver": "to", "timestamp": "timestamp", "content": "content"}, "call": {"caller": "caller", "receiver": "receiver", "timestamp": "timestamp", "duration": "duration"}, "contact": {"name": "name", "number": "number"}}
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd")
@@ -56,17 +57,33 @@ def read_csv(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame
     return {"message": message}
 
 
+def read_ufdr(spark: SparkSession, path: str, run_id: str, staging: str) -> dict[str, DataFrame]:
+    """The report of an extraction archive, and as media the files that it maps.
+
+    The report is unpacked once to ``staging`` as text, which then is split like any other file.
+    """
+    report_lines(spark, path).select("line").write.mode("overwrite").text(staging)
+    files = extracted_files(spark, path)
+    media = files.select(F.col("original_path").alias("path"), F.concat_ws("!", "source", "local_path").alias("storage_path")).distinct()
+    return read_xml(spark, staging, run_id) | {"media": media_table(media, run_id)}
+
+
 READERS = {".xml": read_xml, ".json": read_json, ".csv": read_csv}
 
 
-def read_report(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
-    """Evidence of a report file or a glob of such files, by suffix."""
+def read_report(spark: SparkSession, path: str, run_id: str, staging: str | None = None) -> dict[str, DataFrame]:
+    """Evidence of a report file or a glob of such files, by suffix; a .ufdr needs a folder to unpack to."""
     suffix = "." + path.rsplit(".", 1)[-1].lower()
+    if suffix == ".ufdr":
+        if staging is None:
+            raise ValueError("a .ufdr needs a folder for its report")
+        return read_ufdr(spark, path, run_id, staging)
     if suffix not in READERS:
         raise ValueError(f"unknown kind of report: {path}")
     return READERS[suffix](spark, path, run_id)
 
 
 def media_table(files: DataFrame, run_id: str) -> DataFrame:
-    """Evidence media from a listing (path), with the kind that the extension tells."""
-    return conform(files.select(F.lit(run_id).alias("run_id"), F.sha1("path").alias("id"), F.col("path").alias("original_path"), F.col("path").alias("storage_path"), media_type(F.col("path")).alias("media_type")), "media")
+    """Evidence media from a listing (path, and storage_path where files lie elsewhere), with the kind that the extension tells."""
+    stored = "storage_path" if "storage_path" in files.columns else "path"
+    return conform(files.select(F.lit(run_id).alias("run_id"), F.sha1("path").alias("id"), F.col("path").alias("original_path"), F.col(stored).alias("storage_path"), media_type(F.col("path")).alias("media_type")), "media")

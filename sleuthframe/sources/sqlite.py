@@ -1,139 +1,142 @@
-"""Spark data source for SQLite files: a partition for each file, or for each range of rowids of a large table.
+"""SQLite files of a shared file system as tables: a task for each file, or for each range of rowids of a large table.
 
-Files are opened read-only. A file without the table, or one that can't be read, gives no rows; with ``mode`` FAILFAST it raises.
-Columns are strings (SQLite types values, not columns), to be cast by the query, behind rowid and source_path.
+A first job finds what columns and rowids the files have; the driver sees names and counts only and opens no file. Files are opened
+read-only. A file without the table, or one that can't be read, gives no rows; with ``mode`` FAILFAST it raises. Columns are strings
+(SQLite types values, not columns), to be cast by the query, behind rowid and source_path.
 """
 
 from __future__ import annotations
 
-import os
 import sqlite3
 from collections.abc import Iterator
-from dataclasses import dataclass
-from glob import glob
+from contextlib import contextmanager
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
 
+from .files import at_hand, files_of
 
-def local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
+#: Rows of a batch that a task hands on; tasks at most.
+BATCH, TASKS = 10_000, 20_000
+RANGE = "path string, content binary, low long, high long"
 
 
-def paths_of(path: str) -> list[str]:
-    """Files of a path, a folder or a glob; several are joined by commas."""
-    found = []
-    for p in map(local, path.split(",")):
-        found += [os.path.join(p, f) for f in sorted(os.listdir(p))] if os.path.isdir(p) else sorted(glob(p)) or [p]
-    return found
-
-
-def connect(path: str) -> sqlite3.Connection:
-    db = sqlite3.connect(f"file:{quote(path)}?mode=ro&immutable=1", uri=True)
-    db.text_factory = lambda b: b.decode("utf-8", "replace")
-    return db
+@contextmanager
+def connect(path: str, content: bytes | None = None) -> Iterator[sqlite3.Connection]:
+    """A connection that reads only. A log of changes beside the file is not looked at."""
+    with at_hand(path, content) as name:
+        db = sqlite3.connect(f"file:{quote(name)}?mode=ro&immutable=1", uri=True)
+        db.text_factory = lambda b: b.decode("utf-8", "replace")
+        try:
+            yield db
+        finally:
+            db.close()
 
 
 def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def columns_of(path: str, table: str) -> list[str]:
-    try:
-        with connect(path) as db:
-            return [r[1] for r in db.execute(f"PRAGMA table_info({quoted(table)})")]
-    except sqlite3.Error:
-        return []
-
+def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tables and views of each file with their columns."""
+    for batch in batches:
+        out = []
+        for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+            try:
+                with connect(path, content) as db:
+                    for (table,) in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' ORDER BY name").fetchall():
+                        out.append((path, table, [r[1] for r in db.execute(f"PRAGMA table_info({quoted(table)})")]))
+            except (sqlite3.Error, OSError):
+                continue
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.list_(pa.string())))], ["path", "table", "columns"])
 
-def tables_of(path: str) -> list[str]:
-    """Tables and views of a file."""
-    try:
-        with connect(path) as db:
-            return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' ORDER BY name")]
-    except sqlite3.Error:
-        return []
 
+def tables_in(spark: SparkSession, path: str) -> DataFrame:
+    """(path, table, columns) of SQLite files; files that can't be read have none."""
+    files = files_of(spark, path)
+    return spread(files).mapInArrow(probed, "path string, table string, columns array<string>")
 
-@dataclass
-class Rows(InputPartition):
-    path: str
-    low: int | None
-    high: int | None
 
+def spread(files: DataFrame) -> DataFrame:
+    """A file a task, up to ``TASKS``: opening is what takes time."""
+    return files.repartition(max(1, min(files.select("path").count(), TASKS)))
 
-class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, names: list[str], rows: int, strict: bool):
-        self.paths, self.table, self.names, self.rows, self.strict = paths_of(path), table, names, rows, strict
 
-    def partitions(self) -> list[Rows]:
-        found = []
-        for path in self.paths:
-            low = high = None
-            try:
-                with connect(path) as db:
-                    low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
-            except sqlite3.Error:
-                pass  # a view, or a table without rowids: one partition
-            if low is None or high - low < self.rows:
-                found.append(Rows(path, None, None))
-            else:
-                found += [Rows(path, k, min(k + self.rows - 1, high)) for k in range(low, high + 1, self.rows)]
-        return found
-
-    def read(self, partition: Rows) -> Iterator[tuple]:
-        try:
-            have = {c.lower() for c in columns_of(partition.path, self.table)}
-            if not have and not self.strict:
-                return
-            names = ", ".join(quoted(n) if n.lower() in have else "NULL" for n in self.names)
-            with connect(partition.path) as db:
+def ranges(table: str, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                low = high = None
                 try:
-                    rows = db.execute(f"SELECT rowid, {names} FROM {quoted(self.table)}" + (" WHERE rowid BETWEEN ? AND ?" if partition.low is not None else ""), () if partition.low is None else (partition.low, partition.high))
-                except sqlite3.OperationalError:
-                    rows = db.execute(f"SELECT NULL, {names} FROM {quoted(self.table)}")
-                for rowid, *values in rows:
-                    yield (rowid, partition.path, *(v.hex() if isinstance(v, bytes) else None if v is None else str(v) for v in values))
-        except sqlite3.Error:
-            if self.strict:
-                raise
-
-
-class SqliteSource(DataSource):
-    """Options: path, dbtable, rowsPerPartition, mode."""
+                    with connect(path, content) as db:
+                        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(table)}").fetchone()
+                except (sqlite3.Error, OSError):
+                    pass  # a view, or a table without rowids: one task
+                bounds = [(None, None)] if low is None or high - low < rows else [(k, min(k + rows - 1, high)) for k in range(low, high + 1, rows)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(bounds)), pa.array([content] * len(bounds), pa.binary()), pa.array([b[0] for b in bounds], pa.int64()), pa.array([b[1] for b in bounds], pa.int64())], ["path", "content", "low", "high"])
 
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite"
+    return run
 
-    def column_names(self) -> list[str]:
-        names: dict[str, str] = {}
-        for path in paths_of(self.options["path"]):
-            for c in columns_of(path, self.options["dbtable"]):
-                names.setdefault(c.lower(), c)
-        return [c for low, c in names.items() if low not in ("rowid", "source_path")]
 
-    def schema(self) -> StructType:
-        return StructType([StructField("rowid", LongType()), StructField("source_path", StringType()), *(StructField(c, StringType()) for c in self.column_names())])
+def text_of(v: object) -> str | None:
+    return v.hex() if isinstance(v, bytes) else None if v is None else str(v)
 
-    def reader(self, schema: StructType) -> SqliteReader:
-        return SqliteReader(self.options["path"], self.options["dbtable"], schema.names[2:], int(self.options.get("rowsPerPartition", 200_000)), self.options.get("mode", "").upper() == "FAILFAST")
 
-
-def read_sqlite(spark: SparkSession, path: str, table: str, **options: str) -> DataFrame:
-    spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").options(path=path, dbtable=table, **options).load()
+def selected(table: str, names: list[str], strict: bool):
+    def rows_of(db: sqlite3.Connection, low: int | None, high: int | None) -> Iterator[tuple]:
+        have = {r[1].lower() for r in db.execute(f"PRAGMA table_info({quoted(table)})")}
+        if not have and not strict:
+            return
+        columns = ", ".join(quoted(n) if n.lower() in have else "NULL" for n in names)
+        columns = f", {columns}" if columns else ""
+        try:
+            yield from db.execute(f"SELECT rowid{columns} FROM {quoted(table)}" + (" WHERE rowid BETWEEN ? AND ?" if low is not None else ""), () if low is None else (low, high))
+        except sqlite3.OperationalError:
+            yield from db.execute(f"SELECT NULL{columns} FROM {quoted(table)}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed(path: str, rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([path] * len(rows), pa.string()), *(pa.array([text_of(r[i + 1]) for r in rows], pa.string()) for i in range(len(names)))]
+            return pa.RecordBatch.from_arrays(columns, ["rowid", "source_path", *names])
+
+        for batch in batches:
+            for path, content, low, high in zip(*(batch[c].to_pylist() for c in ("path", "content", "low", "high"))):
+                rows: list[tuple] = []
+                try:
+                    with connect(path, content) as db:
+                        for row in rows_of(db, low, high):
+                            rows.append(row)
+                            if len(rows) == BATCH:
+                                yield handed(path, rows)
+                                rows = []
+                except (sqlite3.Error, OSError):
+                    if strict:
+                        raise
+                yield handed(path, rows)
+
+    return run
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, rowsPerPartition: str = "200000", mode: str = "PERMISSIVE") -> DataFrame:
+    """rowid, source_path and the columns that a table has in any of the files; ``path``: file, folder or glob, joined by commas."""
+    found: dict[str, str] = {}
+    for r in tables_in(spark, path).where(F.lower("table") == table.lower()).select(F.posexplode("columns").alias("i", "c")).groupBy("c").agg(F.min("i").alias("i")).orderBy("i", "c").collect():
+        found.setdefault(r.c.lower(), r.c)
+    names = [c for low, c in found.items() if low not in ("rowid", "source_path")]
+    parts = spread(files_of(spark, path).select("path", "content")).mapInArrow(ranges(table, int(rowsPerPartition)), RANGE)
+    schema = ", ".join(["rowid long", "source_path string", *(f"{'`' + c.replace('`', '``') + '`'} string" for c in names)])
+    n = max(1, min(parts.select("path").count(), TASKS))
+    return parts.repartition(n).mapInArrow(selected(table, names, mode.upper() == "FAILFAST"), schema)
 
 
 def register_tables(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
-    """Every table of a file as a temporary view, so that joins over attached databases are plain joins of views."""
-    found = []
-    for table in tables_of(paths_of(path)[0]):
-        read_sqlite(spark, path, table).createOrReplaceTempView(prefix + table)
-        found.append(prefix + table)
-    return found
+    """Every table of the files as a temporary view, so that joins over attached databases are plain joins of views."""
+    names = [r.table for r in tables_in(spark, path).select("table").distinct().orderBy("table").collect()]
+    for name in names:
+        read_sqlite(spark, path, name).createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in names]
 
 
 def has_column(df: DataFrame, name: str) -> bool:
