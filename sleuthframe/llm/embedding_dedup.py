@@ -9,6 +9,7 @@ a task of bounded size that returns numbers of links and a spanning forest, neve
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -89,16 +90,17 @@ class Quantiser:
         return total
 
 
-def to_matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of an Arrow list column as doubles, and which of them are whole: of ``dim`` finite numbers, not all 0."""
+def packed(column: pa.Array) -> list[bytes | None]:
+    """The bytes of each vector of an Arrow list column as doubles; None for one that is null, 0, or not of finite numbers."""
     lists = column.to_pandas()
-    fits = np.array([v is not None and len(v) == dim for v in lists], bool)
-    x = np.zeros((len(lists), dim))
-    if fits.any():
-        x[fits] = np.array([np.asarray(v, dtype=np.float64) for v, f in zip(lists, fits) if f])
-    whole = fits & np.isfinite(x).all(1) & (x != 0).any(1)
-    x[~whole] = 0
-    return x, whole
+    lengths = np.array([0 if v is None else len(v) for v in lists], int)
+    out: list[bytes | None] = [None] * len(lists)
+    for n in set(lengths.tolist()) - {0}:
+        at = np.flatnonzero(lengths == n)
+        x = np.array([np.asarray(lists[i], dtype=np.float64) for i in at]) + 0.0  # -0.0 is 0.0
+        for i, v, whole in zip(at.tolist(), x, np.isfinite(x).all(1) & (x != 0).any(1)):
+            out[i] = v.tobytes() if whole else None
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -163,38 +165,13 @@ def forest(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return [*zip(left[used_left].tolist(), tops_left[used_left].tolist()), *zip(right[used_right].tolist(), tops_right[used_right].tolist())]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
-
-    Vectors whose cosine in double precision is at least ``threshold`` link. Null vectors, zero vectors, and vectors that hold
-    null or non-finite numbers or are not as long as most of the sample link with nothing. n_links counts the other vec_ids
-    linked directly, component_id is the least vec_id reachable, and kept marks it. Rows repeated with one vec_id count once and
-    get equal results. A row whose vec_id is null links with nothing and has a null component_id. An empty table stays empty.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    lengths = rows.where("vec_id is not null and embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = lengths["n"] if lengths else 0
-    if not dim:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, whole = to_matrix(batch.column("embedding"), dim)
-            x += 0.0  # -0.0 is 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([v.tobytes() if w else None for v, w in zip(x, whole)], pa.binary())], names=["vec_id", "vec"])
-
-    kept = materialize(rows.mapInArrow(packed, "vec_id long, vec binary"), "vectors")
-    whole = kept.where("vec_id is not null and vec is not null").withColumn("key", F.sha2("vec", 256))
-    classes = materialize(whole.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("size")), "classes")
-    reps = whole.join(classes.select("key", "size", F.col("rep").alias("vec_id")), ["key", "vec_id"]).dropDuplicates(["key"]).select("vec_id", "size", "vec")
+def links_of(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(node, root, links) of ``reps`` (vec_id, size, vec), vectors of ``dim`` numbers: stars that join what links, and numbers of links."""
+    spark = reps.sparkSession
     sample = [np.frombuffer(r["vec"], np.float64) for r in reps.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec").limit(SAMPLE).collect()]
-    total = classes.count()
-    lists = int(min(max(1, total // LIST_SIZE), max(1, len(sample) // 32)))
+    lists = int(min(max(1, reps.count() // LIST_SIZE), max(1, len(sample) // 32)))
     border = BORDER * math.sqrt((2 - 2 * threshold) / dim)
-    quantiser = spark.sparkContext.broadcast(Quantiser(unit(np.stack(sample)), lists)) if sample else None
-    if quantiser is None:
-        return kept.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    quantiser = spark.sparkContext.broadcast(Quantiser(unit(np.stack(sample)), lists))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,10 +202,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     keys = ["list", "m", "p"]
     probers, members = (side.toDF(*side.columns) for side in (probers, members))
-    met = materialize(probers.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(meet, "node long, root long, links long"), "links")
+    return materialize(probers.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(meet, "node long, root long, links long"), "links")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
+
+    Vectors of one length whose cosine in double precision is at least ``threshold`` link; each length has an index of its own.
+    Null vectors, zero vectors, and vectors that hold null or non-finite numbers link with nothing. n_links counts the other vec_ids
+    linked directly, component_id is the least vec_id reachable, and kept marks it. Rows repeated with one vec_id count once and
+    get equal results. A row whose vec_id is null links with nothing and has a null component_id. An empty table stays empty.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(packed(batch.column("embedding")), pa.binary())], names=["vec_id", "vec"])
+
+    kept = materialize(rows.mapInArrow(pack, "vec_id long, vec binary"), "vectors")
+    whole = kept.where("vec_id is not null and vec is not null").withColumn("key", F.sha2("vec", 256))
+    classes = materialize(whole.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("size"), (F.max(F.octet_length("vec")) / 8).cast("int").alias("dim")), "classes")
+    reps = whole.join(classes.select("key", "size", F.col("rep").alias("vec_id"), "dim"), ["key", "vec_id"]).dropDuplicates(["key"])
+    lengths = sorted(r["dim"] for r in classes.select("dim").distinct().collect())
+    if not lengths:
+        return kept.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    met = functools.reduce(DataFrame.unionByName, [links_of(reps.where(F.col("dim") == n).select("vec_id", "size", "vec"), n, threshold) for n in lengths])
     links = met.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "rep")
     components = connected_components(met.select(F.col("node").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
-    by_class = classes.join(links, "rep", "left").join(components, "rep", "left")
+    by_class = classes.drop("dim").join(links, "rep", "left").join(components, "rep", "left")
     result = kept.withColumn("key", F.sha2("vec", 256)).join(by_class, "key", "left")
     component = F.coalesce("component", "rep", "vec_id")
     n_links = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("size") - 1), F.lit(0)).cast("long")
