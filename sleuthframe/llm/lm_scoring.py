@@ -2,9 +2,11 @@
 
 Counts of words and word pairs over all training texts are quantised; for a count of level q the filter holds the n-gram with
 each number up to q, so a count is read by probing 1, 2, 3 ... until a number is missing. The filter holds every n-gram, those
-seen once too: it grows with the distinct ones, in shards by range of hash. A shard has at most ``MOST_BITS`` bits and is one
-broadcast; a worker holds one at a time and asks each for all n-grams of some texts. A fixed share of the probability after every
-context goes to single words.
+seen once too: it grows with the distinct ones, in shards by range of hash, of at most ``MOST_BITS`` bits. Up to ``BROADCAST`` shards
+are broadcast; a worker holds one at a time and asks each for all n-grams of some texts. A filter of more stays a table: texts are
+cut into pieces, the n-grams of a piece go to the shards that hold them, are probed there, and what was read goes back to the
+piece, so neither the driver nor a worker ever holds more than a shard. A fixed share of the probability after every context goes to
+single words.
 
 The base score uses exact counts: those of the most frequent words are broadcast (at most ``HEAD`` words), those of the others
 are joined.
@@ -38,6 +40,8 @@ PROBES = 6
 FLUSH, GROUP = 2_000_000, 3_000_000
 #: Characters of texts scored at once, and how many times that at most where shards have to be loaded for them.
 PIECE, PIECES = 2_000_000, 4
+#: Shards that are broadcast; n-grams that one task probes where there are more.
+BROADCAST, PROBED = 4, 4_000_000
 #: Share of a pair's relative frequency that is believed.
 TRUST = 0.4
 #: Neither can be a word, both being white space.
@@ -132,6 +136,28 @@ class Shards:
         return found
 
 
+class Asked:
+    """Stands for a filter and notes the n-grams that it is asked for."""
+
+    def __init__(self):
+        self.h: list[np.ndarray] = []
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        self.h.append(h)
+        return np.zeros(len(h), np.int64)
+
+
+class Answers:
+    """Levels of the n-grams of a piece, as they were read elsewhere."""
+
+    def __init__(self, h: np.ndarray, levels: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.levels = h[order], levels[order]
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        return self.levels[np.searchsorted(self.h, h)]
+
+
 def is_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 != 0, F.lit(True))
 
@@ -259,8 +285,8 @@ def shape(entries: int) -> tuple[int, int]:
     return shards, MOST_BITS if shards > 1 else max(1 << 16, 1 << math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY))))
 
 
-def build_filter(grams: DataFrame, shards: int, bits: int) -> Iterator[np.ndarray]:
-    """The bytes of each shard, of ``bits`` bits, with all ``grams`` (h, c), set segment by segment."""
+def build_filter(grams: DataFrame, shards: int, bits: int) -> DataFrame:
+    """(s, bits, k): the segments of a filter of ``shards`` of ``bits`` bits with all ``grams`` (h, c), in folders of ``GATHERED``."""
     size = bits // SEGMENTS
 
     def set_bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -277,14 +303,17 @@ def build_filter(grams: DataFrame, shards: int, bits: int) -> Iterator[np.ndarra
     made = grams.groupBy(segment.alias("s")).applyInPandas(set_bits, "s long, bits binary").withColumn("k", (F.col("s") / GATHERED).cast("int"))
     path = new_path(grams.sparkSession, "filter")
     made.repartition("k").write.partitionBy("k").parquet(path)
-    table = grams.sparkSession.read.schema("s long, bits binary, k int").parquet(path)
+    return grams.sparkSession.read.schema("s long, bits binary, k int").parquet(path)
+
+
+def gathered(table: DataFrame, shards: int, bits: int) -> Iterator[np.ndarray]:
+    """The bytes of each shard."""
     for shard in range(shards):
-        out, first = np.zeros((SEGMENTS, size // 8), np.uint8), shard * SEGMENTS
+        out, first = np.zeros((SEGMENTS, bits // SEGMENTS // 8), np.uint8), shard * SEGMENTS
         for k in range(first // GATHERED, (first + SEGMENTS) // GATHERED):  # each is a folder
             for r in table.where(F.col("k") == k).select("s", "bits").collect():
                 out[r["s"] - first] = np.frombuffer(r["bits"], np.uint8)
         yield out.reshape(-1)
-    discard(table)
 
 
 def hashed(vocabulary: DataFrame) -> DataFrame:
@@ -310,7 +339,7 @@ class Totals:
 class Scorer:
     """Model and base scores of texts in a worker."""
 
-    def __init__(self, bloom: Shards, head: dict[bytes, int], unseen: np.ndarray, totals: Totals):
+    def __init__(self, bloom: Shards | Asked | Answers, head: dict[bytes, int], unseen: np.ndarray, totals: Totals):
         self.bloom, self.head, self.totals = bloom, head, totals
         self.unseen = unseen  # probability left to single words, by level of the context
         self.reset()
@@ -359,9 +388,115 @@ class Scorer:
         return sizes, np.add.reduceat((exact > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(model, starts), keys >> 32, keys & 0xFFFFFFFF, n
 
 
-def score_documents(documents: DataFrame, training: Callable[[Column], Column] = is_training) -> DataFrame:
+@dataclass
+class Model:
+    """What every worker has; ``bloom`` where the filter is broadcast."""
+
+    head: Broadcast
+    unseen: np.ndarray
+    totals: Totals
+    bloom: Shards | None = None
+
+    def scorer(self, bloom: Shards | Asked | Answers | None = None) -> Scorer:
+        return Scorer(bloom or self.bloom, self.head.value, self.unseen, self.totals)
+
+
+def scored_schema(documents: DataFrame) -> str:
+    return f"row long, doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, score double, others array<struct<token:binary,n:long>>"
+
+
+def cut(texts: list[str | None], characters: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of pieces of about so many characters."""
+    begin = 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and size < characters:
+            size += len(texts[end] or "")
+            end += 1
+        yield begin, end
+        begin = end
+
+
+def scored_batch(scorer: Scorer, row: pa.Array, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    sizes, known, base, score, text, word, count = scorer.score(texts)
+    offsets = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32())
+    others = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array([scorer.known.words[w] for w in word.tolist()], pa.binary()), pa.array(count, pa.int64())], ["token", "n"]))
+    return pa.RecordBatch.from_arrays([row, ids, pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), others], names=["row", "doc_id", "n_tokens", "known", "base", "score", "others"])
+
+
+def scored_here(batches: Iterator[pa.RecordBatch], model: Model, piece: int) -> Iterator[pa.RecordBatch]:
+    """Scores from the filter that this worker has."""
+    scorer, row = model.scorer(), TaskContext.get().partitionId() << 36
+    for batch in batches:
+        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+        for begin, end in cut(texts, piece):
+            yield scored_batch(scorer, pa.array(np.arange(row, row + end - begin), pa.int64()), ids.slice(begin, end - begin), texts[begin:end])
+            row += end - begin
+
+
+def scored_by_shard(rows: DataFrame, table: DataFrame, shards: int, model: Model, schema: str) -> DataFrame:
+    """Scores from a filter that stays a table (s, bits, k)."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = piece = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for begin, end in cut(texts, PIECE):
+                n = end - begin
+                yield pa.RecordBatch.from_arrays([pa.array([piece] * n, pa.int64()), pa.array(np.arange(row, row + n), pa.int64()), batch.column("doc_id").slice(begin, n), batch.column("text").slice(begin, n)], names=["piece", "row", "doc_id", "text"])
+                row, piece = row + n, piece + 1
+
+    dealt = materialize(rows.mapInArrow(deal, f"piece long, row long, doc_id {kind}, text string"), "pieces")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-grams of each piece by shard. A piece that lies in two batches asks twice."""
+        for batch in batches:
+            pieces, texts = np.array(batch.column("piece").to_pylist(), np.int64), batch.column("text").to_pylist()
+            for piece in np.unique(pieces).tolist():
+                asked = Asked()
+                model.scorer(asked).score([texts[i] for i in np.flatnonzero(pieces == piece)])
+                h = np.unique(np.concatenate(asked.h))
+                ends = np.append(np.searchsorted(Filter.segment(h, shards) // SEGMENTS, np.arange(shards)), len(h))
+                full = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([piece] * len(full), pa.int64()), pa.array([h[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], names=["shard", "piece", "h"])
+
+    asked = materialize(dealt.select("piece", "text").mapInArrow(ask, "shard int, piece long, h binary"), "asked")
+    # a shard's n-grams in shares of bounded size, each with the shard's segments
+    most = asked.groupBy("shard").agg(F.sum(F.octet_length("h")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] / 8
+    shares = max(1, math.ceil(most / PROBED))
+    probes = asked.withColumn("share", F.pmod(F.xxhash64("piece"), F.lit(shares)).cast("int"))
+    segments = table.select(F.floor(F.col("s") / SEGMENTS).cast("int").alias("shard"), "s", "bits", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"piece": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "levels": pa.array([], pa.binary())})
+        found = sorted(zip(right["s"].to_pylist(), right["bits"].to_pylist()))
+        size = len(found[0][1]) if found else 8
+        bits = np.zeros((SEGMENTS, size), np.uint8)
+        for s, b in found:
+            bits[s % SEGMENTS] = np.frombuffer(b, np.uint8)
+        part = Filter(bits.reshape(-1), {1: 1}, shards)
+        levels = [part.level(np.frombuffer(h, U), 1).astype(np.uint8).tobytes() for h in left["h"].to_pylist()]
+        return pa.table({"piece": left["piece"], "h": left["h"], "levels": pa.array(levels, pa.binary())})
+
+    keys = ["shard", "share"]
+    answers = materialize(probes.groupBy(*keys).cogroup(segments.groupBy(*keys)).applyInArrow(probe, "piece long, h binary, levels binary"), "answers")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        h, levels = (np.concatenate([np.frombuffer(x, k) for x in right[c].to_pylist()] or [np.zeros(0, k)]) for c, k in (("h", U), ("levels", np.uint8)))
+        left = left.sort_by("row").combine_chunks()
+        column = lambda c: left[c].chunk(0)
+        return pa.Table.from_batches([scored_batch(model.scorer(Answers(h, levels.astype(np.int64))), column("row"), column("doc_id"), left["text"].to_pylist())])
+
+    return dealt.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score, schema)
+
+
+def score_documents(documents: DataFrame, training: Callable[[Column], Column] = is_training, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
+    Scores are the same whether the filter is broadcast (up to ``broadcast`` shards) or not.
+
     Tokens are the words of the text, A-Z in lower case, and one end; counts are over documents for which ``training`` holds
     (a null doc_id trains). Null and empty texts are one end. Repeated rows count and are scored as often as they occur. An empty
     table gives no rows; other columns are not read.
@@ -380,28 +515,16 @@ def score_documents(documents: DataFrame, training: Callable[[Column], Column] =
         unseen[r["bucket"]] = 1 - TRUST
     held = pairs.where("h is not null")
     shards, bits = shape(entries_of(vocabulary) + entries_of(held))
-    bloom = Shards([spark.sparkContext.broadcast(part) for part in build_filter(hashed(vocabulary).unionByName(held.select("h", "c")), shards, bits)])
-    piece = PIECE * min(PIECES, shards)
+    table = build_filter(hashed(vocabulary).unionByName(held.select("h", "c")), shards, bits)
+    model = Model(head, unseen, totals)
+    if shards <= broadcast:
+        model.bloom = Shards([spark.sparkContext.broadcast(part) for part in gathered(table, shards, bits)])
+        scored = rows.mapInArrow(lambda batches: scored_here(batches, model, PIECE * min(PIECES, shards)), scored_schema(documents))
+    else:
+        scored = scored_by_shard(rows, table, shards, model, scored_schema(documents))
+    scored = materialize(scored, "scores")
     discard(pairs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, row = Scorer(bloom, head.value, unseen, totals), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            ids, all_texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            begin = 0
-            while begin < len(all_texts):
-                end, size = begin, 0
-                while end < len(all_texts) and size < piece:
-                    size += len(all_texts[end] or "")
-                    end += 1
-                sizes, known, base, model, text, word, count = scorer.score(all_texts[begin:end])
-                offsets = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32())
-                others = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array([scorer.known.words[w] for w in word.tolist()], pa.binary()), pa.array(count, pa.int64())], ["token", "n"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sizes)), pa.int64()), ids.slice(begin, end - begin), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model), others], names=["row", "doc_id", "n_tokens", "known", "base", "score", "others"])
-                row, begin = row + len(sizes), end
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, others array<struct<token:binary,n:long>>"), "scores")
+    discard(table)
     others = scored.select("row", F.explode("others").alias("o")).select("row", "o.token", "o.n").join(vocabulary, "token", "left")
     c = F.coalesce("c", F.lit(0))
     rest = others.groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 0.1) / totals.scale)).alias("rest"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rest_known"))
