@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -239,7 +239,8 @@ class Model:
 def sampled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, toxic, calibrates) of at most ``SAMPLE`` labelled documents of each class that are not held out, and the numbers of all.
 
-    A doc_id labelled more than once is toxic if any label says so.
+    Every third of a class in order of hash calibrates, from the second on, so two rows of a class are one of each part. A doc_id
+    labelled more than once is toxic if any label says so.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).join(documents.select("doc_id"), "doc_id", "left_semi")
@@ -247,8 +248,8 @@ def sampled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[in
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
     clean, toxic = (usable.where(F.col("toxic") == c).orderBy(*by_hash).limit(SAMPLE[c]) for c in (0, 1))
-    third = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(3)) == 0
-    chosen = materialize(clean.unionByName(toxic).withColumn("calibrates", third), "labels")
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id"))
+    chosen = materialize(clean.unionByName(toxic).withColumn("calibrates", place % 3 == 2), "labels")
     discard(usable)
     return chosen, counts
 
@@ -264,20 +265,21 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     rate = toxic / max(1, toxic + clean)
     if not toxic or not clean:
         return Model(spark.sparkContext.broadcast(Lexicon({})), None, None, rate)
-    # where one class is too rare to be in both parts, every row teaches and calibrates
-    both = any(found.get((c, part), 0) == 0 for c in (0, 1) for part in (False, True))
-    teaching = rows if both else rows.where("not calibrates")
-    of = {c: sum(n for (k, calibrates), n in found.items() if k == c and (both or not calibrates)) for c in (0, 1)}
+    # what calibrates is never what teaches; a class of one row only teaches, and scores then stay as the trees give them
+    teaching = rows.where("not calibrates")
+    of = {c: sum(n for (k, calibrates), n in found.items() if k == c and not calibrates) for c in (0, 1)}
     # a row of the sample stands for so many of its class, by the least of the two
     stands = {c: counts[c] / min(counts[c], SAMPLE[c]) for c in (0, 1)}
     lexicon = spark.sparkContext.broadcast(Lexicon(learn_lexicon(teaching, of[1], of[0], stands[0] / stands[1])))
     weight = F.when(F.col("toxic") == 1, stands[1] / min(stands.values())).otherwise(stands[0] / min(stands.values()))
     measured = with_features(rows, lexicon, "values", False).select(F.col("toxic").cast("double").alias("label"), weight.alias("weight"), array_to_vector("values").alias("features"), "calibrates")
     measured = materialize(measured, "features").coalesce(4).cache()
-    part, other = (measured, measured) if both else (measured.where("not calibrates"), measured.where("calibrates"))
+    part, other = measured.where("not calibrates"), measured.where("calibrates")
     least = max(1, min(5, of[1] // 4))
     trees = GBTClassifier(maxIter=25, maxDepth=3, stepSize=0.2, subsamplingRate=0.8, maxBins=32, seed=11, featuresCol="features", labelCol="label", weightCol="weight", minInstancesPerNode=least).fit(part)
     raw = trees.transform(other).select("label", "weight", vector_to_array("probability")[1].alias("raw"))
+    if any((c, True) not in found for c in (0, 1)):
+        raw = spark.createDataFrame([(float(x), 1.0, float(x)) for x in (0, 1)], raw.schema)
     isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="fitted").fit(raw)
     measured.unpersist()
     for made in (rows, chosen):
