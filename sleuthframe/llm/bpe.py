@@ -174,13 +174,19 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(vocabulary(path))
 
 
+#: Characters of a line from which on documents that share it may be copies.
+TELLING = 20
+
+
 def near_each_other(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) with documents that share their least line hash next to each other.
+    """(doc_id, text) with documents that share the least hash of their lines next to each other.
 
-    Copies and near copies so meet in one worker, and a group of any size is spread over as many partitions as it fills.
+    Copies and near copies so meet in one worker, and a group of any size is spread over as many partitions as it fills. Blank and
+    short lines, which all kinds of texts have, tell nothing; a text without others goes by its own hash.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.array_min(F.transform(F.split(text, "\n"), lambda line: F.xxhash64(line)))
+    telling = F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(line)) >= TELLING)
+    key = F.coalesce(F.array_min(F.transform(telling, lambda line: F.xxhash64(line))), F.xxhash64(text))
     return documents.select("doc_id", text.alias("text"), key.alias("least")).repartitionByRange("least", "doc_id", F.length("text")).drop("least")
 
 

@@ -110,7 +110,7 @@ def dedup_lines(documents: DataFrame, least_length: int = 20, least_documents: i
     are found in at least ``least_documents`` documents lose all their lines except in the largest doc_id that holds them. Null
     and empty texts are one empty line and come out empty. Rows with one doc_id count as one document, and a null doc_id as the
     smallest; repeated rows are treated alike. Other columns are kept, old n_lines and n_dropped replaced. An empty table stays
-    empty.
+    empty. doc_id is an integer, or a text that Spark casts to a long (one that isn't is an error).
     """
     documents = documents.drop("n_lines", "n_dropped")
     lines = materialize(long_lines(documents, least_length), "lines")

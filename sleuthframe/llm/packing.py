@@ -126,7 +126,8 @@ def pack(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0,
     A document is the token identifiers of its text and then ``end_id``; only one of more than ``capacity`` is cut, all pieces
     but its first being full. The pieces of a sequence follow each other from offset 0 without gaps and fill at most
     ``capacity``. Null and empty texts are ``end_id`` alone; repeated rows and null doc_ids are packed as documents of their own;
-    an empty table gives no rows; other columns are not read.
+    an empty table gives no rows; other columns are not read. doc_id is an integer, or a text that Spark casts to a long (one that
+    isn't is an error).
     """
     final = []
     bins = materialize(tokenized(documents, path, capacity, end_id), "packing")

@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sleuthframe.llm import bpe, chat, components, embedding_dedup, hashing, jaccard_join, line_dedup, lm_scoring, media, packing, token_counts, toxicity
@@ -695,3 +696,57 @@ def test_toxicity_of_few_labels(spark, n_toxic, n_clean):
         assert set(score.values()) == {float(bool(n_toxic))}
     elif n_toxic > 1:
         assert min(score[i] for i in toxic) > np.mean([score[i] for i in clean])
+
+
+# Round trips between ways to the same result, and ids that are no numbers.
+
+
+def test_vectors_of_every_length_link_among_themselves(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(50)] + [(100, [1.0, 2.0]), (101, [0.5, 1.0]), (102, [2.0, -1.0]), (200, [1.0, 0.0, 3.0]), (201, [2.0, 0.0, 6.0]), (202, [1.0, 2.0, 0.0]), (300, [5.0]), (301, [-5.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: got[i] for i in range(100, 302) if i in got} == {100: (1, 100), 101: (1, 100), 102: (0, 102), 200: (1, 200), 201: (1, 200), 202: (0, 202), 300: (0, 300), 301: (0, 301)}
+
+
+def test_scores_of_a_filter_that_stays_a_table(documents, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << 14)
+    made, shape = [], lm_scoring.shape
+    monkeypatch.setattr(lm_scoring, "shape", lambda entries: made.append(shape(entries)) or made[-1])
+    ways = []
+    for broadcast, piece, probed in ((1_000, 2_000_000, 4_000_000), (0, 2_000_000, 4_000_000), (0, 3_000, 300)):
+        monkeypatch.setattr(lm_scoring, "PIECE", piece)
+        monkeypatch.setattr(lm_scoring, "PROBED", probed)
+        ways.append(sorted(map(repr, map(tuple, lm_scoring.score_documents(documents, broadcast=broadcast).collect()))))
+    assert made[0][0] > 1 and ways[0] == ways[1] == ways[2]
+
+
+def test_calibration_never_sees_what_teaches(spark):
+    rows = [(i, common(WORDS, 20, i)) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 7)) for i in range(40)], "doc_id long, toxic int")
+    chosen, counts = toxicity.sampled(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    found = Counter((r.toxic, r.calibrates) for r in chosen.collect())
+    assert all(abs(found[c, True] - counts[c] / 3) < 1 and found[c, False] for c in (0, 1))
+
+
+def test_lines_that_all_texts_have_tell_no_copies(spark):
+    texts = [f"\n\n{common(WORDS, 30, i)}\n--\n\nshort {i}" for i in range(200)]
+    where, coalesce = defaultdict(set), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        placed = bpe.near_each_other(spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string"))
+        for r in placed.select("text", F.spark_partition_id().alias("p")).collect():
+            where[r.text].add(r.p)
+    finally:
+        spark.conf.set(coalesce, before)
+    # but for those at the borders of partitions
+    assert len({p for ps in where.values() for p in ps}) > 1 and sum(len(ps) == 1 for ps in where.values()) > 180
+
+
+def test_ids_that_are_no_numbers(spark):
+    numbers = spark.createDataFrame([("7", "text of a line, long enough\nx"), (None, "y")], "doc_id string, text string")
+    assert {r.doc_id for r in packing.pack(numbers, BYTE).collect()} == {7, None} and line_dedup.report(numbers).count() == 2
+    words = spark.createDataFrame([("seven", "text of a line, long enough\nx")], "doc_id string, text string")
+    for run in (lambda: packing.pack(words, BYTE), lambda: line_dedup.report(words)):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            run().collect()
