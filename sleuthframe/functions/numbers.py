@@ -44,7 +44,10 @@ def python_round(x: Column, digits: int = 0) -> Column:
 
 
 def python_text(x: Column) -> Column:
-    """``repr(x)`` of a double: the shortest digits that give the number back, with an exponent below 1e-4 and from 1e16 on."""
+    """``repr(x)`` of a double: the shortest digits that give the number back, with an exponent below 1e-4 and from 1e16 on.
+
+    The digits are those that Java finds, which before release 19 are rarely one too many.
+    """
     x = x.cast("double")
     size, text = F.abs(x), F.abs(x).cast("string")
     digits = F.regexp_replace(text, r"\.0E|E", "e")

@@ -75,6 +75,20 @@ def sql_name(name: Column) -> Column:
     return F.lower(F.when(clean.rlike(r"(?U)^[^\p{L}]"), F.concat(F.lit("_"), clean)).otherwise(clean))
 
 
+#: Fixed value: characters that a file's name can't have everywhere; a path may have the first two.
+ILLEGAL = r"\\/*?:\"<>|'\r\n"
+
+
+def file_name(name: Column, instead: str = "_") -> Column:
+    """A name for a file: characters that are illegal somewhere replaced."""
+    return F.regexp_replace(name, f"[{ILLEGAL}]", instead)
+
+
+def file_path(path: Column, instead: str = "_") -> Column:
+    """As :func:`file_name`, slashes of either kind left as they are."""
+    return F.regexp_replace(path, "[" + ILLEGAL.removeprefix(r"\\/") + "]", instead)
+
+
 def short_path(path: Column, longest: int = 240) -> Column:
     """A path of at most ``longest`` characters; a longer one keeps its beginning and its suffix around an MD5 of the whole."""
     suffix = F.substring(extension(path), 1, 16)
@@ -111,6 +125,39 @@ def human_time(text: Column, formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "y
     return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in formats))
 
 
+def strict_human_time(text: Column) -> Column:
+    """As :func:`human_time` with seconds, minutes or days as the finest; a text that none fits ends the job."""
+    found = human_time(text, ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"))
+    return F.when(found.isNull() & text.isNotNull(), F.raise_error(F.concat(F.lit("not a time: "), text))).otherwise(found)
+
+
+def local_to_utc(text: Column) -> Column:
+    """The UTC time of a local one that ends in its offset, as in 2023-10-27 18:18:29-0400; null if it is none."""
+    parts = [F.regexp_extract(text, r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)([+-]\d\d):?(\d\d)$", i) for i in (1, 2, 3)]
+    return F.when(parts[0] != "", utc_moment(F.concat(parts[0], parts[1], F.lit(":"), parts[2]), "yyyy-MM-dd HH:mm:ssXXX"))
+
+
+def iso_utc(text: Column) -> Column:
+    """The UTC time, without a zone, of an ISO text: with Z or an offset, or without either, which is UTC; a date alone is its midnight.
+
+    Null for what is no such text.
+    """
+    whole = r"^(\d{4}-\d\d-\d\d)(?:[T ](\d\d:\d\d)(?::(\d\d))?(?:\.(\d{1,6})\d*)?)?(Z|[+-]\d\d:\d\d)?$"
+    day, minute, second, fraction, zone = (F.regexp_extract(text, whole, i) for i in range(1, 6))
+
+    def known(c: Column, other: str) -> Column:
+        return F.when(c == "", other).otherwise(c)
+
+    moment = F.concat(day, F.lit(" "), known(minute, "00:00"), F.lit(":"), known(second, "00"), F.lit("."), F.rpad(fraction, 6, "0"), known(zone, "Z"))
+    return F.when(day != "", utc_moment(moment, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"))
+
+
+def utc_moment(text: Column, pattern: str) -> Column:
+    """A text with an offset as the time in UTC, without a zone, whatever the session's."""
+    moment = F.try_to_timestamp(text, F.lit(pattern))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(moment), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def in_timezone(utc: Column, timezone: str) -> Column:
     return F.from_utc_timestamp(utc, timezone)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,10 @@ def transcribed(media: DataFrame, transcripts: DataFrame, transcriber: Callable[
     """``transcripts`` with those of all audio files, made by ``transcriber`` from a path; repeated runs replace their own rows."""
     from ..functions.scalars import is_audio
 
-    speak = F.udf(transcriber, "string")
+    @F.pandas_udf("string")
+    def speak(paths: pd.Series) -> pd.Series:
+        return paths.map(transcriber, na_action="ignore")
+
     audio = media.where(is_audio(F.col("media_type"), F.col("original_path")))
     made = audio.select("run_id", F.col("id").alias("media_id"), speak(F.coalesce("storage_path", "original_path")).alias("text"), F.lit(None).cast("string").alias("language"))
     return upserted(transcripts, made.withColumn("sha256", F.sha2("text", 256)), ["run_id", "media_id"])
@@ -86,6 +90,13 @@ def counts_by_type(results: DataFrame) -> DataFrame:
     return results.groupBy("result_type").agg(F.count("*").alias("n"))
 
 
+def report_summary(results: DataFrame, order: str = "result_id", sample: int = 5) -> DataFrame:
+    """(result_type, n, sample): counts of each type, and of all results the first few in order, under the types they have."""
+    first = results.orderBy(order).limit(sample).select("result_type", F.col(order).alias("first"))
+    kept = first.groupBy("result_type").agg(F.array_sort(F.collect_list("first")).alias("sample"))
+    return counts_by_type(results).join(kept, "result_type", "left")
+
+
 def differences(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """The rows, with ``difference`` extra or missing, by which a table is not exactly the expected one; repeated rows count."""
     columns = expected.columns

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 from enum import Enum
 
 LONGEST_LIMIT, LONGEST_OFFSET = 1_000, 100_000
@@ -91,5 +91,11 @@ class QueryPlan:
         if extra := set(raw) - set(cls.__dataclass_fields__):
             raise ValueError(f"unknown parts of a plan: {sorted(extra)}")
         predicates = tuple(Predicate(p["field"], p["op"], tuple(p["values"])) for p in raw.pop("predicates", ()))
-        times = {k: datetime.fromisoformat(raw.pop(k)) for k in ("start", "end") if raw.get(k)}
+        times = {k: iso_time(raw.pop(k)) for k in ("start", "end") if raw.get(k)}
         return cls(predicates=predicates, **{k: v for k, v in raw.items() if v is not None} | times)
+
+
+def iso_time(text: str) -> datetime:
+    """An ISO time in UTC, without a zone: one with Z or an offset is moved there. What is none raises."""
+    found = datetime.fromisoformat(text)
+    return found if found.tzinfo is None else found.astimezone(timezone.utc).replace(tzinfo=None)

@@ -99,11 +99,11 @@ def plan_in_match_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("message", sql="""
-SELECT 'message' AS source_table, id AS row_id FROM message WHERE run_id = '2' AND sender = '+15550000005' AND strpos(lower(content), 'steel') > 0
+SELECT 'message' AS source_table, id AS row_id FROM message WHERE run_id = '2' AND receiver = '+15560000005' AND strpos(lower(content), 'cold') > 0
 """)
 def plan_equals_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls and media can't hold a text predicate of a message, so they are left out."""
-    plan = QueryPlan((Target.messages, Target.calls, Target.media), (Predicate("participant", "equals", ("+15550000005",)), Predicate("text", "contains", ("steel",))))
+    plan = QueryPlan((Target.messages, Target.calls, Target.media), (Predicate("participant", "equals", ("+15560000005",)), Predicate("text", "contains", ("cold",))))
     return matches(plan, evidence(spark, sf_dir), "2").select("source_table", "row_id")
 
 
@@ -435,10 +435,15 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.deduplicated(both).select("type", "id", "source")
 
 
-@query(sql="SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE strpos(lower(url), 'chrome') > 0 OR strpos(lower(url), 'browser') > 0 OR strpos(lower(url), 'com.android.chrome') > 0 OR strpos(lower(url), 'a') > 0 AND strpos(lower(url), 'messages') > 0")
+#: Folders that files of apps lie in, and others.
+FOLDERS = ("data/com.android.chrome", "Browser", "com.whatsapp", "notes", "Chrome_old")
+
+
+@query(sql=f"WITH f AS (SELECT c_custkey AS id, list_extract([{', '.join(map(repr, FOLDERS))}], CAST(c_custkey % 5 AS INTEGER) + 1) || '/' || c_name AS path FROM customer) SELECT id FROM f WHERE strpos(lower(path), 'chrome') > 0 OR strpos(lower(path), 'browser') > 0 OR strpos(lower(path), 'com.android.chrome') > 0")
 def app_alias_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("filename"), F.lit("").alias("category"), F.col("url").alias("file_path"))
-    return pages.where(search.app_filter("chrome") | (search.holds(F.col("filename"), "a") & search.holds(F.col("filename"), "messages"))).select("id")
+    path = F.concat(F.get(F.array(*map(F.lit, FOLDERS)), F.pmod("c_custkey", F.lit(5)).cast("int")), F.lit("/"), F.col("c_name"))
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("filename"), F.lit("").alias("category"), path.alias("file_path"))
+    return files.where(search.app_filter("chrome")).select("id")
 
 
 @query("message", "call", sql="""

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import BinaryIO
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,15 +41,57 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("modified"), content.alias("content"))
 
 
+def resolved(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path as it knows it."""
+    return (pafs.LocalFileSystem(), local(path)) if path.startswith(("/", "file:")) else pafs.FileSystem.from_uri(re.sub("^s3a:", "s3:", path))
+
+
+class Remote(io.RawIOBase):
+    """A file of Arrow's with the manners of Python's own."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.size = file, file.size()
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        place = offset + (0, self.file.tell(), self.size)[whence]
+        if place < 0:
+            raise OSError("a place before the file")
+        self.file.seek(place)
+        return place
+
+    def readinto(self, buffer) -> int:
+        return self.file.readinto(buffer) if self.file.tell() < self.size else 0
+
+
 @contextmanager
 def opened(path: str, content: bytes | None = None) -> Iterator[BinaryIO]:
     """A file, open for reading at any place."""
     if content is not None:
         yield io.BytesIO(content)
-        return
-    filesystem, name = (pafs.LocalFileSystem(), local(path)) if path.startswith(("/", "file:")) else pafs.FileSystem.from_uri(re.sub("^s3a:", "s3:", path))
-    with filesystem.open_input_file(name) as f:
-        yield f
+    elif path.startswith(("/", "file:")):
+        with open(local(path), "rb") as f:
+            yield f
+    else:
+        filesystem, name = resolved(path)
+        with filesystem.open_input_file(name) as f:
+            yield io.BufferedReader(Remote(f), 1 << 18)
+
+
+def saved(path: str, data: bytes) -> None:
+    """Write a file from a task; one that is there is replaced, so a task that is tried again does no harm."""
+    filesystem, name = resolved(path)
+    filesystem.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with filesystem.open_output_stream(name) as f:
+        f.write(data)
 
 
 @contextmanager

@@ -60,9 +60,10 @@ def read_csv(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame
 def read_ufdr(spark: SparkSession, path: str, run_id: str, staging: str) -> dict[str, DataFrame]:
     """The report of an extraction archive, and as media the files that it maps.
 
-    The report is unpacked once to ``staging`` as text, which then is split like any other file.
+    Reports are unpacked once below ``staging``, each to a file of its own.
     """
-    report_lines(spark, path).select("line").write.mode("overwrite").text(staging)
+    lines = report_lines(spark, path).withColumn("report", F.sha1("source")).sortWithinPartitions("report", "line_no")
+    lines.select("report", "line").write.mode("overwrite").partitionBy("report").text(staging)
     files = extracted_files(spark, path)
     media = files.select(F.col("original_path").alias("path"), F.concat_ws("!", "source", "local_path").alias("storage_path")).distinct()
     return read_xml(spark, staging, run_id) | {"media": media_table(media, run_id)}

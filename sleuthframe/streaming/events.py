@@ -53,7 +53,7 @@ def written_accounts(spark: SparkSession, accounts: str) -> DataFrame:
     filesystem, path = hadoop_path(spark, accounts)
     if not filesystem.exists(path):
         return spark.createDataFrame([], ACCOUNTS)
-    return spark.read.schema(ACCOUNTS).parquet(accounts)
+    return spark.read.schema(ACCOUNTS).parquet(accounts).select("batch", "events", "without_time", "late", "latest")
 
 
 def totals(accounts: DataFrame) -> DataFrame:
