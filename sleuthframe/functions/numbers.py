@@ -43,22 +43,38 @@ def python_round(x: Column, digits: int = 0) -> Column:
     return F.when(plain, x).otherwise(F.when(x < 0, -near).otherwise(near))
 
 
-def python_text(x: Column) -> Column:
-    """``repr(x)`` of a double: the shortest digits that give the number back, with an exponent below 1e-4 and from 1e16 on.
+def shorter(text: Column, size: Column) -> Column:
+    """A number's text with one digit less behind the point if that still is the number, else as it is."""
+    mantissa, exponent = F.substring_index(text, "E", 1), F.regexp_extract(text, "E.*$", 0)
+    whole, part = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    kept = F.length(part) - 1
+    down = F.concat(whole, F.substring(part, F.lit(1), kept))
+    up = (down.cast("decimal(38,0)") + 1).cast("string")
+    up = F.lpad(up, F.greatest(F.length(up), F.length(down)), "0")
 
-    The digits are those that Java finds, which before release 19 are rarely one too many.
-    """
+    def written(digits: Column) -> Column:
+        return F.concat(F.substring(digits, F.lit(1), F.length(digits) - kept), F.lit("."), F.substring(digits, F.length(digits) - kept + 1, kept), exponent)
+
+    last = F.substring(part, -1, 1).cast("int")
+    near = F.regexp_replace(F.when(last >= 5, written(up)).otherwise(written(down)), r"(\.\d+?)0+(?=E|$)", "$1")
+    return F.when((kept > 0) & (near.try_cast("double") == size), near).otherwise(text)
+
+
+def python_text(x: Column) -> Column:
+    """``repr(x)`` of a double: the shortest digits that give the number back, with an exponent below 1e-4 and from 1e16 on."""
     x = x.cast("double")
-    size, text = F.abs(x), F.abs(x).cast("string")
+    size = F.abs(x)
+    special = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    # Java before release 19 finds a digit too many here and there
+    text = F.when(special.isNull(), shorter(size.cast("string"), size))
     digits = F.regexp_replace(text, r"\.0E|E", "e")
-    mantissa, exponent = F.substring_index(digits, "e", 1), F.substring_index(digits, "e", -1).cast("int")
+    mantissa, exponent = F.substring_index(digits, "e", 1), F.substring_index(digits, "e", -1).try_cast("int")
     signed = F.when(exponent < 0, "-").otherwise("+")
-    short = F.concat(mantissa, F.lit("e"), signed, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    short = F.when(F.abs(exponent) >= 100, F.concat(mantissa, F.lit("e"), signed, F.abs(exponent).cast("string"))).otherwise(short)
-    fraction = F.regexp_replace(size.cast("decimal(38,8)").cast("string"), "0+$", "")
-    large = F.when(fraction.endswith("."), F.concat(fraction, F.lit("0"))).otherwise(fraction)
-    small = F.regexp_replace(size.cast("decimal(38,30)").cast("string"), "0+$", "")
+    power = F.abs(exponent).cast("string")
+    short = F.concat(mantissa, F.lit("e"), signed, F.lpad(power, F.greatest(F.length(power), F.lit(2)), "0"))
+    large = F.regexp_replace(text.try_cast("decimal(38,12)").cast("string"), "0+$", "")
+    large = F.when(large.endswith("."), F.concat(large, F.lit("0"))).otherwise(large)
+    small = F.regexp_replace(text.try_cast("decimal(38,30)").cast("string"), "0+$", "")
     shown = F.when(~text.contains("E"), text).when((size >= 1e16) | (size < 1e-4), short).when(size >= 1e7, large).otherwise(small)
-    negative = (x < 0) | (x.cast("string").startswith("-"))
-    special = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    negative = x.cast("string").startswith("-")
     return F.coalesce(special, F.when(negative, F.concat(F.lit("-"), shown)).otherwise(shown))

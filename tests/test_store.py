@@ -279,15 +279,12 @@ def test_numbers_as_python_rounds_and_writes_them(spark):
     pick = random.Random(4)
     values = [0.0, -0.0, 2.25, 2.35, 2.675, -2.675, 2.5, 3.5, 0.125, 0.375, 1.005, 1e-5, 1.5e-7, 123456789.125, 1e16, 1e22, 1.7976931348623157e308, 9007199254740993.0, 0.0001, 0.00012, 12345678.9, 1e7, float("nan"), float("inf"), -float("inf"), 0.5, 1.5, 4503599627370497.5]
     values += [pick.uniform(-1000, 1000) for _ in range(500)] + [pick.randint(-10**6, 10**6) / 1000 for _ in range(500)] + [round(pick.uniform(0, 10), 3) + 0.0005 for _ in range(500)] + [pick.uniform(0, 1) * 10.0 ** pick.randint(-20, 20) for _ in range(300)]
-    df, same = spark.createDataFrame([(v,) for v in values], "v double"), []
+    df = spark.createDataFrame([(v,) for v in values], "v double")
     for row in df.select("v", *(numbers.python_round(F.col("v"), d).alias(f"r{d}") for d in (0, 1, 2, 3)), numbers.python_text(F.col("v")).alias("text")).collect():
         for d in (0, 1, 2, 3):
             if row.v == row.v:
                 assert row[f"r{d}"] == (round(row.v, d) if abs(row.v) * 10**d < 2**52 else row.v), (row.v, d)
-        assert row.v != row.v and row.text == "nan" or float(row.text) == row.v
-        same.append(row.text == repr(row.v))
-    # Java before 19 finds a digit too many here and there
-    assert sum(same) > 0.95 * len(same), sum(same) / len(same)
+        assert row.text == repr(row.v)
     assert spark.range(1).select(numbers.python_round(F.lit(None).cast("double"), 2)).first()[0] is None
 
 
