@@ -6,14 +6,16 @@ import dataclasses
 import hashlib
 import hmac
 import json
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import check_key, hmac_sha256
 from ..plans.compiler import rendered
 from ..plans.ir import QueryPlan
+from ..shared import written
 
 GENESIS = "0" * 64
 FIELDS = ("event_type", "payload", "prev_hash", "run_id", "seq", "timestamp", "user_id")
@@ -88,13 +90,29 @@ def row_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+#: Different rows whose hashes are hashed together, about, and hex digits by which a level has fewer parts than the one below.
+ROWS, DIGITS = 10_000, 2
+
+
 def content_hash(df: DataFrame, order: list[str]) -> str:
-    """SHA-256 over the hashes of all rows: each range of the order is hashed by itself, and the ranges' hashes in order by one more."""
-    hashes = df.select(*order, row_hash(*df.columns).alias("h"))
-    w = Window.partitionBy("part").orderBy(*order, "h")
-    parts = hashes.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(F.substring("h", 1, 2)).orderBy("h")) - 1) / 10_000)).withColumn("part", F.concat_ws("/", F.substring("h", 1, 2), F.lpad(F.col("part").cast("string"), 12, "0")))
-    rolled = parts.withColumn("i", F.row_number().over(w)).groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return hashlib.sha256("".join(r["h"] for r in rolled.orderBy("part").toLocalIterator()).encode()).hexdigest()
+    """SHA-256 of a table as a bag of rows, in whatever order they come; ``order`` names columns that tell rows apart.
+
+    Hashes of rows, each with how often it is there, are hashed by their first digits; these in turn by fewer, level by level, until
+    one is left, so neither a task nor the driver sees more than a part.
+    """
+    if missing := set(order) - set(df.columns):
+        raise ValueError(f"no columns {sorted(missing)}")
+    counted = written(df.select(row_hash(*df.columns).alias("h")).groupBy("h").agg(F.count("*").alias("n")), "hashes")
+    digits = math.ceil(math.log(max(1, counted.count() / ROWS), 16))
+    level = counted.select(F.substring("h", 1, digits).alias("k"), F.concat_ws(":", "h", "n").alias("h"))
+    while True:
+        level = level.groupBy("k").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
+        if not digits:
+            break
+        digits = max(0, digits - DIGITS)
+        level = level.select(F.substring("k", 1, digits).alias("k"), F.concat_ws(":", "k", "h").alias("h"))
+    found = level.select("h").first()
+    return found.h if found else hashlib.sha256(b"").hexdigest()
 
 
 def sign(content: str, secret: str, head_hash: str | None = None) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +42,13 @@ def printable_strings(files: DataFrame, least: int = 4) -> DataFrame:
 ABX = b"ABX\0"
 
 
-@F.udf(T.StringType())
-def binary_xml(content: bytes | None) -> str | None:
+@F.pandas_udf(T.StringType())
+def binary_xml(contents: pd.Series) -> pd.Series:
     """Android binary XML as XML text; null for other content."""
+    return contents.map(xml_text)
+
+
+def xml_text(content: bytes | None) -> str | None:
     if content is None or content[:4] != ABX:
         return None
     at, names, out, open_tag = 4, [], [], False

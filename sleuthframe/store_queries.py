@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .functions import numbers, scalars
-from .operators import graph, index, maintenance, network, search
+from .operators import custody, graph, index, maintenance, network, search
 from .queries import CASES, EDGES, HMAC, KEY, KEYED, NOW, PATHS, artifact, evidence, named_files, query, query_vector, table
 from .shared import new_path
 from .sinks import outputs
@@ -534,3 +534,57 @@ WITH f AS (SELECT o_orderstatus AS t, o_orderkey AS k FROM orders ORDER BY o_ord
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("result_id"), F.col("o_orderstatus").alias("result_type"))
     return maintenance.report_summary(results).withColumn("sample", F.array_join("sample", ","))
+
+
+# Custody.
+
+CHAINS = f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+chain AS (
+  SELECT user_id, event_id, event_type, seq, '{custody.GENESIS}' AS prev_hash FROM e WHERE seq = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.event_type, e.seq, sha256('{{"event_type":"' || c.event_type || '","payload":null,"prev_hash":"' || c.prev_hash || '","run_id":"' || c.user_id || '","seq":' || c.seq || ',"timestamp":"t","user_id":"u"}}')
+  FROM chain c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1
+)"""
+
+
+def chained_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of each user's events in which every entry covers the one before, folded over the events in order."""
+    events = table(spark, sf_dir, "events")
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = events.select(F.col("user_id").cast("string").alias("run_id"), F.row_number().over(order).cast("long").alias("seq"), "event_id", "event_type")
+    entry = F.struct("seq", "event_id", "event_type")
+
+    def text(e: Column, before: Column) -> Column:
+        return F.concat(F.lit('{"event_type":"'), e["event_type"], F.lit('","payload":null,"prev_hash":"'), before, F.lit('","run_id":"'), F.col("run_id"), F.lit('","seq":'), e["seq"].cast("string"), F.lit(',"timestamp":"t","user_id":"u"}'))
+
+    def link(done: Column, e: Column) -> Column:
+        before = F.coalesce(F.try_element_at(done, F.lit(-1))["entry_hash"], F.lit(custody.GENESIS))
+        return F.concat(done, F.array(F.struct(e["seq"].alias("seq"), e["event_id"].alias("event_id"), e["event_type"].alias("event_type"), before.alias("prev_hash"), F.sha2(text(e, before), 256).alias("entry_hash"))))
+
+    start = F.array().cast("array<struct<seq:bigint,event_id:bigint,event_type:string,prev_hash:string,entry_hash:string>>")
+    chains = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(entry)).alias("entries")).select("run_id", F.explode(F.aggregate("entries", start, link)).alias("x"))
+    return chains.select("run_id", "x.*", F.lit(None).cast("string").alias("payload"), F.lit("t").alias("timestamp"), F.lit("u").alias("user_id"))
+
+
+@query(sql=CHAINS + """
+SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS length, min(seq) FILTER (event_id % 89 = 0) AS broken_at_seq, CASE WHEN min(seq) FILTER (event_id % 89 = 0) IS NOT NULL THEN 'entry_hash mismatch' END AS detail, max_by(prev_hash, seq) AS last_prev_hash FROM chain GROUP BY user_id
+""")
+def audit_entries_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of real entries, some of them changed afterwards: the hash of such an entry is not that of its text any more."""
+    log = chained_log(spark, sf_dir)
+    changed = log.withColumn("user_id", F.when(F.col("event_id") % 89 == 0, "mallory").otherwise(F.col("user_id")))
+    last = log.groupBy("run_id").agg(F.max_by("prev_hash", "seq").alias("last_prev_hash"))
+    return custody.verify_chain(changed, ["run_id"]).join(last, "run_id").select("run_id", "length", "broken_at_seq", "detail", "last_prev_hash")
+
+
+@query(sql=f"""
+WITH h AS (SELECT sha256('{{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}') AS h FROM orders), c AS (SELECT h, count(*) AS n FROM h GROUP BY h), d AS (SELECT CAST(ceil(ln(greatest(1.0, count(*) / {custody.ROWS}.0)) / ln(16)) AS INTEGER) AS digits FROM c),
+one AS (SELECT substr(h, 1, digits) AS k, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS h FROM c, d GROUP BY 1), whole AS (SELECT CASE WHEN digits = 0 THEN max(h) ELSE sha256(string_agg(k || ':' || h, chr(10) ORDER BY k || ':' || h)) END AS content_hash FROM one, d GROUP BY digits)
+SELECT content_hash, {HMAC % "content_hash || ':head'"} AS signature FROM whole
+""")
+def signed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of a table, made in levels, and its signature with the head of a log."""
+    content = custody.content_hash(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    row = spark.range(1).select(F.lit(content).alias("content_hash"))
+    return row.select("content_hash", custody.signature(F.col("content_hash"), KEY, F.lit("head")).alias("signature"))

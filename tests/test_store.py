@@ -1,5 +1,6 @@
 """Stores, files on shared file systems, graph algorithms, numbers and accounts of streams."""
 
+import hashlib
 import io
 import json
 import random
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sleuthframe import store as stores
 from sleuthframe.functions import numbers, scalars
-from sleuthframe.operators import graph, index, maintenance, network, search
+from sleuthframe.operators import custody, graph, index, maintenance, network, search
 from sleuthframe.sources import archives, sqlite
 from sleuthframe.store import CaseStore, ContentStore, digest_of
 from sleuthframe.streaming import events as streaming
@@ -208,6 +209,17 @@ def test_contents_are_kept_once(spark, tmp_path):
     assert store.collect_garbage() == 2 and store.objects().count() == 1 and store.media().first().size == 4
 
 
+def test_hash_of_a_table_of_any_size(spark, monkeypatch):
+    rows = [(i, f"v{i % 7}") for i in range(300)] + [(5, "same")] * 500
+    tables = [spark.createDataFrame(r, "id long, v string") for r in (rows, rows[::-1], rows[:-1], [*rows[1:], (0, "other")], [])]
+    for least in (10_000, 20, 1):
+        monkeypatch.setattr(custody, "ROWS", least)
+        found = [custody.content_hash(t.repartition(3), ["id"]) for t in tables]
+        assert found[0] == found[1] and len(set(found)) == 4 and found[4] == hashlib.sha256(b"").hexdigest()
+    with pytest.raises(ValueError, match="columns"):
+        custody.content_hash(tables[0], ["other"])
+
+
 # Graphs.
 
 
