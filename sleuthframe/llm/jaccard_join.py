@@ -387,15 +387,15 @@ def forest(pairs: np.ndarray, distance: np.ndarray, ends: dict[int, int]) -> np.
 
 
 def across(members: DataFrame, sizes: DataFrame, similarity: tuple[int, int], sparse: bool = False) -> DataFrame:
-    """(a, b, pivot, more): pairs of ``members`` (pivot, d, component, size) that share a pivot, are of different components and may link by ``sizes`` (d, n, sketch, wide).
+    """(a, b, pivot, d): pairs (a, b) of ``members`` (pivot, d, component, size) that share a pivot, are of different components and may link by ``sizes`` (d, n, sketch, wide).
 
-    ``sparse``: of each pair of blocks only a forest of the nearest pairs, fewer than the members, that joins what all would; more:
-    whether pairs of these blocks were left out.
+    ``sparse``: of each pair of blocks only a forest of the nearest pairs, fewer than the members, that joins what all would. Where
+    that leaves pairs out, the members that pairs were found for are rows (pivot, d) without a and b.
     """
     part, whole = similarity
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        every, of, rest = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        every, rest = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for (pivot, i, j), rows in pdf.groupby(["pivot", "i", "j"]):
             out, far = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
             own, d, component, n, wide = (rows[c].to_numpy() for c in ("own", "d", "component", "n", "wide"))
@@ -417,12 +417,15 @@ def across(members: DataFrame, sizes: DataFrame, similarity: tuple[int, int], sp
                 out.append(np.stack([np.maximum(d[good], d[k]), np.minimum(d[good], d[k])], axis=1))
             found = np.concatenate(out)
             every.append(forest(found, np.concatenate(far), dict(zip(d.tolist(), component.tolist()))) if sparse else found)
-            of.append(np.full(len(every[-1]), pivot, np.int64))
-            rest.append(np.full(len(every[-1]), len(found) > len(every[-1])))
-        pairs = np.concatenate(every)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "pivot": np.concatenate(of), "more": np.concatenate(rest)})
+            if len(found) > len(every[-1]):
+                open_ = np.unique(found)
+                rest.append(np.stack([np.full(len(open_), pivot), open_], axis=1))
+        pairs, nodes = np.concatenate(every), np.concatenate(rest)
+        rows = np.ma.masked_all((len(pairs) + len(nodes), 4), np.int64)
+        rows[: len(pairs), :2], rows[len(pairs) :, 2:] = pairs, nodes
+        return pd.DataFrame({c: pd.arrays.IntegerArray(rows.data[:, k].copy(), rows.mask[:, k].copy()) for k, c in enumerate(("a", "b", "pivot", "d"))})
 
-    return dealt(members).join(sizes, "d").groupBy("g").applyInPandas(compare, "a long, b long, pivot long, more boolean")
+    return dealt(members).join(sizes, "d").groupBy("g").applyInPandas(compare, "a long, b long, pivot long, d long")
 
 
 def frequencies(texts: DataFrame, words: int) -> np.ndarray:
@@ -525,18 +528,18 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
         texts = materialize(usable.join(large.select("d").distinct(), "d").dropDuplicates(["d"]), "open-texts")
         direct = direct.unionByName(open_groups(of_component(rarest(texts, words, similarity))))
         direct = materialize(direct, "members")
-    # first the nearest pairs that join all that may be one, then whatever is still apart in the groups that had others
+    # first the nearest pairs that join all that may be one, then what is still apart of the members that had others
     for sparse in (True, False):
-        met_pairs = materialize(across(direct, sizes, similarity, sparse), "pairs")
-        if met_pairs.isEmpty():
+        found = materialize(across(direct, sizes, similarity, sparse), "pairs")
+        if found.isEmpty():
             break
-        links = materialize(links.unionByName(linked(usable, met_pairs.select("a", "b").distinct(), words, similarity)), "links")
+        links = materialize(links.unionByName(linked(usable, found.where("a is not null").select("a", "b").distinct(), words, similarity)), "links")
         components = materialize(connected_components(links.toDF("src", "dst")), "components")
         if sparse:
-            unsettled = met_pairs.where("more").select("pivot").distinct()
-            if unsettled.isEmpty():
+            left = found.where("d is not null").select("pivot", "d")
+            if left.isEmpty():
                 break
-            direct = materialize(open_groups(of_component(direct.select("pivot", "d").join(unsettled, "pivot", "left_semi"))), "members")
+            direct = materialize(open_groups(of_component(left)), "members")
     found = sets.select("doc", "d", "n").join(copies, "d", "left").withColumn("rep", F.coalesce("rep", "d")).join(components.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("doc", "n", F.coalesce("component", "rep").alias("component"))
     if twins is not None:  # the least number may be one that was made
