@@ -43,18 +43,14 @@ def hops(pairs: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """
     if max_hops < 0:
         raise ValueError("max_hops must not be negative")
-    spark = pairs.sparkSession
     both = pairs.select(F.col("lo").alias("node"), F.col("hi").alias("next")).unionByName(pairs.select(F.col("hi").alias("node"), F.col("lo").alias("next")))
     reached = seeds.select("node").distinct().withColumn("hops", F.lit(0))
     frontier = reached
-    cut = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for hop in range(1, max_hops + 1):
         found = both.join(frontier.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct()
-        frontier = found.join(reached, "node", "left_anti").withColumn("hops", F.lit(hop))
-        if cut:
-            frontier = frontier.checkpoint()
-            if frontier.isEmpty():
-                break
+        frontier = written(found.join(reached, "node", "left_anti").withColumn("hops", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 
