@@ -6,6 +6,7 @@ import json
 import random
 import sqlite3
 import tarfile
+import uuid
 import zipfile
 from datetime import datetime, timedelta
 
@@ -27,8 +28,9 @@ FILES = '<file path="/sd/x.jpg">\n<item name="Local Path"><![CDATA[files\\x.jpg]
 @pytest.fixture
 def beyond(spark, tmp_path):
     """The test's folder on a file system that only Spark's readers know."""
-    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}")
-    return "viewfs://far/in"
+    name = f"far{uuid.uuid4().hex}"  # file systems are cached by name
+    spark._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{name}.link./in", f"file://{tmp_path}")
+    return f"viewfs://{name}/in"
 
 
 def ufdr(path):
