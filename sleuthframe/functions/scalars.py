@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numbers import python_round
+
 #: Seconds from 1601-01-01 and from 2001-01-01 to 1970-01-01, as WebKit and Cocoa count.
 WEBKIT_EPOCH, COCOA_EPOCH = -11_644_473_600, 978_307_200
 
@@ -58,7 +60,8 @@ def human_size(size: Column) -> Column:
     units = ("B", "KB", "MB", "GB", "TB")
     found = F.when(size == 0, "0 B")
     for i, unit in enumerate(units):
-        text = F.format_string(f"%.1f {unit}", size.cast("double") / float(1024**i))
+        # rounded first, half to even: Java's format rounds half up
+        text = F.format_string(f"%.1f {unit}", python_round(size.cast("double") / float(1024**i), 1))
         found = found.otherwise(text) if i == len(units) - 1 else found.when(size < 1024 ** (i + 1), text)
     return found
 
