@@ -86,12 +86,13 @@ def opened(path: str, content: bytes | None = None) -> Iterator[BinaryIO]:
             yield io.BufferedReader(Remote(f), 1 << 18)
 
 
-def saved(path: str, data: bytes) -> None:
-    """Write a file from a task; one that is there is replaced, so a task that is tried again does no harm."""
+@contextmanager
+def created(path: str) -> Iterator[BinaryIO]:
+    """A file to be written by a task from beginning to end; one that is there is replaced, so a task that is tried again does no harm."""
     filesystem, name = resolved(path)
     filesystem.create_dir(name.rsplit("/", 1)[0], recursive=True)
     with filesystem.open_output_stream(name) as f:
-        f.write(data)
+        yield f
 
 
 @contextmanager

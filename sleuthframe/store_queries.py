@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import itertools
 import sqlite3
 import tarfile
+import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,19 +22,24 @@ from .queries import CASES, EDGES, HMAC, KEY, KEYED, NOW, PATHS, artifact, evide
 from .shared import new_path
 from .sinks import outputs
 from .sources import archives, sqlite
-from .sources.files import saved
+from .sources.files import created
 from .store import CaseStore, ContentStore
 
 
-def files_from(rows: DataFrame, folder: str, suffix: str, made: Callable[[list[dict]], bytes]) -> str:
-    """A file ``folder/{file}{suffix}`` for each value of ``file`` in ``rows``, made by a task from its rows in order of ``place``."""
+def files_from(rows: DataFrame, folder: str, suffix: str, made: Callable[[BinaryIO, Iterator[dict]], None]) -> str:
+    """A file ``folder/{file}{suffix}`` for each value of ``file`` in ``rows``, made by a task from its rows in order of ``place``.
 
-    def run(own: pa.Table) -> pa.Table:
-        name = own["file"][0].as_py()
-        saved(f"{folder}/{name}{suffix}", made(own.sort_by("place").to_pylist()))
-        return pa.table({"file": pa.array([str(name)])})
+    Rows come sorted by Spark and pass through the task in batches, so that a file may be larger than a task's memory.
+    """
 
-    rows.groupBy("file").applyInArrow(run, "file string").count()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for batch in batches for k in range(0, batch.num_rows, 500) for r in batch.slice(k, 500).to_pylist())
+        for name, own in itertools.groupby(each, lambda r: r["file"]):
+            with created(f"{folder}/{name}{suffix}") as f:
+                made(f, own)
+            yield pa.RecordBatch.from_arrays([pa.array([str(name)])], ["file"])
+
+    rows.repartition("file").sortWithinPartitions("file", "place").mapInArrow(run, "file string").count()
     return folder
 
 
@@ -55,7 +63,13 @@ def ingested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.unionByName(table(spark, sf_dir, "events").select(element("call", caller=own("user_id"), receiver=F.col("event_type"), timestamp=F.date_format("ts", stamp), duration=F.floor("value").cast("string")).alias("line")))
     lines = lines.unionByName(table(spark, sf_dir, "customer").select(element("contact", name=F.col("c_name"), number=own("c_custkey")).alias("line")))
     by_file = lines.select(F.pmod(F.xxhash64("line"), F.lit(16)).alias("file"), F.col("line").alias("place"))
-    files_from(by_file, f"{root}/report.xml", ".xml", lambda rows: ("<report>\n" + "\n".join(r["place"] for r in rows) + "\n</report>\n").encode())
+
+    def made(f: BinaryIO, rows: Iterator[dict]) -> None:
+        f.write(b"<report>\n")
+        f.writelines(f"{r['place']}\n".encode() for r in rows)
+        f.write(b"</report>\n")
+
+    files_from(by_file, f"{root}/report.xml", ".xml", made)
     store = CaseStore(spark, f"{root}/cases")
     if not store.ingest(f"{root}/report.xml", "case 007", "u1", NOW) or store.ingest(f"{root}/report.xml", "case 007", "u1", NOW):
         raise AssertionError("the first ingest adds the case and the second changes nothing")
@@ -76,14 +90,15 @@ def ingested_ufdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction archives, one a nation, with a report of its customers and a mapped file for each, ingested as one case."""
     root = new_path(spark, "store")
 
-    def made(rows: list[dict]) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            lines = [f'<contact><name>{r["name"]}</name><number>{r["number"]}</number></contact>\n<file path="/sdcard/{r["place"]}.jpg">\n<item name="Local Path"><![CDATA[files\\{r["place"]}.jpg]]></item>\n</file>' for r in rows]
-            z.writestr("report.xml", "<report>\n" + "\n".join(lines) + "\n</report>\n")
+    def made(f: BinaryIO, rows: Iterator[dict]) -> None:
+        with tempfile.NamedTemporaryFile() as report, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            report.write(b"<report>\n")
             for r in rows:
+                report.write(f'<contact><name>{r["name"]}</name><number>{r["number"]}</number></contact>\n<file path="/sdcard/{r["place"]}.jpg">\n<item name="Local Path"><![CDATA[files\\{r["place"]}.jpg]]></item>\n</file>\n'.encode())
                 z.writestr(f"files/{r['place']}.jpg", r["name"])
-        return out.getvalue()
+            report.write(b"</report>\n")
+            report.flush()
+            z.write(report.name, "report.xml")
 
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("place"), F.col("c_name").alias("name"), F.concat(F.lit("+1555"), "c_custkey").alias("number"))
     files_from(rows, f"{root}/files", ".ufdr", made)
@@ -134,12 +149,10 @@ def members(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 @query(sql=MEMBERS)
 def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def made(rows: list[dict]) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
+    def made(f: BinaryIO, rows: Iterator[dict]) -> None:
+        with zipfile.ZipFile(f, "w") as z:
             for i, r in enumerate(rows):
                 z.writestr(r["name"], r["content"], (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2)[i % 3])
-        return out.getvalue()
 
     return members(spark, files_from(documents_by_file(spark, sf_dir), new_path(spark, "zips"), ".zip", made))
 
@@ -148,14 +161,13 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of 64 kB: members and their headers lie across many tasks."""
 
-    def made(rows: list[dict]) -> bytes:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as t:
+    def made(f: BinaryIO, rows: Iterator[dict]) -> None:
+        with tarfile.open(fileobj=f, mode="w|") as t:
             for r in rows:
                 info = tarfile.TarInfo(r["name"])
                 info.size = len(r["content"])
                 t.addfile(info, io.BytesIO(r["content"]))
-        return out.getvalue()
+                t.members.clear()  # the library keeps all headers else
 
     return members(spark, files_from(documents_by_file(spark, sf_dir), new_path(spark, "tars"), ".tar", made), range_bytes=1 << 16)
 
@@ -164,12 +176,16 @@ def tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sqlite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A SQLite file for each nation, read by ranges of rowids."""
 
-    def made(rows: list[dict]) -> bytes:
-        db = sqlite3.connect(":memory:")
-        db.execute("CREATE TABLE people (id INTEGER PRIMARY KEY, name TEXT)")
-        db.executemany("INSERT INTO people VALUES (?, ?)", [(r["place"], r["name"]) for r in rows])
-        db.commit()
-        return db.serialize()
+    def made(f: BinaryIO, rows: Iterator[dict]) -> None:
+        with tempfile.NamedTemporaryFile() as own:
+            db = sqlite3.connect(own.name)
+            db.execute("CREATE TABLE people (id INTEGER PRIMARY KEY, name TEXT)")
+            db.executemany("INSERT INTO people VALUES (?, ?)", ((r["place"], r["name"]) for r in rows))
+            db.commit()
+            db.close()
+            with open(own.name, "rb") as made_:
+                while piece := made_.read(1 << 22):
+                    f.write(piece)
 
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("place"), F.col("c_name").alias("name"))
     found = sqlite.read_sqlite(spark, files_from(rows, new_path(spark, "databases"), ".db", made), "people", rowsPerPartition="500")
