@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .files import at_hand, files_of
 
-#: Rows of a batch that a task hands on; tasks at most.
-BATCH, TASKS = 10_000, 20_000
+#: Rows of a batch that a task hands on; tasks at most; tasks for each core, where a file's ranges are more than that.
+BATCH, TASKS, WAVES = 10_000, 20_000, 8
 RANGE = "path string, content binary, low long, high long"
 
 
@@ -127,7 +127,8 @@ def read_sqlite(spark: SparkSession, path: str, table: str, rowsPerPartition: st
     names = [c for low, c in found.items() if low not in ("rowid", "source_path")]
     parts = spread(files_of(spark, path).select("path", "content")).mapInArrow(ranges(table, int(rowsPerPartition)), RANGE)
     schema = ", ".join(["rowid long", "source_path string", *(f"{'`' + c.replace('`', '``') + '`'} string" for c in names)])
-    n = max(1, min(parts.select("path").count(), TASKS))
+    # a task takes several ranges, one after another, where there are many: starting it costs more than reading one
+    n = max(1, min(parts.select("path").count(), WAVES * spark.sparkContext.defaultParallelism, TASKS))
     return parts.repartition(n).mapInArrow(selected(table, names, mode.upper() == "FAILFAST"), schema)
 
 
