@@ -78,11 +78,25 @@ FROM {{chat_history}} h LEFT JOIN rooms r ON r.id = h.chat_id LEFT JOIN {{contac
 register(Artifact("conversation_messages", "messages", ("*/viber_messages",), {"messages": ("_id", "conversation_id", "participant_id", "msg_date", "body", "send_type"), "participants": ("_id", "conversation_id", "participant_info_id"), "participants_info": ("_id", "number", "contact_name")}, f"""
 WITH everyone AS (
   SELECT p._id, p.conversation_id, i.number, COALESCE(i.contact_name, i.number) AS name FROM {{participants}} p JOIN {{participants_info}} i ON i._id = p.participant_info_id
-), recipients AS (
-  SELECT a._id AS sender_id, LISTAGG(b.name, ', ') WITHIN GROUP (ORDER BY b.name) AS names FROM everyone a JOIN everyone b ON a.conversation_id = b.conversation_id AND a._id <> b._id GROUP BY a._id
+), own AS (
+  SELECT *, COUNT(*) OVER (PARTITION BY _id) AS times FROM everyone WHERE _id IS NOT NULL
+), placed AS (
+  SELECT *, CASE WHEN name IS NOT NULL THEN OCTET_LENGTH(name) + 2 ELSE 0 END AS size,
+    COALESCE(SUM(CASE WHEN name IS NOT NULL THEN OCTET_LENGTH(name) + 2 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY name, _id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM own WHERE conversation_id IS NOT NULL
+), listed AS (
+  SELECT conversation_id, ENCODE(CONCAT(ARRAY_JOIN(TRANSFORM(ARRAY_SORT(COLLECT_LIST(IF(name IS NOT NULL, STRUCT(name, _id), NULL))), x -> x.name), ', '), ', '), 'UTF-8') AS names FROM placed GROUP BY conversation_id
+), several AS (
+  SELECT a._id AS sender_id, LISTAGG(b.name, ', ') WITHIN GROUP (ORDER BY b.name) AS names FROM own a JOIN own b ON a.conversation_id = b.conversation_id AND a._id <> b._id WHERE a.times > 1 GROUP BY a._id
+), addressed AS (
+  SELECT m.*, s.name AS sender, p.conversation_id AS own_conversation, p.start, p.size, v.names AS several_names
+  FROM {{messages}} m LEFT JOIN everyone s ON s._id = m.participant_id LEFT JOIN placed p ON p._id = m.participant_id AND p.times = 1 LEFT JOIN several v ON v.sender_id = m.participant_id
+), cut AS (
+  SELECT a.*, CAST(CONCAT(SUBSTRING(l.names, 1, CAST(a.start AS INT)), SUBSTRING(l.names, CAST(a.start + a.size + 1 AS INT))) AS STRING) AS others
+  FROM addressed a LEFT JOIN listed l ON l.conversation_id = a.own_conversation
 )
-SELECT {MS.format("m.msg_date")} AS timestamp, m.conversation_id, s.name AS sender, r.names AS recipients, IF(m.send_type = '0', 'Incoming', 'Outgoing') AS direction, m.body
-FROM {{messages}} m LEFT JOIN everyone s ON s._id = m.participant_id LEFT JOIN recipients r ON r.sender_id = m.participant_id"""))
+SELECT {MS.format("m.msg_date")} AS timestamp, m.conversation_id, m.sender, COALESCE(m.several_names, IF(OCTET_LENGTH(m.others) > 2, LEFT(m.others, LENGTH(m.others) - 2), NULL)) AS recipients, IF(m.send_type = '0', 'Incoming', 'Outgoing') AS direction, m.body
+FROM cut m"""))
 
 register(Artifact("payments", "finance", ("*/cash_money.db",), {"payment": ("sender_id", "recipient_id", "render_data", "display_date", "state"), "customer": ("customer_id", "customer_display_name", "cashtag")}, f"""
 SELECT {MS.format("p.display_date")} AS timestamp, s.customer_display_name AS sender, s.cashtag AS sender_tag, r.customer_display_name AS recipient, r.cashtag AS recipient_tag,
