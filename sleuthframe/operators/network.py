@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import Written, written
 
+#: Nodes that a task holds at once.
+PAIRS = 500_000
+
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """(node, next) in both directions, loops and nulls left out, each once."""
@@ -41,14 +47,44 @@ def shortest_path(pairs: DataFrame, source: str, target: str, max_hops: int = 6)
     return found.select(F.posexplode("way").alias("step", "node"))
 
 
+def contracted(pairs: DataFrame) -> DataFrame:
+    """(node, next): stars that hold together what the pairs of a task do, up to ``PAIRS`` at once; ``next`` is the least of its star."""
+    kind = pairs.schema["lo"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def stars() -> Iterator[pa.RecordBatch]:
+            nodes = [(x, r) for x in up if (r := root(x)) != x]
+            up.clear()
+            for k in range(0, len(nodes), 100_000):
+                yield pa.RecordBatch.from_pylist([{"node": x, "next": r} for x, r in nodes[k : k + 100_000]])
+
+        for batch in batches:
+            for a, b in zip(batch["lo"].to_pylist(), batch["hi"].to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+            if len(up) > PAIRS:
+                yield from stars()
+        yield from stars()
+
+    return pairs.select("lo", "hi").where("lo is not null and hi is not null and lo <> hi").mapInArrow(run, f"node {kind.simpleString()}, next {kind.simpleString()}")
+
+
 def components(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node that can be reached, for all nodes of the pairs and of ``nodes`` (node).
 
-    Rounds of two steps: every node tells its greater neighbours, then its smaller ones, of the least it knows. Pairs shrink to
+    Every task first brings its own pairs down to stars. Then rounds of two steps: every node tells its greater neighbours, then its smaller ones, of the least it knows. Pairs shrink to
     stars, in a number of rounds that grows with the logarithm of the graph; a node with many neighbours gets one minimum, computed
     where its edges lie, and never a list of them.
     """
-    known = Written(both_ways(pairs).where("node > next").select("node", "next"), "stars")
+    known = Written(contracted(pairs), "stars")
     while True:
         before = known.table.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("node", "next")), F.lit(0))).first()
         ways = known.table.unionByName(known.table.select(F.col("next").alias("node"), F.col("node").alias("next")))
