@@ -15,6 +15,7 @@ are joined.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -76,11 +77,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Filter:
-    """A Bloom filter in segments, or one of ``shards`` that it is split into; an n-gram's bits all lie in the segment of its hash."""
+    """A Bloom filter in segments, or some in a row of one of ``shards`` that it is split into; an n-gram's bits all lie in the segment of its hash."""
 
-    def __init__(self, bits: np.ndarray, least: dict[int, int], shards: int = 1):
-        self.bits, self.least, self.shards = bits, least, shards  # least: the first level held, by order
-        self.size = len(bits) * 8 // SEGMENTS
+    def __init__(self, bits: np.ndarray, least: dict[int, int], shards: int = 1, segments: int = SEGMENTS):
+        self.bits, self.least, self.shards, self.segments = bits, least, shards, segments  # least: the first level held, by order
+        self.size = len(bits) * 8 // segments
 
     @staticmethod
     def segment(h: np.ndarray, shards: int = 1) -> np.ndarray:
@@ -99,15 +100,16 @@ class Filter:
     def level(self, h: np.ndarray, order: int) -> np.ndarray:
         """Levels read by probing; h is of n-grams of one order. A number is given up at its first missing bit."""
         found, alive, number = np.zeros(len(h), np.int64), np.arange(len(h)), self.least[order]
-        base, mask = self.segment(h, self.shards) % SEGMENTS * self.size, U(self.size - 1)
+        base, mask = self.segment(h, self.shards) % self.segments * self.size, U(self.size - 1)
         while len(alive):
             a = mix(h[alive] + U(number * STEP & MASK))
             b = (a >> U(32)) | U(1)
             for _ in range(PROBES):
                 at = base[alive] + (a & mask).astype(np.int64)
                 held = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                alive, b = alive[held], b[held]
-                a = a[held] + b
+                if len(held) < len(alive):
+                    alive, b, a = alive[held], b[held], a[held]
+                a = a + b
             found[alive] = number
             number += 1
         return found
@@ -148,14 +150,16 @@ class Asked:
 
 
 class Answers:
-    """Levels of the n-grams of a piece, as they were read elsewhere."""
+    """Levels read elsewhere of the n-grams that some texts ask for, in order of their hashes."""
 
-    def __init__(self, h: np.ndarray, levels: np.ndarray):
-        order = np.argsort(h)
-        self.h, self.levels = h[order], levels[order]
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
 
     def level(self, h: np.ndarray) -> np.ndarray:
-        return self.levels[np.searchsorted(self.h, h)]
+        unique, back = np.unique(h, return_inverse=True)
+        if len(unique) != len(self.levels):
+            raise ValueError(f"{len(self.levels)} answers to {len(unique)} n-grams")
+        return self.levels[back]
 
 
 def is_training(doc_id: Column) -> Column:
@@ -434,8 +438,8 @@ def scored_here(batches: Iterator[pa.RecordBatch], model: Model, piece: int) ->
             row += end - begin
 
 
-def scored_by_shard(rows: DataFrame, table: DataFrame, shards: int, model: Model, schema: str) -> DataFrame:
-    """Scores from a filter that stays a table (s, bits, k)."""
+def scored_by_shard(rows: DataFrame, table: DataFrame, shards: int, model: Model, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Scores from a filter that stays a table (s, bits, k), and the pieces, to be discarded once scores are written."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,48 +452,56 @@ def scored_by_shard(rows: DataFrame, table: DataFrame, shards: int, model: Model
                 row, piece = row + n, piece + 1
 
     dealt = materialize(rows.mapInArrow(deal, f"piece long, row long, doc_id {kind}, text string"), "pieces")
+    # a shard in parts of whole segments, so that a task's n-grams are bounded and no segment is sent twice
+    size = dealt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = min(SEGMENTS, 1 << max(0, math.ceil(math.log2(max(1, size / 4 / shards / PROBED)))))
+    width, chunks = SEGMENTS // parts, shards * parts
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The n-grams of each piece by shard. A piece that lies in two batches asks twice."""
+        """The n-grams of the texts of a piece that lie in one batch, by chunk; row, n: the first of these texts, and how many."""
         for batch in batches:
-            pieces, texts = np.array(batch.column("piece").to_pylist(), np.int64), batch.column("text").to_pylist()
+            pieces, row, texts = np.array(batch.column("piece").to_pylist(), np.int64), batch.column("row").to_pylist(), batch.column("text").to_pylist()
             for piece in np.unique(pieces).tolist():
-                asked = Asked()
-                model.scorer(asked).score([texts[i] for i in np.flatnonzero(pieces == piece)])
+                asked, own = Asked(), np.flatnonzero(pieces == piece)
+                model.scorer(asked).score([texts[i] for i in own])
                 h = np.unique(np.concatenate(asked.h))
-                ends = np.append(np.searchsorted(Filter.segment(h, shards) // SEGMENTS, np.arange(shards)), len(h))
+                ends = np.append(np.searchsorted(Filter.segment(h, shards) // width, np.arange(chunks)), len(h))
                 full = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([piece] * len(full), pa.int64()), pa.array([h[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], names=["shard", "piece", "h"])
+                kinds = [([piece] * len(full), pa.int64()), ([row[own[0]]] * len(full), pa.int64()), ([len(own)] * len(full), pa.int32()), (full, pa.int32()), ([h[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in kinds], names=["piece", "row", "n", "chunk", "h"])
 
-    asked = materialize(dealt.select("piece", "text").mapInArrow(ask, "shard int, piece long, h binary"), "asked")
-    # a shard's n-grams in shares of bounded size, each with the shard's segments
-    most = asked.groupBy("shard").agg(F.sum(F.octet_length("h")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] / 8
-    shares = max(1, math.ceil(most / PROBED))
-    probes = asked.withColumn("share", F.pmod(F.xxhash64("piece"), F.lit(shares)).cast("int"))
-    segments = table.select(F.floor(F.col("s") / SEGMENTS).cast("int").alias("shard"), "s", "bits", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    asked = dealt.select("piece", "row", "text").mapInArrow(ask, "piece long, row long, n int, chunk int, h binary")
+    segments = table.select(F.floor(F.col("s") / width).cast("int").alias("chunk"), "s", "bits")
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"piece": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "levels": pa.array([], pa.binary())})
         found = sorted(zip(right["s"].to_pylist(), right["bits"].to_pylist()))
         size = len(found[0][1]) if found else 8
-        bits = np.zeros((SEGMENTS, size), np.uint8)
+        bits = np.zeros((width, size), np.uint8)
         for s, b in found:
-            bits[s % SEGMENTS] = np.frombuffer(b, np.uint8)
-        part = Filter(bits.reshape(-1), {1: 1}, shards)
+            bits[s % width] = np.frombuffer(b, np.uint8)
+        part = Filter(bits.reshape(-1), {1: 1}, shards, width)
         levels = [part.level(np.frombuffer(h, U), 1).astype(np.uint8).tobytes() for h in left["h"].to_pylist()]
-        return pa.table({"piece": left["piece"], "h": left["h"], "levels": pa.array(levels, pa.binary())})
+        return left.drop_columns(["h"]).append_column("levels", pa.array(levels, pa.binary()))
 
-    keys = ["shard", "share"]
-    answers = materialize(probes.groupBy(*keys).cogroup(segments.groupBy(*keys)).applyInArrow(probe, "piece long, h binary, levels binary"), "answers")
+    # one byte a number goes back: a piece asks again in the same order
+    answers = asked.groupBy("chunk").cogroup(segments.groupBy("chunk")).applyInArrow(probe, "piece long, row long, n int, chunk int, levels binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, levels = (np.concatenate([np.frombuffer(x, k) for x in right[c].to_pylist()] or [np.zeros(0, k)]) for c, k in (("h", U), ("levels", np.uint8)))
-        left = left.sort_by("row").combine_chunks()
-        column = lambda c: left[c].chunk(0)
-        return pa.Table.from_batches([scored_batch(model.scorer(Answers(h, levels.astype(np.int64))), column("row"), column("doc_id"), left["text"].to_pylist())])
-
-    return dealt.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score, schema)
+        left, given = left.sort_by("row").combine_chunks(), {}
+        rows, texts = left["row"].to_pylist(), left["text"].to_pylist()
+        for row, n, chunk, levels in zip(*(right[c].to_pylist() for c in ("row", "n", "chunk", "levels"))):
+            given.setdefault((row, n), []).append((chunk, levels))
+        out = []
+        for (row, n), parts in sorted(given.items()):
+            at = bisect_left(rows, row)
+            levels = np.frombuffer(b"".join(x for _, x in sorted(parts)), np.uint8).astype(np.int64)
+            own = left.slice(at, n).combine_chunks()
+            out.append(scored_batch(model.scorer(Answers(levels)), own["row"].chunk(0), own["doc_id"].chunk(0), texts[at : at + n]))
+        if sum(b.num_rows for b in out) != left.num_rows:
+            raise ValueError(f"{sum(b.num_rows for b in out)} texts of {left.num_rows} have answers")
+        return pa.Table.from_batches(out)
+
+    return dealt.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score, schema), dealt
 
 
 def score_documents(documents: DataFrame, training: Callable[[Column], Column] = is_training, broadcast: int = BROADCAST) -> DataFrame:
@@ -516,15 +528,17 @@ def score_documents(documents: DataFrame, training: Callable[[Column], Column] =
     held = pairs.where("h is not null")
     shards, bits = shape(entries_of(vocabulary) + entries_of(held))
     table = build_filter(hashed(vocabulary).unionByName(held.select("h", "c")), shards, bits)
+    discard(pairs)
     model = Model(head, unseen, totals)
     if shards <= broadcast:
         model.bloom = Shards([spark.sparkContext.broadcast(part) for part in gathered(table, shards, bits)])
         scored = rows.mapInArrow(lambda batches: scored_here(batches, model, PIECE * min(PIECES, shards)), scored_schema(documents))
     else:
-        scored = scored_by_shard(rows, table, shards, model, scored_schema(documents))
+        scored, pieces = scored_by_shard(rows, table, shards, model, scored_schema(documents))
     scored = materialize(scored, "scores")
-    discard(pairs)
     discard(table)
+    if shards > broadcast:
+        discard(pieces)
     others = scored.select("row", F.explode("others").alias("o")).select("row", "o.token", "o.n").join(vocabulary, "token", "left")
     c = F.coalesce("c", F.lit(0))
     rest = others.groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 0.1) / totals.scale)).alias("rest"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rest_known"))
