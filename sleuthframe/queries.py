@@ -339,7 +339,7 @@ keyed AS (SELECT c.run_id, c.kind, c.id, c.ts, x.id AS xid, x.value AS xv, x.typ
 SELECT least(xid, yid) AS source, greatest(xid, yid) AS target, count(*) AS weight, least(count(*), 50) AS n_citations FROM keyed WHERE run_id IN ('0', '1', '2', '3', '4') GROUP BY ALL
 """)
 def link_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=None, edge_limit=None)["edges"]
+    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=None, edge_limit=None, ordered=False)["edges"]
     return found.select("source", "target", "weight", F.size("citations").cast("long").alias("n_citations"))
 
 
@@ -348,7 +348,7 @@ def link_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, target, run_id, source_table, row_id FROM r WHERE k <= 50
 """)
 def link_graph_edges_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=None, edge_limit=None)["edges"]
+    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=None, edge_limit=None, ordered=False)["edges"]
     return found.select("source", "target", F.explode("citations").alias("c")).select("source", "target", "c.run_id", "c.source_table", "c.row_id")
 
 
@@ -357,7 +357,7 @@ def link_graph_edges_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, min(type) AS type, count(DISTINCT run_id) >= 2 AS redacted, count(*) AS degree, count(DISTINCT run_id) AS case_count, CASE WHEN count(DISTINCT run_id) < 2 THEN min(value) END AS value FROM e GROUP BY id
 """)
 def link_graph_nodes_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=None, edge_limit=None)["nodes"]
+    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=None, edge_limit=None, ordered=False)["nodes"]
     return found.select("id", "type", "redacted", "degree", F.col("case_count").cast("long").alias("case_count"), "value")
 
 
@@ -366,7 +366,7 @@ def link_graph_nodes_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT least(xid, yid) AS source, greatest(xid, yid) AS target, count(*) AS weight FROM k2 WHERE xid IN (SELECT id FROM near) AND yid IN (SELECT id FROM near) GROUP BY ALL
 """)
 def link_graph_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, seed="+1 555 0000001", max_hops=1, node_limit=None, edge_limit=None)["edges"]
+    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, seed="+1 555 0000001", max_hops=1, node_limit=None, edge_limit=None, ordered=False)["edges"]
     return found.select("source", "target", "weight")
 
 
@@ -376,7 +376,7 @@ born AS (SELECT node, min(i) AS i FROM (SELECT xid AS node, i FROM o UNION ALL S
 SELECT least(xid, yid) AS source, greatest(xid, yid) AS target, count(*) AS weight FROM o, cut WHERE o.i < cut.i GROUP BY ALL
 """)
 def link_graph_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=40, edge_limit=100_000)["edges"]
+    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=40, edge_limit=100_000, ordered=False)["edges"]
     return found.select("source", "target", "weight")
 
 

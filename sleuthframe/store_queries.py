@@ -224,7 +224,7 @@ SELECT value, coalesce(max(c.name), value) AS label FROM n LEFT JOIN contact c O
 """)
 def link_graph_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of what only one case has."""
-    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=None, edge_limit=None)["nodes"]
+    found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=None, edge_limit=None, ordered=False)["nodes"]
     return found.where("not redacted").select("value", "label")
 
 
