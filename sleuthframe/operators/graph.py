@@ -209,7 +209,7 @@ def link_graph(evidence: Evidence, run_ids: list[str], key: str, seed: str | Non
     if end is not None:
         events = events.where(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
     # nodes, edges, hops and limits all read what is written here; hashes are made of what they leave
-    keyed = with_parties(written(keyed_events(events).select(*events.columns), "keyed"))
+    keyed = written(keyed_events(events), "keyed")
     wanted, near, seed_found = None, None, True
     if seed is not None:
         wanted = keyed.sparkSession.range(1).select(material(F.lit(seed))).first()[0]
