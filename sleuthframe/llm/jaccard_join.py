@@ -294,13 +294,22 @@ def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int)
 
 
 def grouped(hits: DataFrame) -> DataFrame:
-    """(pivot, d): the groups of all that hold a signature which three hold.
+    """(pivot, d, component): the groups of all that hold a signature which three hold, where they have members of more than one component.
 
-    Those that met a pivot in a task of their own are of the groups that this pivot is of, or of its own if it is of none.
+    ``hits``: with the ``member`` that stands for each d's class, and its ``component``. Those that met a pivot in a task of their own
+    are of the groups that this pivot is of, or of its own if it is of none. The least and the greatest component that met there tell
+    which groups are open, so only to these members are led, and to each once, by however many pivots.
     """
-    groups = hits.where("more").select("pivot", "d")
-    near = hits.where("near").select("d", F.col("pivot").alias("via")).join(groups.withColumnRenamed("d", "via"), "via", "left")
-    return groups.unionByName(near.select(F.coalesce("pivot", "via").alias("pivot"), "d"))
+    direct = hits.where("more").select("pivot", "d", "member", "component")
+    near = hits.where("near").select(F.col("pivot").alias("via"), "member", "component").distinct()
+    ends = near.groupBy("via").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    ways = ends.join(direct.select(F.col("d").alias("via"), "pivot"), "via", "left").withColumn("pivot", F.coalesce("pivot", "via"))
+    ends = direct.select("pivot", F.col("component").alias("low"), F.col("component").alias("high")).unionByName(ways.select("pivot", "low", "high"))
+    several = ends.groupBy("pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("pivot")
+    ways = ways.join(several, "pivot").groupBy("via").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
+    led = near.join(ways, "via").groupBy("member", "component").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+    led = led.select(F.explode("pivots").alias("pivot"), "member", "component")
+    return direct.join(several, "pivot").select("pivot", "member", "component").unionByName(led).withColumnRenamed("member", "d").distinct()
 
 
 def linked(rows: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
@@ -522,7 +531,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: tuple[int,
     def of_component(member: DataFrame) -> DataFrame:
         return member.join(components.withColumnRenamed("node", "d"), "d", "left").select("pivot", "d", F.coalesce("component", "d").alias("component")).distinct()
 
-    open_members = materialize(open_groups(of_component(of_class(grouped(hits), "d"))), "members")
+    placed = of_class(hits.where("more or near").withColumn("member", F.col("d")), "member")
+    placed = placed.join(components.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    open_members = materialize(open_groups(grouped(materialize(placed, "placed"))), "members")
     direct, large = open_members.where(F.col("size") <= BLOCK), open_members.where(F.col("size") > BLOCK)
     if not large.isEmpty():
         texts = materialize(usable.join(large.select("d").distinct(), "d").dropDuplicates(["d"]), "open-texts")
