@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
@@ -41,13 +42,15 @@ PROBES = 6
 FLUSH, GROUP = 2_000_000, 3_000_000
 #: Characters of texts scored at once, and how many times that at most where shards have to be loaded for them.
 PIECE, PIECES = 2_000_000, 4
+#: Texts that are Python objects at once, different words counted before they are sent, and n-grams probed at once.
+TEXTS, WORDS, LOOKED_UP = 500, 150_000, 1 << 17
 #: Shards that are broadcast; n-grams that one task probes where there are more.
 BROADCAST, PROBED = 4, 4_000_000
 #: Share of a pair's relative frequency that is believed.
 TRUST = 0.4
 #: Neither can be a word, both being white space.
 END, START = b"\n", b"\t"
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 400_000
 
 U, MASK = np.uint64, (1 << 64) - 1
 STEP = 0xD1342543DE82EF95
@@ -76,6 +79,13 @@ def words_of(text: str | None) -> list[bytes]:
     return words
 
 
+def texts_of(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
+    """The texts of a batch, a few at a time."""
+    column = batch.column("text")
+    for k in range(0, len(column), TEXTS):
+        yield column.slice(k, TEXTS).to_pylist()
+
+
 class Filter:
     """A Bloom filter in segments, or some in a row of one of ``shards`` that it is split into; an n-gram's bits all lie in the segment of its hash."""
 
@@ -98,7 +108,11 @@ class Filter:
             a = a + b
 
     def level(self, h: np.ndarray, order: int) -> np.ndarray:
-        """Levels read by probing; h is of n-grams of one order. A number is given up at its first missing bit."""
+        """Levels read by probing; h is of n-grams of one order."""
+        return np.concatenate([self.some_levels(h[k : k + LOOKED_UP], order) for k in range(0, max(1, len(h)), LOOKED_UP)])
+
+    def some_levels(self, h: np.ndarray, order: int) -> np.ndarray:
+        """A number is given up at its first missing bit."""
         found, alive, number = np.zeros(len(h), np.int64), np.arange(len(h)), self.least[order]
         base, mask = self.segment(h, self.shards) % self.segments * self.size, U(self.size - 1)
         while len(alive):
@@ -173,17 +187,16 @@ def count_words(texts: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def sent() -> Iterator[pa.RecordBatch]:
-            items = list(counts.items())
+            found = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["token", "c"])
             counts.clear()
-            for k in range(0, len(items), 100_000):
-                some = items[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([c for _, c in some], pa.int64())], names=["token", "c"])
+            yield found
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(words_of(text))
-            if len(counts) > 500_000:
-                yield from sent()
+            for texts in texts_of(batch):
+                for text in texts:
+                    counts.update(words_of(text))
+                if len(counts) > WORDS:
+                    yield from sent()
         yield from sent()
 
     return texts.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
@@ -227,19 +240,29 @@ def count_pairs(texts: DataFrame, head, groups: int) -> DataFrame:
 
     bounds = np.array([g * (1 << 64) // groups for g in range(groups)], U)
 
+    def cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """A cell of the bytes of the values from each end to the next, without a copy."""
+        offsets = (ends * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
     def send(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h = np.sort(np.concatenate(pairs))
+        """Empties ``pairs``."""
+        h = np.concatenate(pairs)
+        pairs.clear()
+        h.sort()
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        counts, h = np.diff(np.append(first, len(h))).astype(np.uint32), h[first]
-        ends = [*np.searchsorted(h, bounds).tolist(), len(h)]
-        rows = [(g, h[i:j].tobytes(), counts[i:j].tobytes()) for g, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["g", "h", "c"])
+        counts, h = np.diff(first, append=len(h)).astype(np.uint32), h[first]
+        del first
+        ends = np.append(np.searchsorted(h, bounds), len(h))
+        full = np.flatnonzero(ends[1:] > ends[:-1])
+        ends = np.append(ends[full], len(h))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cells(h, ends), cells(counts, ends)], names=["g", "h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, levels, pairs, n = Words(), np.zeros(0, np.uint8), [], 0
         start = known.numbers([START])
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
+        for texts in (some for batch in batches for some in texts_of(batch)):
+            for text in texts:
                 numbers = np.concatenate([start, known.numbers(words_of(text))])
                 if len(known.words) > len(levels):
                     levels = np.concatenate([levels, level(np.array([head.value.get(w, 0) for w in known.words[len(levels) :]])).astype(np.uint8)])
@@ -248,7 +271,7 @@ def count_pairs(texts: DataFrame, head, groups: int) -> DataFrame:
                 n += len(numbers)
                 if n >= FLUSH:
                     yield from send(pairs)
-                    pairs, n = [], 0
+                    n = 0
             if len(known.words) > REMEMBERED_WORDS:
                 known, levels = Words(), np.zeros(0, np.uint8)
                 start = known.numbers([START])
@@ -378,13 +401,18 @@ class Scorer:
         ends = np.cumsum(sizes)
         before, word = np.concatenate([n[:-1] for n in numbers]), np.concatenate([n[1:] for n in numbers])
         h = pair_hash(self.known.hashes[before], self.known.hashes[word], self.levels[before])
+        del numbers
         unique, back = np.unique(h, return_inverse=True)
-        pairs = self.read(unique)[back]
-        single = (self.counts[word] + 0.1) / self.totals.scale
-        share = np.minimum(pairs / np.maximum(self.counts[before], np.maximum(pairs, 1)), 1)
-        model = np.log10(TRUST * share + self.unseen[self.levels[before]] * single)
-        exact = self.exact[word]
-        base = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.1) / self.totals.scale), 0)
+        del h
+        pairs = self.read(unique)
+        model, base, exact = np.empty(len(word)), np.empty(len(word)), self.exact[word]
+        for k in range(0, len(word), LOOKED_UP):
+            own = slice(k, k + LOOKED_UP)
+            pair, single = pairs[back[own]], (self.counts[word[own]] + 0.1) / self.totals.scale
+            share = np.minimum(pair / np.maximum(self.counts[before[own]], np.maximum(pair, 1)), 1)
+            model[own] = np.log10(TRUST * share + self.unseen[self.levels[before[own]]] * single)
+            base[own] = np.where(exact[own] >= 0, np.log10((np.maximum(exact[own], 0) + 0.1) / self.totals.scale), 0)
+        del unique, back, before
         text = np.repeat(np.arange(len(texts)), sizes)
         rest = np.flatnonzero(exact < 0)
         keys, n = np.unique(text[rest] << 32 | word[rest], return_counts=True) if len(rest) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -409,13 +437,13 @@ def scored_schema(documents: DataFrame) -> str:
     return f"row long, doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, score double, others array<struct<token:binary,n:long>>"
 
 
-def cut(texts: list[str | None], characters: int) -> Iterator[tuple[int, int]]:
+def cut(texts: pa.Array, characters: int) -> Iterator[tuple[int, int]]:
     """Begin and end of pieces of about so many characters."""
-    begin = 0
-    while begin < len(texts):
+    begin, sizes = 0, pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    while begin < len(sizes):
         end, size = begin, 0
-        while end < len(texts) and size < characters:
-            size += len(texts[end] or "")
+        while end < len(sizes) and size < characters:
+            size += sizes[end]
             end += 1
         yield begin, end
         begin = end
@@ -432,9 +460,9 @@ def scored_here(batches: Iterator[pa.RecordBatch], model: Model, piece: int) ->
     """Scores from the filter that this worker has."""
     scorer, row = model.scorer(), TaskContext.get().partitionId() << 36
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+        ids, texts = batch.column("doc_id"), batch.column("text")
         for begin, end in cut(texts, piece):
-            yield scored_batch(scorer, pa.array(np.arange(row, row + end - begin), pa.int64()), ids.slice(begin, end - begin), texts[begin:end])
+            yield scored_batch(scorer, pa.array(np.arange(row, row + end - begin), pa.int64()), ids.slice(begin, end - begin), texts.slice(begin, end - begin).to_pylist())
             row += end - begin
 
 
@@ -445,8 +473,7 @@ def scored_by_shard(rows: DataFrame, table: DataFrame, shards: int, model: Model
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = piece = TaskContext.get().partitionId() << 36
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, end in cut(texts, PIECE):
+            for begin, end in cut(batch.column("text"), PIECE):
                 n = end - begin
                 yield pa.RecordBatch.from_arrays([pa.array([piece] * n, pa.int64()), pa.array(np.arange(row, row + n), pa.int64()), batch.column("doc_id").slice(begin, n), batch.column("text").slice(begin, n)], names=["piece", "row", "doc_id", "text"])
                 row, piece = row + n, piece + 1
@@ -521,7 +548,7 @@ def score_documents(documents: DataFrame, training: Callable[[Column], Column] =
     totals = Totals(n, v, docs)
     enough = least_count_for_head(vocabulary)
     head = spark.sparkContext.broadcast({bytes(r["token"]): r["c"] for r in vocabulary.where(F.col("c") >= enough).toLocalIterator()})
-    pairs = materialize(count_pairs(texts, head, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // GROUP)), "pairs")
+    pairs = materialize(count_pairs(texts, head, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // GROUP)), "pairs")
     unseen = np.ones(len(LEVELS) + 1)
     for r in pairs.where("h is null").select("bucket").distinct().collect():
         unseen[r["bucket"]] = 1 - TRUST
