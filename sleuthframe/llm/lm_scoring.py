@@ -41,7 +41,7 @@ PROBES = 6
 #: Tokens gathered before a task sends its pair counts, and those counted in one group, all of whose pairs are kept.
 FLUSH, GROUP = 2_000_000, 3_000_000
 #: Characters of texts scored at once, and how many times that at most where shards have to be loaded for them.
-PIECE, PIECES = 2_000_000, 4
+PIECE, PIECES = 2_000_000, 2
 #: Texts that are Python objects at once, different words counted before they are sent, and n-grams probed at once.
 TEXTS, WORDS, LOOKED_UP = 500, 150_000, 1 << 17
 #: Shards that are broadcast; n-grams that one task probes where there are more.
