@@ -40,7 +40,7 @@ BAND = 1.6
 #: Bits of every set's sketch; a large set has a wide one besides, of half as many bits as it has shingles at least.
 SKETCH_BITS = 1024
 #: Signatures that a task gathers before it sends them, and those of one bucket.
-FLUSH, BUCKET = 1_500_000, 3_000_000
+FLUSH, BUCKET = 750_000, 500_000
 #: A signature with more holders among those that a task sends at once goes as one.
 FEW = 8
 #: Members of a group in one block of the comparison by sketches, and rows of such blocks in one task's share.
@@ -242,8 +242,12 @@ def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int)
     names = ["g", "sig", "d", "holders", "near"]
 
     def send(sigs: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
+        """Empties ``sigs``."""
         d = np.repeat(np.array(ids, np.int64), list(map(len, sigs)))
-        sig, least, holders, *near = held(np.concatenate(sigs), d, np.ones(len(d), np.int64), FEW)
+        sig = np.concatenate(sigs)
+        sigs.clear()
+        sig, least, holders, *near = held(sig, d, np.ones(len(d), np.int64), FEW)
+        del d
         near = np.stack(summed(*near)).astype(np.int64)
         ends = np.append(np.searchsorted(sig, bounds), len(sig))
         # what met here goes with the signatures, a share with each bucket
@@ -274,6 +278,7 @@ def met(rows: DataFrame, words: int, similarity: tuple[int, int], buckets: int)
         """Rows of d, pivot, times, more and near, together for all d of a share."""
         sig, d, holders = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("sig", U), ("d", np.int64), ("holders", np.uint32)))
         far = np.stack(summed(*held(sig, d, holders.astype(np.int64), 1)[3:])).astype(np.int64)
+        del sig, d, holders
         near = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in pdf["near"]], axis=1)
         rows = np.concatenate([np.vstack([far, np.zeros_like(far[:1])]), np.vstack([near[:3], np.zeros_like(near[:1]), np.ones_like(near[:1])])], axis=1)
         share = (mix(rows[0].astype(U)) % U(shares)).astype(np.int64)
