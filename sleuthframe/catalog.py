@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,10 @@ SCHEMAS = {
 }
 #: Tables that a case owns, in the order in which a deletion empties them.
 CASE_TABLES = ("transcript", "entity_index", "membership", "artifact", "media", "contact", "call", "message", "run")
+#: Rows of a join that one task sorts.
+SORTED = 1_000_000
+#: Tables of up to this many rows may be sent whole to every executor, if Spark finds them small.
+SENT = 2_000_000
 TIME_COLUMN = {"message": "timestamp", "call": "timestamp", "artifact": "created_at"}
 
 Evidence = Mapping[str, DataFrame]
@@ -77,10 +82,25 @@ def number(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.lpad(F.col(column).cast("string"), 7, "0"))
 
 
+def side_by_side(left: DataFrame, right: DataFrame, left_key: str, right_key: str, rows: int) -> DataFrame:
+    """``left`` (about ``rows`` rows) joined to ``right``, both dealt into as many parts as leave about ``SORTED`` rows for each: what a
+    task sorts doesn't grow with the tables. Where there are no more such parts than cores the join is left to Spark.
+    """
+    parts = math.ceil(rows / SORTED)
+    if parts > left.sparkSession.sparkContext.defaultParallelism:
+        left, right = left.repartition(parts, left_key), right.repartition(parts, right_key)
+    return left.join(right, F.col(left_key) == F.col(right_key))
+
+
 def benchmark_evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "nation", "part", "events", "pages", "documents")}
-    orders = t["orders"].join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t["nation"].select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
-    lines = t["lineitem"].join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t["part"].select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    # rows are counted from the footers of files; few lines have few of the others
+    n = {"lineitem": t["lineitem"].count()}
+    n |= {k: t[k].count() if n["lineitem"] > SORTED else 0 for k in ("orders", "customer", "part")}
+    orders = side_by_side(t["orders"], t["customer"].select("c_custkey", "c_nationkey"), "o_custkey", "c_custkey", n["orders"] if n["customer"] > SENT else 0)
+    orders = orders.join(F.broadcast(t["nation"].select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
+    lines = side_by_side(t["lineitem"], orders, "l_orderkey", "o_orderkey", n["lineitem"])
+    lines = side_by_side(lines, t["part"].select("p_partkey", "p_name"), "l_partkey", "p_partkey", n["lineitem"] if n["part"] > SENT else 0)
     message = lines.select(
         F.col("n_regionkey").cast("string").alias("run_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("id"),

@@ -276,7 +276,9 @@ def type_counts(nodes: DataFrame, column: str = "label") -> DataFrame:
 
 def normalized_degrees(degrees: DataFrame) -> DataFrame:
     """``degrees`` (run_id, node, degree) with share: per cent of the greatest degree of the case."""
-    most = degrees.groupBy("run_id").agg(F.max("degree").alias("most"))
+    degrees = written(degrees, "degrees")
+    # its size is known then, so that of few cases is broadcast and no case is brought to one task
+    most = written(degrees.groupBy("run_id").agg(F.max("degree").alias("most")), "most")
     return degrees.join(most, "run_id").select("run_id", "node", "degree", (F.col("degree") * 100 / F.col("most")).alias("share"))
 
 
