@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import parts_of
+
 SCHEMAS = {
     "run": "run_id string, user_id string, file_name string, status string, start_time timestamp_ntz, end_time timestamp_ntz, extraction_metadata string, file_content_hash string, original_file_path string",
     "message": "run_id string, id string, sender string, receiver string, timestamp timestamp_ntz, content string",
@@ -83,10 +84,10 @@ def number(prefix: str, column: str):
 
 
 def side_by_side(left: DataFrame, right: DataFrame, left_key: str, right_key: str, rows: int) -> DataFrame:
-    """``left`` (about ``rows`` rows) joined to ``right``, both dealt into as many parts as leave about ``SORTED`` rows for each: what a
-    task sorts doesn't grow with the tables. Where there are no more such parts than cores the join is left to Spark.
+    """``left`` (about ``rows`` rows) joined to ``right``, both dealt into as many parts as leave about ``SORTED`` rows for each (see
+    :func:`parts_of`), which Spark doesn't put together for a task to sort. Where there are no more such parts than cores the join is left to Spark.
     """
-    parts = math.ceil(rows / SORTED)
+    parts = parts_of(rows, SORTED)
     if parts > left.sparkSession.sparkContext.defaultParallelism:
         left, right = left.repartition(parts, left_key), right.repartition(parts, right_key)
     return left.join(right, F.col(left_key) == F.col(right_key))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Evidence, comm_events
 from ..functions.identifiers import check_key, display_id, hmac_sha256, normalize
-from ..shared import written
+from ..shared import parts_of, written
 
 EDGE_CITATIONS = 50
 #: Rows that are counted in one task, nearly all of which may be different.
@@ -21,15 +19,15 @@ LENGTHS = 1_000
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows``, written, with equal keys together in as many parts as leave about ``PART`` rows for each."""
+    """``rows``, written, with equal keys together in as many parts as leave about ``PART`` rows for each (see :func:`parts_of`)."""
     rows = written(rows, "dealt")
-    return rows.repartition(max(1, math.ceil(rows.count() / PART)), *keys)
+    return rows.repartition(parts_of(rows.count(), PART), *keys)
 
 
 def edges(events: DataFrame) -> DataFrame:
     """(run_id, lo, hi, weight): interactions of two parties, both directions together.
 
-    Most pairs may be different, so none are counted before they are dealt: a task's table of pairs doesn't grow with the input.
+    Most pairs may be different, so none are counted before they are dealt: a task's table of pairs is of its part alone.
     """
     pairs = events.where("a is not null and b is not null").select("run_id", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     return dealt(pairs, "run_id", "lo", "hi").groupBy("run_id", "lo", "hi").agg(F.count("*").alias("weight"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most parts into which rows are dealt: for more (spark.shuffle.sort.bypassMergeThreshold) a task first holds all rows that it deals.
+PARTS = 200
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; in local mode a new folder where it is unset."""
@@ -59,3 +63,8 @@ class Written:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: what follows survives lost executors and computes none of it again."""
     return Written(df, name).table
+
+
+def parts_of(rows: int, size: int) -> int:
+    """Parts that leave about ``size`` of ``rows`` for each, but no more than ``PARTS``."""
+    return min(PARTS, max(1, math.ceil(rows / size)))
