@@ -4,9 +4,9 @@ Counts of words and word pairs over all training texts are quantised; for a coun
 each number up to q, so a count is read by probing 1, 2, 3 ... until a number is missing. The filter holds every n-gram, those
 seen once too: it grows with the distinct ones, in shards by range of hash, of at most ``MOST_BITS`` bits. Up to ``BROADCAST`` shards
 are broadcast; a worker holds one at a time and asks each for all n-grams of some texts. A filter of more stays a table: texts are
-cut into pieces, the n-grams of a piece go to the shards that hold them, are probed there, and what was read goes back to the
-piece, so neither the driver nor a worker ever holds more than a shard. A fixed share of the probability after every context goes to
-single words.
+cut into pieces, the n-grams of a piece go to the shards that hold them, are probed there, all of a task at once, and what was read
+goes back to the piece, so neither the driver nor a worker ever holds more than a shard. A fixed share of the probability after every
+context goes to single words.
 
 The base score uses exact counts: those of the most frequent words are broadcast (at most ``HEAD`` words), those of the others
 are joined.
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,24 +35,34 @@ HEAD = 300_000
 MOST_BITS = 1 << 28
 #: Segments of a filter, and those that the driver collects at once.
 SEGMENTS, GATHERED = 256, 64
-BITS_PER_ENTRY = 10
-PROBES = 6
+BITS_PER_ENTRY = 11
+#: Bits set for an entry: as many in each of two words of 64 bits.
+HALF = 3
 #: Tokens gathered before a task sends its pair counts, and those counted in one group, all of whose pairs are kept.
 FLUSH, GROUP = 2_000_000, 3_000_000
 #: Characters of texts scored at once, and how many times that at most where shards have to be loaded for them.
 PIECE, PIECES = 2_000_000, 2
-#: Texts that are Python objects at once, different words counted before they are sent, and n-grams probed at once.
-TEXTS, WORDS, LOOKED_UP = 500, 150_000, 1 << 17
+#: Texts that are Python objects at once, bytes of texts whose words are counted at once, and n-grams probed at once.
+TEXTS, COUNTED, LOOKED_UP = 500, 8_000_000, 1 << 17
 #: Shards that are broadcast; n-grams that one task probes where there are more.
 BROADCAST, PROBED = 4, 4_000_000
 #: Share of a pair's relative frequency that is believed.
 TRUST = 0.4
 #: Neither can be a word, both being white space.
 END, START = b"\n", b"\t"
-REMEMBERED_WORDS = 400_000
+#: What stands for the end where texts are joined: no text has the byte 255.
+MARK = b" \xff "
+WHITE = b" \t\n\x0b\x0c\r"
+LOWER, INK = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"), bytes(c not in WHITE for c in range(256))
 
 U, MASK = np.uint64, (1 << 64) - 1
 STEP = 0xD1342543DE82EF95
+#: Bytes of a hash that the filter goes by; the last ones, with the bucket, are left out.
+KEPT = 6
+#: Sets of ``HALF`` different bits of a word of 64: their places, and the words.
+SETS = 4096
+PLACES = np.stack([U(64 * k // HALF) + (mix(np.arange(SETS, dtype=U)) >> U(16 * k)) % U(64 * (k + 1) // HALF - 64 * k // HALF) for k in range(HALF)])
+MASKS = np.bitwise_or.reduce(U(1) << PLACES)
 #: Least counts of the levels: exact up to 8, then a quarter more each.
 LEVELS = [1, 2, 3, 4, 5, 6, 7, 8]
 while LEVELS[-1] < 10**15:
@@ -72,11 +81,85 @@ def pair_hash(first: np.ndarray, second: np.ndarray, bucket: np.ndarray) -> np.n
     return (mix(first * U(0x9E3779B97F4A7C15) + second) & U(MASK - 255)) | bucket.astype(U)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z only), and the end."""
-    words = text.encode().lower().split() if text else []
-    words.append(END)
-    return words
+def encoded(text: str | None) -> bytes:
+    """A text as part of joined texts."""
+    return (text.encode() if text else b"") + MARK
+
+
+def tokens(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of joined texts in lower case (A-Z only), the end being one, which of them each token is, and the number of
+    tokens of each text.
+    """
+    ink = np.frombuffer(data.translate(INK), bool)
+    edges = np.flatnonzero(np.concatenate([[False], ink]) != np.concatenate([ink, [False]]))
+    offsets = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])]).astype(np.int32)
+    # letters alone, so that each word begins where the one before ends
+    found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data.translate(LOWER, WHITE))]).dictionary_encode()
+    words, token = found.dictionary, found.indices.to_numpy()
+    if not len(token):
+        return words, token, np.zeros(0, np.int64)
+    end = int(token[-1])
+    words = pa.concat_arrays([words.slice(0, end), pa.array([END], pa.binary()), words.slice(end + 1)])
+    return words, token, np.diff(np.flatnonzero(token == end), prepend=-1)
+
+
+def before_each(token: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """The token before each, ``start`` where a text begins."""
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[np.cumsum(sizes) - sizes] = start
+    return before
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), U, len(words))
+
+
+class Head:
+    """The most frequent words, with their counts, in order of their hashes."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray):
+        h = hashes_of(words)
+        order = np.argsort(h)
+        self.hashes, self.words, self.counts = h[order], words.take(pa.array(order)), counts[order]
+
+    def counts_of(self, words: pa.Array, h: np.ndarray) -> np.ndarray:
+        """Exact counts of words, whose hashes are given, that are of the head, -1 for others."""
+        found = np.full(len(h), -1)
+        at = np.searchsorted(self.hashes, h)
+        own = np.flatnonzero(np.append(self.hashes, U(0))[at] == h)
+        own = own[at[own] < len(self.counts)]
+        same = pc.equal(words.take(pa.array(own)), self.words.take(pa.array(at[own]))).to_numpy(zero_copy_only=False)
+        found[own[same]] = self.counts[at[own[same]]]
+        return found
+
+
+def head_of(vocabulary: DataFrame) -> Head:
+    counts: dict[bytes, int] = {bytes(r["token"]): r["c"] for r in vocabulary.select("token", "c").toLocalIterator()}
+    return Head(pa.array(counts.keys(), pa.binary()), np.fromiter(counts.values(), np.int64, len(counts)))
+
+
+def levels_of(exact: np.ndarray) -> np.ndarray:
+    return np.where(exact > 0, level(exact), 0)
+
+
+def with_start(words: pa.Array) -> pa.Array:
+    return pa.concat_arrays([words, pa.array([START], pa.binary())])
+
+
+def in_order(h: np.ndarray) -> np.ndarray:
+    """Places of hashes in their order, as far as they differ in their first bits: numbers that hold a place each are sorted faster."""
+    low = U((1 << len(h).bit_length()) - 1)
+    return (np.sort(h & ~low | np.arange(len(h), dtype=U)) & low).view(np.int64)
+
+
+def different(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, each once (or, rarely, more often), and where each of ``h`` is among them."""
+    order = in_order(h)
+    found = h[order]
+    first, back = np.append(True, found[1:] != found[:-1])[: len(h)], np.empty(len(h), np.int64)
+    back[order] = np.cumsum(first) - 1
+    return found[first], back
 
 
 def texts_of(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
@@ -86,6 +169,19 @@ def texts_of(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
         yield column.slice(k, TEXTS).to_pylist()
 
 
+def joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[bytes]:
+    """The texts of batches, joined up to about so many bytes."""
+    parts, n = [], 0
+    for text in (text for batch in batches for texts in texts_of(batch) for text in texts):
+        parts.append(encoded(text))
+        n += len(parts[-1])
+        if n >= size:
+            yield b"".join(parts)
+            parts, n = [], 0
+    if parts:
+        yield b"".join(parts)
+
+
 class Filter:
     """A Bloom filter in segments, or some in a row of one of ``shards`` that it is split into; an n-gram's bits all lie in the segment of its hash."""
 
@@ -98,32 +194,39 @@ class Filter:
         """Numbers of segments, counted through all shards."""
         return ((h >> U(32)) * U(SEGMENTS * shards) >> U(32)).astype(np.int64)
 
+    @staticmethod
+    def spread(h: np.ndarray, number: int) -> np.ndarray:
+        """What tells an n-gram's bits for a number: two sets, and the words that they are in."""
+        return mix((h >> U(64 - 8 * KEPT)) + U(number * STEP & MASK))
+
     @staticmethod
     def places(h: np.ndarray, number: int, size: int) -> Iterator[np.ndarray]:
-        """Places in its segment, whose size is a power of two, of an n-gram with a number."""
-        a = mix(h + U(number * STEP & MASK))
-        b = (a >> U(32)) | U(1)
-        for _ in range(PROBES):
-            yield (a & U(size - 1)).astype(np.int64)
-            a = a + b
+        """Places in its segment, whose size is a power of two (64 at least), of an n-gram with a number."""
+        a = Filter.spread(h, number)
+        for sets, words in ((a, a >> U(24)), (a >> U(12), a >> U(44))):
+            first = (words & U(size // 64 - 1)) * U(64)
+            for place in PLACES:
+                yield (first + place[(sets & U(SETS - 1)).view(np.int64)]).view(np.int64)
 
     def level(self, h: np.ndarray, order: int) -> np.ndarray:
         """Levels read by probing; h is of n-grams of one order."""
         return np.concatenate([self.some_levels(h[k : k + LOOKED_UP], order) for k in range(0, max(1, len(h)), LOOKED_UP)])
 
     def some_levels(self, h: np.ndarray, order: int) -> np.ndarray:
-        """A number is given up at its first missing bit."""
+        """A number is given up at its first missing half."""
+        words, mask, kept = self.bits.view("<u8"), U(self.size // 64 - 1), U(SETS - 1)
         found, alive, number = np.zeros(len(h), np.int64), np.arange(len(h)), self.least[order]
-        base, mask = self.segment(h, self.shards) % self.segments * self.size, U(self.size - 1)
+        base = ((self.segment(h, self.shards) % self.segments) * (self.size // 64)).view(U)
         while len(alive):
-            a = mix(h[alive] + U(number * STEP & MASK))
-            b = (a >> U(32)) | U(1)
-            for _ in range(PROBES):
-                at = base[alive] + (a & mask).astype(np.int64)
-                held = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                if len(held) < len(alive):
-                    alive, b, a = alive[held], b[held], a[held]
-                a = a + b
+            a = self.spread(h, number)
+            bits = MASKS[(a & kept).view(np.int64)]
+            held = np.flatnonzero(words[(base + (a >> U(24) & mask)).view(np.int64)] & bits == bits)
+            if len(held) < len(alive):
+                alive, h, base, a = alive[held], h[held], base[held], a[held]
+            bits = MASKS[(a >> U(12) & kept).view(np.int64)]
+            held = np.flatnonzero(words[(base + (a >> U(44) & mask)).view(np.int64)] & bits == bits)
+            if len(held) < len(alive):
+                alive, h, base = alive[held], h[held], base[held]
             found[alive] = number
             number += 1
         return found
@@ -152,30 +255,6 @@ class Shards:
         return found
 
 
-class Asked:
-    """Stands for a filter and notes the n-grams that it is asked for."""
-
-    def __init__(self):
-        self.h: list[np.ndarray] = []
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        self.h.append(h)
-        return np.zeros(len(h), np.int64)
-
-
-class Answers:
-    """Levels read elsewhere of the n-grams that some texts ask for, in order of their hashes."""
-
-    def __init__(self, levels: np.ndarray):
-        self.levels = levels
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        unique, back = np.unique(h, return_inverse=True)
-        if len(unique) != len(self.levels):
-            raise ValueError(f"{len(self.levels)} answers to {len(unique)} n-grams")
-        return self.levels[back]
-
-
 def is_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 != 0, F.lit(True))
 
@@ -184,54 +263,13 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(token binary, c) over all texts, the end being a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            found = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["token", "c"])
-            counts.clear()
-            yield found
-
-        for batch in batches:
-            for texts in texts_of(batch):
-                for text in texts:
-                    counts.update(words_of(text))
-                if len(counts) > WORDS:
-                    yield from sent()
-        yield from sent()
+        for data in joined(batches, COUNTED):
+            words, token, _ = tokens(data)
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(token, minlength=len(words)), pa.int64())], names=["token", "c"])
 
     return texts.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-class Numbers(dict):
-    """Numbers for keys in the order in which they are first asked for."""
-
-    def __init__(self):
-        self.keys_in_order: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        n = self[key] = len(self.keys_in_order)
-        self.keys_in_order.append(key)
-        return n
-
-
-class Words:
-    """Numbers for the words that a worker meets, with their hashes."""
-
-    def __init__(self):
-        self.number = Numbers()
-        self.words = self.number.keys_in_order
-        self.hashes, self.hashed = np.zeros(1 << 16, U), 0
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        if (n := len(self.words)) > self.hashed:
-            if n > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros(n, U)])
-            self.hashes[self.hashed : n] = [xxhash.xxh3_64_intdigest(w) for w in self.words[self.hashed :]]
-            self.hashed = n
-        return found
-
-
 def count_pairs(texts: DataFrame, head, groups: int) -> DataFrame:
     """(h, c, bucket) of all word pairs of the texts with their counts, and, with a null h, the tokens of each bucket.
 
@@ -259,22 +297,17 @@ def count_pairs(texts: DataFrame, head, groups: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cells(h, ends), cells(counts, ends)], names=["g", "h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, levels, pairs, n = Words(), np.zeros(0, np.uint8), [], 0
-        start = known.numbers([START])
-        for texts in (some for batch in batches for some in texts_of(batch)):
-            for text in texts:
-                numbers = np.concatenate([start, known.numbers(words_of(text))])
-                if len(known.words) > len(levels):
-                    levels = np.concatenate([levels, level(np.array([head.value.get(w, 0) for w in known.words[len(levels) :]])).astype(np.uint8)])
-                h = known.hashes[numbers]
-                pairs.append(pair_hash(h[:-1], h[1:], levels[numbers[:-1]]))
-                n += len(numbers)
-                if n >= FLUSH:
-                    yield from send(pairs)
-                    n = 0
-            if len(known.words) > REMEMBERED_WORDS:
-                known, levels = Words(), np.zeros(0, np.uint8)
-                start = known.numbers([START])
+        pairs, n = [], 0
+        for data in joined(batches, COUNTED // 2):
+            words, token, sizes = tokens(data)
+            before, words = before_each(token, sizes, len(words)), with_start(words)
+            h = hashes_of(words)
+            levels = levels_of(head.value.counts_of(words, h))
+            pairs.append(pair_hash(h[before], h[token], levels[before]))
+            n += len(token)
+            if n >= FLUSH:
+                yield from send(pairs)
+                n = 0
         if pairs:
             yield from send(pairs)
 
@@ -346,7 +379,7 @@ def gathered(table: DataFrame, shards: int, bits: int) -> Iterator[np.ndarray]:
 def hashed(vocabulary: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in batch.column("token").to_pylist()], U)
+            h = hashes_of(batch.column("token"))
             yield pa.RecordBatch.from_arrays([pa.array(mix(h).view(np.int64)), batch.column("c")], names=["h", "c"])
 
     return vocabulary.select("token", "c").mapInArrow(run, "h long, c long")
@@ -363,61 +396,40 @@ class Totals:
         return self.tokens + 0.1 * (self.words + 1)
 
 
-class Scorer:
-    """Model and base scores of texts in a worker."""
-
-    def __init__(self, bloom: Shards | Asked | Answers, head: dict[bytes, int], unseen: np.ndarray, totals: Totals):
-        self.bloom, self.head, self.totals = bloom, head, totals
-        self.unseen = unseen  # probability left to single words, by level of the context
-        self.reset()
-
-    def reset(self) -> None:
-        self.known, self.counts, self.levels, self.exact = Words(), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.start = self.known.numbers([START])
-
-    def look_up(self) -> None:
-        """Exact counts of words not met before that are of the head, -1 for others."""
-        exact = np.array([self.head.get(w, -1) for w in self.known.words[len(self.exact) :]], np.int64)
-        self.levels = np.concatenate([self.levels, np.where(exact > 0, level(exact), 0)])
-        self.exact = np.concatenate([self.exact, exact])
-
-    def read(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts of pairs from the filter; those of words not met before are read with them."""
-        new = mix(self.known.hashes[len(self.counts) : len(self.known.words)])
-        values = VALUES[self.bloom.level(np.concatenate([new, h]))]
-        self.counts = np.concatenate([self.counts, values[: len(new)]])
-        if len(self.counts) and self.counts[self.start[0]] == 0:
-            self.counts[self.start[0]] = self.totals.documents
-        return values[len(new) :]
-
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """n_tokens, known tokens of the head, their base score, model score, and (text, word, count) of the other words."""
-        if len(self.known.words) > REMEMBERED_WORDS:
-            self.reset()
-        numbers = [np.concatenate([self.start, self.known.numbers(words_of(t))]) for t in texts]
-        if len(self.known.words) > len(self.exact):
-            self.look_up()
-        sizes = np.array([len(n) - 1 for n in numbers])
-        ends = np.cumsum(sizes)
-        before, word = np.concatenate([n[:-1] for n in numbers]), np.concatenate([n[1:] for n in numbers])
-        h = pair_hash(self.known.hashes[before], self.known.hashes[word], self.levels[before])
-        del numbers
-        unique, back = np.unique(h, return_inverse=True)
-        del h
-        pairs = self.read(unique)
-        model, base, exact = np.empty(len(word)), np.empty(len(word)), self.exact[word]
-        for k in range(0, len(word), LOOKED_UP):
+class Piece:
+    """Some texts: their tokens, and ``asked``, the hashes of the words, the start and the different pairs that they have."""
+
+    def __init__(self, texts: list[str | None], head: Head):
+        words, self.token, self.sizes = tokens(b"".join(map(encoded, texts)))
+        self.before, self.words = before_each(self.token, self.sizes, len(words)), with_start(words)
+        h = hashes_of(self.words)
+        self.exact = head.counts_of(self.words, h)
+        self.levels = levels_of(self.exact)
+        pairs, self.pair = different(pair_hash(h[self.before], h[self.token], self.levels[self.before]))
+        self.asked = np.concatenate([mix(h), pairs])
+
+    def scores(self, levels: np.ndarray, unseen: np.ndarray, totals: Totals) -> tuple[np.ndarray, ...]:
+        """n_tokens, known tokens of the head, their base score, model score, and (text, word, count) of the other words.
+
+        ``levels`` are those read of ``asked``; ``unseen`` is the probability left to single words, by level of the context.
+        """
+        token, values, n = self.token, VALUES[levels], len(self.exact)
+        counts, pairs = values[:n], values[n:]
+        if counts[-1] == 0:
+            counts[-1] = totals.documents
+        single, left = (counts + 0.1) / totals.scale, unseen[self.levels]
+        base_of = np.where(self.exact >= 0, np.log10((np.maximum(self.exact, 0) + 0.1) / totals.scale), 0)
+        model = np.empty(len(token))
+        for k in range(0, len(token), LOOKED_UP):
             own = slice(k, k + LOOKED_UP)
-            pair, single = pairs[back[own]], (self.counts[word[own]] + 0.1) / self.totals.scale
-            share = np.minimum(pair / np.maximum(self.counts[before[own]], np.maximum(pair, 1)), 1)
-            model[own] = np.log10(TRUST * share + self.unseen[self.levels[before[own]]] * single)
-            base[own] = np.where(exact[own] >= 0, np.log10((np.maximum(exact[own], 0) + 0.1) / self.totals.scale), 0)
-        del unique, back, before
-        text = np.repeat(np.arange(len(texts)), sizes)
-        rest = np.flatnonzero(exact < 0)
-        keys, n = np.unique(text[rest] << 32 | word[rest], return_counts=True) if len(rest) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        starts = ends - sizes
-        return sizes, np.add.reduceat((exact > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(model, starts), keys >> 32, keys & 0xFFFFFFFF, n
+            pair, before = pairs[self.pair[own]], self.before[own]
+            share = np.minimum(pair / np.maximum(counts[before], np.maximum(pair, 1)), 1)
+            model[own] = np.log10(TRUST * share + left[before] * single[token[own]])
+        starts = np.cumsum(self.sizes) - self.sizes
+        rest = np.flatnonzero((self.exact < 0)[token])
+        text = np.searchsorted(starts, rest, side="right") - 1
+        keys, times = np.unique(text << 32 | token[rest], return_counts=True)
+        return self.sizes, np.add.reduceat((self.exact > 0).astype(np.int64)[token], starts), np.add.reduceat(base_of[token], starts), np.add.reduceat(model, starts), keys >> 32, keys & 0xFFFFFFFF, times
 
 
 @dataclass
@@ -429,9 +441,6 @@ class Model:
     totals: Totals
     bloom: Shards | None = None
 
-    def scorer(self, bloom: Shards | Asked | Answers | None = None) -> Scorer:
-        return Scorer(bloom or self.bloom, self.head.value, self.unseen, self.totals)
-
 
 def scored_schema(documents: DataFrame) -> str:
     return f"row long, doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, score double, others array<struct<token:binary,n:long>>"
@@ -449,23 +458,45 @@ def cut(texts: pa.Array, characters: int) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def scored_batch(scorer: Scorer, row: pa.Array, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-    sizes, known, base, score, text, word, count = scorer.score(texts)
+def scored_batch(piece: Piece, levels: np.ndarray, model: Model, row: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+    sizes, known, base, score, text, word, count = piece.scores(levels, model.unseen, model.totals)
     offsets = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32())
-    others = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array([scorer.known.words[w] for w in word.tolist()], pa.binary()), pa.array(count, pa.int64())], ["token", "n"]))
+    others = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([piece.words.take(pa.array(word, pa.int64())), pa.array(count, pa.int64())], ["token", "n"]))
     return pa.RecordBatch.from_arrays([row, ids, pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), others], names=["row", "doc_id", "n_tokens", "known", "base", "score", "others"])
 
 
 def scored_here(batches: Iterator[pa.RecordBatch], model: Model, piece: int) -> Iterator[pa.RecordBatch]:
     """Scores from the filter that this worker has."""
-    scorer, row = model.scorer(), TaskContext.get().partitionId() << 36
+    row = TaskContext.get().partitionId() << 36
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text")
         for begin, end in cut(texts, piece):
-            yield scored_batch(scorer, pa.array(np.arange(row, row + end - begin), pa.int64()), ids.slice(begin, end - begin), texts.slice(begin, end - begin).to_pylist())
+            some = Piece(texts.slice(begin, end - begin).to_pylist(), model.head.value)
+            yield scored_batch(some, model.bloom.level(some.asked), model, pa.array(np.arange(row, row + end - begin), pa.int64()), ids.slice(begin, end - begin))
             row += end - begin
 
 
+def packed(h: np.ndarray) -> bytes:
+    """Hashes byte by byte, high bytes first: of sorted ones those are nearly the same."""
+    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].T.tobytes()
+
+
+def unpacked(cells: list[bytes]) -> np.ndarray:
+    """Hashes of packed ones, as far as the filter goes by them."""
+    ends = np.cumsum([0, *(len(c) // KEPT for c in cells)])
+    out = np.zeros((ends[-1], 8), np.uint8)
+    for cell, low, high in zip(cells, ends, ends[1:]):
+        out[low:high, :KEPT] = np.frombuffer(cell, np.uint8).reshape(KEPT, -1).T
+    return out.view(">u8").reshape(-1).astype(U)
+
+
+def probed(part: Filter, cells: list[bytes]) -> pa.Array:
+    """The levels, a byte each, of each cell's packed hashes. All are read at once: a piece asks a chunk for the fewer, the more chunks there are."""
+    levels = part.level(unpacked(cells), 1).astype(np.uint8)
+    offsets = np.cumsum([0, *(len(c) // KEPT for c in cells)], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(offsets), pa.py_buffer(levels)])
+
+
 def scored_by_shard(rows: DataFrame, table: DataFrame, shards: int, model: Model, schema: str) -> tuple[DataFrame, DataFrame]:
     """Scores from a filter that stays a table (s, bits, k), and the pieces, to be discarded once scores are written."""
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -489,12 +520,12 @@ def scored_by_shard(rows: DataFrame, table: DataFrame, shards: int, model: Model
         for batch in batches:
             pieces, row, texts = np.array(batch.column("piece").to_pylist(), np.int64), batch.column("row").to_pylist(), batch.column("text").to_pylist()
             for piece in np.unique(pieces).tolist():
-                asked, own = Asked(), np.flatnonzero(pieces == piece)
-                model.scorer(asked).score([texts[i] for i in own])
-                h = np.unique(np.concatenate(asked.h))
+                own = np.flatnonzero(pieces == piece)
+                h = Piece([texts[i] for i in own], model.head.value).asked
+                h = h[in_order(h)]
                 ends = np.append(np.searchsorted(Filter.segment(h, shards) // width, np.arange(chunks)), len(h))
                 full = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
-                kinds = [([piece] * len(full), pa.int64()), ([row[own[0]]] * len(full), pa.int64()), ([len(own)] * len(full), pa.int32()), (full, pa.int32()), ([h[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())]
+                kinds = [([piece] * len(full), pa.int64()), ([row[own[0]]] * len(full), pa.int64()), ([len(own)] * len(full), pa.int32()), (full, pa.int32()), ([packed(h[ends[k] : ends[k + 1]]) for k in full], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in kinds], names=["piece", "row", "n", "chunk", "h"])
 
     asked = dealt.select("piece", "row", "text").mapInArrow(ask, "piece long, row long, n int, chunk int, h binary")
@@ -506,9 +537,8 @@ def scored_by_shard(rows: DataFrame, table: DataFrame, shards: int, model: Model
         bits = np.zeros((width, size), np.uint8)
         for s, b in found:
             bits[s % width] = np.frombuffer(b, np.uint8)
-        part = Filter(bits.reshape(-1), {1: 1}, shards, width)
-        levels = [part.level(np.frombuffer(h, U), 1).astype(np.uint8).tobytes() for h in left["h"].to_pylist()]
-        return left.drop_columns(["h"]).append_column("levels", pa.array(levels, pa.binary()))
+        levels = probed(Filter(bits.reshape(-1), {1: 1}, shards, width), left["h"].to_pylist())
+        return left.drop_columns(["h"]).append_column("levels", levels)
 
     # one byte a number goes back: a piece asks again in the same order
     answers = asked.groupBy("chunk").cogroup(segments.groupBy("chunk")).applyInArrow(probe, "piece long, row long, n int, chunk int, levels binary")
@@ -521,9 +551,13 @@ def scored_by_shard(rows: DataFrame, table: DataFrame, shards: int, model: Model
         out = []
         for (row, n), parts in sorted(given.items()):
             at = bisect_left(rows, row)
-            levels = np.frombuffer(b"".join(x for _, x in sorted(parts)), np.uint8).astype(np.int64)
-            own = left.slice(at, n).combine_chunks()
-            out.append(scored_batch(model.scorer(Answers(levels)), own["row"].chunk(0), own["doc_id"].chunk(0), texts[at : at + n]))
+            read = np.frombuffer(b"".join(x for _, x in sorted(parts)), np.uint8)
+            own, some = left.slice(at, n).combine_chunks(), Piece(texts[at : at + n], model.head.value)
+            if len(read) != len(some.asked):
+                raise ValueError(f"{len(read)} answers to {len(some.asked)} n-grams")
+            levels = np.empty(len(read), np.int64)
+            levels[in_order(some.asked)] = read
+            out.append(scored_batch(some, levels, model, own["row"].chunk(0), own["doc_id"].chunk(0)))
         if sum(b.num_rows for b in out) != left.num_rows:
             raise ValueError(f"{sum(b.num_rows for b in out)} texts of {left.num_rows} have answers")
         return pa.Table.from_batches(out)
@@ -547,7 +581,7 @@ def score_documents(documents: DataFrame, training: Callable[[Column], Column] =
     n, v, docs = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == F.lit(END), F.col("c"))), F.lit(0))).first()
     totals = Totals(n, v, docs)
     enough = least_count_for_head(vocabulary)
-    head = spark.sparkContext.broadcast({bytes(r["token"]): r["c"] for r in vocabulary.where(F.col("c") >= enough).toLocalIterator()})
+    head = spark.sparkContext.broadcast(head_of(vocabulary.where(F.col("c") >= enough)))
     pairs = materialize(count_pairs(texts, head, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // GROUP)), "pairs")
     unseen = np.ones(len(LEVELS) + 1)
     for r in pairs.where("h is null").select("bucket").distinct().collect():
