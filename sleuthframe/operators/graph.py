@@ -16,6 +16,8 @@ PART = 250_000
 FEW = 100_000
 #: Different lengths of keys that edges are looked through for.
 LENGTHS = 1_000
+#: Classes of pairs by hash, and events of a class from which on they are cut down before they are dealt.
+CLASSES, MANY = 1 << 16, 1_000_000
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -174,16 +176,27 @@ def verdict(events: DataFrame, excluded: DataFrame, stop: DataFrame | None, ceil
 
 
 def link_edges(keyed: DataFrame, key: str, citations: int = EDGE_CITATIONS) -> DataFrame:
-    """(source, target, weight, citations): the first ``citations`` events of an edge in stream order, cited by case, table, row and time."""
+    """(source, target, weight, citations, n_citations): the first ``citations`` events of an edge in stream order, cited by case, table, row and time.
+
+    Events are dealt once, by pairs; where only numbers are asked for, no event is dealt, but counts are. Those of pairs that have very
+    many are counted apart, so that the ranking can drop what it does not cite before they are dealt.
+    """
     ends = keyed.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "run_id", "kind", "id", "ts")
     w = Window.partitionBy("lo", "hi").orderBy("run_id", F.when(F.col("kind") == "message", 0).otherwise(1), F.asc_nulls_last("ts"), "id")
-    # counted apart, so that the ranking can drop what it does not cite before rows are dealt
-    weights = ends.groupBy("lo", "hi").agg(F.count("*").alias("weight"))
-    ranked = ends.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= citations)
     cite = F.struct("run_id", F.col("kind").alias("source_table"), F.col("id").alias("row_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
-    found = weights.join(ranked.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(cite)).alias("citations")), ["lo", "hi"], "left")
-    found = found.select(public_id(F.col("lo"), key).alias("l"), public_id(F.col("hi"), key).alias("h"), "weight", F.coalesce("citations", F.array().cast("array<struct<run_id:string,source_table:string,row_id:string,timestamp:string>>")).alias("citations"))
-    return found.select(F.least("l", "h").alias("source"), F.greatest("l", "h").alias("target"), "weight", "citations")
+    weight, cited = F.count("*").alias("weight"), lambda own: F.array_sort(F.collect_list(own)).alias("citations")
+    kind, first = F.pmod(F.xxhash64("lo", "hi"), F.lit(CLASSES)), F.col("rank") <= citations
+    many = [r.class_ for r in ends.groupBy(kind.alias("class_")).agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("class_").collect()]
+    few = ends.where(~kind.isin(many)) if many else ends
+    found = few.withColumn("rank", F.row_number().over(w)).groupBy("lo", "hi").agg(weight, cited(F.when(first, cite)))
+    if many:
+        rest = ends.where(kind.isin(many))
+        ranked = rest.withColumn("rank", F.row_number().over(w)).where(first)
+        both = rest.groupBy("lo", "hi").agg(weight).join(ranked.groupBy("lo", "hi").agg(cited(cite)), ["lo", "hi"], "left")
+        none = F.array().cast("array<struct<run_id:string,source_table:string,row_id:string,timestamp:string>>")
+        found = found.unionByName(both.withColumn("citations", F.coalesce("citations", none)))
+    found = found.select(public_id(F.col("lo"), key).alias("l"), public_id(F.col("hi"), key).alias("h"), "weight", "citations")
+    return found.select(F.least("l", "h").alias("source"), F.greatest("l", "h").alias("target"), "weight", "citations", F.least("weight", F.lit(citations)).alias("n_citations"))
 
 
 def link_nodes(keyed: DataFrame, contact: DataFrame, key: str, seed: str | None = None) -> DataFrame:

@@ -6,11 +6,15 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most parts into which rows are dealt: for more (spark.shuffle.sort.bypassMergeThreshold) a task first holds all rows that it deals.
 PARTS = 200
+#: Whether what a query shuffled goes as soon as it is done, not when the driver happens to collect its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,12 +52,24 @@ def removed(spark: SparkSession, path: str) -> None:
     filesystem.delete(found, True)
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What queries run here have shuffled is deleted once they are done."""
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
+
+
 class Written:
     """A table written once and read as often as needed; :meth:`discard` removes its files."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
-        df.write.parquet(self.path)
+        with cleaned(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
         self.table = self.spark.read.schema(df.schema).parquet(self.path)
 
     def discard(self) -> None:
