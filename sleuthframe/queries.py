@@ -340,7 +340,7 @@ SELECT least(xid, yid) AS source, greatest(xid, yid) AS target, count(*) AS weig
 """)
 def link_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.link_graph(evidence(spark, sf_dir), CASES, KEY, node_limit=None, edge_limit=None, ordered=False)["edges"]
-    return found.select("source", "target", "weight", F.size("citations").cast("long").alias("n_citations"))
+    return found.select("source", "target", "weight", "n_citations")
 
 
 @query("message", "call", "comm", sql=KEYED + """
