@@ -217,7 +217,7 @@ class Filter:
         words, mask, kept = self.bits.view("<u8"), U(self.size // 64 - 1), U(SETS - 1)
         found, alive, number = np.zeros(len(h), np.int64), np.arange(len(h)), self.least[order]
         base = ((self.segment(h, self.shards) % self.segments) * (self.size // 64)).view(U)
-        while len(alive):
+        while len(alive) and number < len(VALUES):  # a small segment may be full
             a = self.spread(h, number)
             bits = MASKS[(a & kept).view(np.int64)]
             held = np.flatnonzero(words[(base + (a >> U(24) & mask)).view(np.int64)] & bits == bits)
